@@ -21,6 +21,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import posteriors
+
+    return posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import tokens
 
@@ -39,6 +45,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import removed_spans
+
+    return removed_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import report
 
