@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-work-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """The two columns that text operators read, so that other columns can't clash; null text counts as empty."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -27,6 +27,12 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import tokens
 
@@ -63,8 +69,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
