@@ -57,7 +57,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = known.where(dial < int((1 << 30) * min(1.0, 0.95 * LABELLED / max(n, 1))))
     # bounded by LABELLED
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int"))
+    # copies of a text would count its words several times
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int"))
 
 
 def weights(sample: DataFrame) -> dict[int, tuple[float, float]]:
@@ -88,7 +89,7 @@ def weights(sample: DataFrame) -> dict[int, tuple[float, float]]:
         x = F.col(column)
         z = (x - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)) * (1 - F.col("n") / (size + 1.0)))
         odds = F.log(((x + 0.5) / (total + 1.0)) / ((F.col("n") - x + 0.5) / (size - total + 1.0)))
-        best = counts.where(F.abs(z) > 6).orderBy(F.abs(z).desc(), "f").select("f", odds.alias("w")).limit(FEATURES)
+        best = counts.where((F.abs(z) > 6) & (F.abs(odds) >= 1)).orderBy(F.abs(z).desc(), "f").select("f", odds.alias("w")).limit(FEATURES)
         for r in best.collect():
             a = list(out.get(r.f, (0.0, 0.0)))
             a[k] = r.w
