@@ -27,7 +27,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SALTS, checkpoint, in_blocks
+from .common import BROADCAST_BYTES, SALTS, checkpoint, in_blocks, sized_broadcast
 
 MIN_VOTES = 3
 CONSTANT = 0.6
@@ -292,7 +292,7 @@ class _Pivots:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, pivot, constant): the pivot page of each host and the numbers of its constant nodes."""
     first = pages.where("html <> ''").groupBy("host").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
-    chosen = first.where(f"n > {MIN_VOTES}").select("host", "page_id")
+    chosen = sized_broadcast(checkpoint(first.where(f"n > {MIN_VOTES}").select("host", "page_id")), 96)
     pivots = checkpoint(pages.where("html <> ''").join(chosen, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("pivot")))
     size = pivots.agg(F.coalesce(F.sum(F.octet_length("pivot") + 64), F.lit(0))).first()[0]
 
