@@ -35,6 +35,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A Parquet table in the shared folder in place of a checkpoint: compressed, and read by column."""
+    at = work_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """The two columns that text operators read, so that other columns can't clash; null text counts as empty."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
