@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A Parquet table in the shared folder; for wide frames, whose null constraints a checkpoint would multiply out."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-work-")
+    at = f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def _cells(points: DataFrame, size: float, around: bool) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / size)
     if not around:

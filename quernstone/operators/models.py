@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import cyclic
 
-from .graph import checkpoint
+from .graph import stored
 from .panel import K, Keys
 from .series import errors
 
@@ -45,7 +45,7 @@ def stratified_cap(df: DataFrame, by: str, keys: list[str], over: int = 20_000,
 
 def ordinal(df: DataFrame, order: list[str], parts: int = 8) -> DataFrame:
     """Adds ``ordinal`` from 0 in a global order: range partitions, counts per partition, offsets; no task sees all rows."""
-    ranged = checkpoint(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     # a row per partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

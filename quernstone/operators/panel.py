@@ -1,10 +1,9 @@
 """The panel unit x ISO week x category and the tables around it. Keys and measures are column names."""
 
-from __future__ import annotations
-
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,8 +139,6 @@ def lag_correlations(df: DataFrame, variables: list[str], target: str, lags: lis
 
 def p_value(r: Column, n: Column) -> Column:
     """Two-sided p of r under no correlation: the incomplete beta function by continued fraction, over Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
         import math
@@ -149,8 +146,8 @@ def p_value(r: Column, n: Column) -> Column:
         def one(r, n):
             if r is None or math.isnan(r) or n < 3:
                 return None
-            if abs(r) >= 1:
-                return 0.0
+            if abs(r) >= 1 or not r:
+                return float(not r)
             a, b, x = (n - 2) / 2, 0.5, 1 - r * r
             front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if x > 0 else 0.0
             flip = x >= (a + 1) / (a + b + 2)

@@ -38,7 +38,7 @@ def stl(series: DataFrame, key: str, date: str, value: str, period: int = 52, ro
         y = pdf["value"].to_numpy(float)
         n = len(y)
         if n < least or not np.abs(y).sum():
-            return pd.DataFrame({c: [] for c in ("key", "date", "value", "trend", "seasonal", "resid")})
+            return pdf.iloc[:0].assign(trend=0.0, seasonal=0.0, resid=0.0)
 
         def loess(v, q, weight, at=None):
             """Local lines with tricube weights over the q nearest points."""

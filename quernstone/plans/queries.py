@@ -630,7 +630,8 @@ def linreg_simple(t):
 
 def _folded(t):
     out, names = _matrix(t)
-    out = graph.checkpoint(models.folds(models.ordinal(out, ["yr", "wk", "unit"]), out.count()))
+    out = graph.stored(out)
+    out = graph.stored(models.folds(models.ordinal(out, ["yr", "wk", "unit"]), out.count()))
     return models.assembled(out, names), names
 
 
