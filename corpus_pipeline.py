@@ -19,10 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: repeated and nearly repeated lines go; n_chars follows the text, a text that loses all lines goes."""
+    """Operator 6: repeated and nearly repeated lines go; rows stay, so a text that loses all lines is empty. n_chars follows the text."""
     out = line_dedup.deduplicated(docs)
-    left = (F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)
-    out = out.where(left).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out.where(left)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
