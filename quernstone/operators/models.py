@@ -54,8 +54,8 @@ def ordinal(df: DataFrame, order: list[str], parts: int = 8) -> DataFrame:
 
 def folds(df: DataFrame, n: int, count: int = 5) -> DataFrame:
     """Adds ``fold``: 0 is only trained on, fold i tests what all earlier folds train."""
-    t = n // (count + 1)
-    return df.withColumn("fold", F.greatest(F.lit(0), F.floor((F.col("ordinal") - (n - count * t)) / t) + 1).cast("int"))
+    t = max(1, n // (count + 1))
+    return df.withColumn("fold", F.greatest(F.lit(0), F.floor((F.col("ordinal") - (n - count * t)) / F.lit(t)) + 1).cast("int"))
 
 
 def estimator(kind: str, small: bool = False, seed: int = 42, **more):
@@ -72,11 +72,14 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 def cross_validate(df: DataFrame, kind: str, small: bool = False, count: int = 5) -> DataFrame:
     """(fold, rmse, mae, r2) of an assembled frame with ``fold``; a fresh estimator for each fold."""
-    out = None
+    out = df.sparkSession.createDataFrame([], "rmse double, mae double, r2 double, fold int")
+    sizes = {r.fold: r["count"] for r in df.groupBy("fold").count().collect()}  # a row per fold
     for i in range(1, count + 1):
+        if not sizes.get(i) or not sum(n for f, n in sizes.items() if f < i):
+            continue
         model = estimator(kind, small).fit(df.where(F.col("fold") < i))
         e = errors(model.transform(df.where(F.col("fold") == i)), "label", "prediction").withColumn("fold", F.lit(i))
-        out = e if out is None else out.unionByName(e)
+        out = out.unionByName(e)
     return out
 
 
