@@ -80,6 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses
+    from . import licenses, secrets
 
-    return {"op10_licenses": licenses.oracle()}
+    return {"op9_secrets": secrets.oracle(), "op10_licenses": licenses.oracle()}

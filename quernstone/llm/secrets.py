@@ -183,3 +183,23 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     return d.select("doc_id", F.coalesce(text, F.col("text")).alias("text"))
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL: every expression over every text, without an index."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    none = "CAST([] AS STRUCT(s BIGINT, n BIGINT, e BIGINT, k VARCHAR)[])"
+    found = []
+    for n, r in enumerate(RULES):
+        begin = "(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0))"
+        spans = f"list_transform(list_filter(range(1, len(w) + 1), lambda i: length(j[i]) >= {r.least}), lambda i: {{'s': CAST({begin} AS BIGINT), 'n': CAST({n} AS BIGINT), 'e': CAST({begin} + length(w[i]) AS BIGINT), 'k': {q(r.kind)}}})"
+        found.append(f"SELECT id, doc_id, {spans} AS f FROM (SELECT id, doc_id, regexp_extract_all(text, {q(r.regex)}, 0) AS w, regexp_extract_all(text, {q(r.regex)}, {r.group}) AS j, regexp_split_to_array(text, {q(r.regex)}) AS g FROM t WHERE regexp_matches(text, {q(r.regex)}))")
+    base = ", ".join(q(r.kind) for r in RULES if r.base)
+    text = lambda c: f"coalesce(array_to_string(list_transform({c}, lambda x: x.k || ':' || x.s || ':' || x.e), ','), '')"
+    counts = ", ".join(f"CAST(len(list_filter(f, lambda x: x.k = {q(r.kind)})) AS BIGINT) AS n_{r.kind}" for r in RULES if r.base)
+    return f"""
+    WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+    u AS ({' UNION ALL '.join(found)}),
+    a AS (SELECT id, list_sort(flatten(list(f))) AS f FROM u GROUP BY id),
+    d AS (SELECT t.doc_id, coalesce(a.f, {none}) AS f FROM t LEFT JOIN a USING (id))
+    SELECT doc_id, {counts}, sha256({text(f'list_filter(f, lambda x: x.k IN ({base}))')}) AS base_sha256, {text('f')} AS spans FROM d"""

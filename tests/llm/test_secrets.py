@@ -4,7 +4,8 @@ import hashlib
 import re
 
 from quernstone.llm.queries import op9_secrets
-from quernstone.llm.secrets import RULES, redacted, report, trigram_query
+from quernstone.llm.secrets import RULES, oracle, redacted, report, trigram_query
+from tests.oracle import assert_same
 
 
 def brute(text: str | None) -> tuple:
@@ -29,6 +30,11 @@ def test_query_equals_brute_force(spark):
         assert tuple(r)[1:] == brute(text[r.doc_id])
 
 
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert_same(op9_secrets(spark, sf), oracle(), sf)
+
+
 def test_queries_are_mandatory():
     asked = {r.kind: trigram_query(r.regex) for r in RULES}
     assert asked["hex"] == [] and asked["access"] == [frozenset({"aki", "kia"})]
