@@ -1,15 +1,22 @@
-"""Operator 8, substring dedup by line hashing.
+"""Operator 8, substring dedup by exact windows of words.
 
-A unit is a line, cut further after words whose hash says so (every fifth on average). The cuts depend on the words
-alone, so a passage is cut alike wherever it stands, also in the middle of other lines. Units are normalised (A-Z in
-lower case, white space as one space) and hashed; digests are grouped over all documents; the occurrence that ranks first
-(smallest doc_id, then position) stays. Where units that occur earlier follow each other for ``min_words`` words or more, the
-run is removed; its place in the original text is kept in code points. Shorter runs are phrases and stay.
+Words are runs of bytes other than white space, A-Z in lower case; lines don't matter. A window is ``min_words`` consecutive words.
+A window that a smaller doc_id has had, or the same text before, is removed; all others stay. So a word goes exactly if it
+stands in a window that stands whole in one earlier place, wherever passages begin and end.
 
-Digests have 64 bits; a wrong removal needs enough chance collisions in a row for ``min_words`` words.
+Only windows that may be repeated are listed. Each holds runs of half its words; the run with the smallest hash is the same
+wherever the window stands (winnowing), and about every fifth word begins such a run. Runs are counted over all documents; windows whose smallest
+run occurs once can't be repeated. Counts go to the second reading as a bitmap of bounded size, whose chance
+hits cost rows but change nothing. The windows left are grouped by their digests, and the smallest doc_id keeps them.
+
+A span is the words of windows that follow each other and have the same keeper, so kept_doc_id holds all of them; where
+windows overlap but the keeper or the passage changes, a new span begins with the next word (it may be short). Its place in the original text is kept in code points.
+
+Digests have 64 bits.
 
 Cases: null text counts as empty; rows without doc_id rank last; rows of one doc_id don't count against each other; a
-repetition within a text is removed like any other; an empty table gives no rows; other columns are ignored.
+repetition within a text is removed like any other, but a text of nothing but one word over and over doesn't count against
+itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +28,17 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, in_blocks, salted_join, sized_broadcast
+from .common import checkpoint, in_blocks, salted_join, sized_broadcast, stored
 
 CUT = 5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = (1 << 63) - 1
+#: Odd factor of the rolling digests.
+FACTOR = 0x9E3779B97F4A7C15
+#: Words of a batch that are worked on at once, about.
+AT_ONCE = 1 << 20
+#: The bitmap of repeated runs has so many bits at most.
+MOST_BITS = 1 << 28
 
 
 class _Cuts(dict):
@@ -60,82 +73,175 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(h, row, doc, no, words, again): every unit; again if the text has had it before."""
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word, 8)
+        return h
+
+
+_digests = _Digests()
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(first text, words of each text, digests of all words) for texts of about AT_ONCE words together."""
+    first, sizes, words = 0, [], []
+    for i, text in enumerate(texts):
+        own = text.lower().split()
+        words.extend(map(_digests.__getitem__, own))
+        sizes.append(len(own))
+        if len(words) >= AT_ONCE or i == len(texts) - 1:
+            yield first, sizes, words
+            first, sizes, words = i + 1, [], []
+
+
+def _sliding(a, n: int, f):
+    """f over every n consecutive values."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        a = f(a[:-step], a[step:])
+        size += step
+    return a
+
+
+def _rolling(a, n: int):
+    """Digests of every n consecutive values."""
+    import numpy as np
+
+    out = a[: len(a) - n + 1].copy()
+    for k in range(1, n):
+        out *= np.uint64(FACTOR)
+        out += a[k : len(a) - n + 1 + k]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def _windows(sizes: list[int], words: list[int], min_words: int):
+    """(whole, least, runs, a): whether each window lies in one text, its smallest run, all runs, the words' digests."""
+    import numpy as np
+
+    a = np.array(words, dtype=np.uint64)
+    part = max(1, min_words // 2)
+    runs = _rolling(a, part)
+    least = _sliding(runs, min_words - part + 1, np.minimum)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    whole = text[: len(least)] == text[min_words - 1 :]
+    return whole, least, runs, a
+
+
+def _repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """(h): every run that is the smallest of a window and occurs twice or more."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         for b in batches:
-            hs: list[int] = []
-            sizes: list[int] = []
-            again: list[bool] = []
-            counts: list[int] = []
-            for text in b.column(2).to_pylist():
-                seen: set[int] = set()
-                n = 0
-                for words in units(text):
-                    h = xxh64_intdigest(b" ".join(words), 8)
-                    hs.append(h)
-                    sizes.append(len(words))
-                    again.append(h in seen)
-                    seen.add(h)
-                    n += 1
-                counts.append(n)
-            where = np.repeat(np.arange(len(counts)), counts)
-            no = np.arange(len(where)) - np.repeat(np.cumsum(counts) - counts, counts) if len(where) else np.zeros(0)
-            at = pa.array(where)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(hs, dtype=np.uint64).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(no.astype(np.int32)), pa.array(sizes, pa.int32()), pa.array(again, pa.bool_())],
-                ["h", "row", "doc", "no", "words", "again"],
-            )
-
+            for _, sizes, words in _chunks(b.column(2).to_pylist()):
+                if len(words) < min_words:
+                    continue
+                whole, least, runs, _ = _windows(sizes, words, min_words)
+                # a run is chosen if it is the smallest of one of the windows it stands in
+                side = len(runs) - len(least)
+                around = np.concatenate([np.zeros(side, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(side, np.uint64)])
+                chosen = runs[_sliding(around, side + 1, np.maximum) == runs]
+                yield pa.RecordBatch.from_arrays([pa.array(chosen.view(np.int64))], ["h"])
+
+    return rows.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+
+
+def _bitmap(h: DataFrame):
+    """A bit for each digest, as many as its low bits tell apart."""
+    import numpy as np
+
+    h = checkpoint(h)
+    bits = 1 << 12
+    n = h.count()
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    slots = h.select(F.expr(f"cast(shiftright(h & {bits - 1}, 5) as int)").alias("at"), F.expr("shiftleft(1L, cast(h & 31 as int))").alias("m"))
+    table = slots.groupBy("at").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(bits // 32, dtype=np.uint32)
+    out[table["at"].to_numpy()] = table["m"].to_numpy().astype(np.uint32)
+    return out
+
+
+def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
+    """(h, row, doc, no, again): every window that may be repeated, no being its first word; again if the text has had it before."""
     rows = in_blocks(_rows(docs)).select("row", "doc", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "h long, row long, doc long, no int, words int, again boolean")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(_repeated_runs(rows, min_words)))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        bitmap = sent.value
+        low = np.uint64(len(bitmap) * 32 - 1)
+        for b in batches:
+            for first, sizes, words in _chunks(b.column(2).to_pylist()):
+                if len(words) < min_words:
+                    continue
+                whole, least, _, a = _windows(sizes, words, min_words)
+                least &= low
+                maybe = np.flatnonzero(whole & ((bitmap[least >> np.uint64(5)] >> (least & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool))
+                h = _rolling(a, min_words)[maybe]
+                text = np.repeat(np.arange(len(sizes)), sizes)[maybe]
+                begins = np.cumsum(sizes) - sizes
+                order = np.lexsort((maybe, h, text))
+                again = np.zeros(len(maybe), dtype=bool)
+                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+                # a text of one word over and over has no passage
+                changes = np.append(0, np.cumsum(a[1:] != a[:-1]))
+                again &= changes[begins[text] + np.array(sizes)[text] - 1] > changes[begins[text]]
+                at = pa.array(text + first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array((maybe - begins[text]).astype(np.int32)), pa.array(again)],
+                    ["h", "row", "doc", "no", "again"],
+                )
+
+    return rows.mapInArrow(run, "h long, row long, doc long, no int, again boolean")
 
 
 def runs(docs: DataFrame, min_words: int = 16) -> DataFrame:
-    """(row, doc, runs): for each text, the runs of repeated units as (first unit, last unit, words, document that keeps it)."""
-    found = occurrences(docs)
-    shared = found.groupBy("h").agg(F.min("doc").alias("lead"), F.max("doc").alias("other"), F.count(F.lit(1)).alias("n"))
+    """(row, doc, runs): for each text, the stretches of repeated words as (first word, last word, words, document that keeps them)."""
+    found = stored(occurrences(docs, min_words))
+    shared = found.groupBy("h").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("n"))
     shared = checkpoint(shared.where("n > 1").select("h", "lead", "n"))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # a unit of no other text can't be repeated; of the others, those that a smaller doc_id or the same text has had
+    # a window of no other place can't be repeated; of the others, those that a smaller doc_id or the same text has had
     marked = salted_join(found, shared, "h", "n", F.col("row"), total).where("again or doc <> lead")
-    packed = marked.select("row", "doc", F.struct("no", "words", "lead").alias("u"))
-    # one group is one text's own units
-    grouped = packed.groupBy("row", "doc").agg(F.sum("u.words").alias("words"), F.collect_set("u").alias("u")).where(F.col("words") >= min_words)
+    # one group is one text's own windows
+    grouped = marked.groupBy("row", "doc").agg(F.collect_list(F.struct("no", "lead")).alias("u"))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
             out = []
-            for us in b.column(2).to_pylist():
-                here: list[tuple[int, int, int, int]] = []
-                for u in sorted(us, key=lambda u: u["no"]):
-                    if here and here[-1][1] == u["no"] - 1:
-                        a, _, w, lead = here[-1]
-                        here[-1] = (a, u["no"], w + u["words"], min(lead, u["lead"]))
-                    elif not here or here[-1][1] != u["no"]:
-                        here.append((u["no"], u["no"], u["words"], u["lead"]))
-                out.append([{"a": a, "z": z, "words": w, "lead": lead} for a, z, w, lead in here if w >= min_words])
+            for us in b.column(2):
+                no, at = np.unique(us.values.field(0).to_numpy(), return_index=True)
+                lead = us.values.field(1).to_numpy()[at]
+                new = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (no[1:] > no[:-1] + 1)))
+                last = np.append(new[1:], len(no)) - 1
+                z = no[last] + min_words - 1
+                a = np.maximum(no[new], np.append(-1, z[:-1]) + 1)
+                out.append([{"a": i, "z": j, "words": j - i + 1, "lead": k} for i, j, k in zip(a.tolist(), z.tolist(), lead[new].tolist(), strict=True)])
             kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32()), ("words", pa.int32()), ("lead", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["row", "doc", "runs"])
 
-    return grouped.select("row", "doc", "u").mapInArrow(run, "row long, doc long, runs array<struct<a:int,z:int,words:int,lead:long>>").where(F.size("runs") > 0)
+    return grouped.select("row", "doc", "u").mapInArrow(run, "row long, doc long, runs array<struct<a:int,z:int,words:int,lead:long>>")
 
 
 def spans_of(text: str, runs: list[dict]) -> list[tuple[int, int]]:
-    """Where runs of units stand in the original text."""
-    sizes = [len(u) for u in units(text.encode("utf-8", "replace"))]
-    firsts = [0]
-    for n in sizes:
-        firsts.append(firsts[-1] + n)
+    """Where stretches of words stand in the original text."""
     places = [m.span() for m in WORD.finditer(text)]
-    return [(places[firsts[r["a"]]][0], places[firsts[r["z"] + 1] - 1][1]) for r in runs]
+    return [(places[r["a"]][0], places[r["z"]][1]) for r in runs]
 
 
 def removals(docs: DataFrame, min_words: int = 16) -> DataFrame:

@@ -81,3 +81,50 @@ def test_cases(spark):
         assert rows[1][1][r.start : r.end].lower() in p and r.kept_doc_id == 1
     assert removed_spans(docs.limit(0)).count() == 0
     assert sum(len(u) for u in units(rows[1][1].encode())) == len(rows[1][1].split())
+
+
+def exact(rows: list[tuple[int, str | None]], min_words: int = 16) -> dict[int, set[int]]:
+    """By document, the code points of words in a window that an earlier document, or the same text before, has had."""
+    seen: set[tuple] = set()
+    gone: dict[int, set[int]] = {}
+    for d, t in sorted(rows):
+        places = [m.span() for m in WORD.finditer(t or "")]
+        words = [t[a:b].encode().lower() for a, b in places]
+        for k in range(len(words) - min_words + 1):
+            key = tuple(words[k : k + min_words])
+            if key in seen:
+                gone.setdefault(d, set()).update(c for a, b in places[k : k + min_words] for c in range(a, b))
+            seen.add(key)
+    return gone
+
+
+def removed_points(rows: list, texts: dict) -> dict[int, set[int]]:
+    out: dict[int, set[int]] = {}
+    for r in rows:
+        out.setdefault(r.doc_id, set()).update(c for c in range(r.start, r.end) if not texts[r.doc_id][c] in " \t\n\r\x0b\f")
+    return out
+
+
+def test_query_equals_all_windows(spark):
+    """Exactly the words of earlier windows go, and kept_doc_id holds the words it keeps."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op8_substrings(spark, sf).collect()
+    want = exact(list(texts.items()))
+    assert removed_points(got, texts) == want and len(want) > 50
+    for r in got:
+        words = texts[r.doc_id][r.start : r.end].encode().lower().split()
+        kept = b" ".join(texts[r.kept_doc_id].encode().lower().split())
+        assert len(words) == r.n_words and r.kept_doc_id <= r.doc_id
+        assert all(b" ".join(words[k : k + 16]) in kept for k in range(max(1, len(words) - 15)))
+
+
+def test_units_of_several_documents_are_no_passage(spark):
+    """Short stretches that occurred in different documents are not a repeated passage when they meet."""
+    rng = random.Random(9)
+    ends = [w for i in range(2000) if crc32((w := f"end{i}").encode()) % CUT == 0]
+    plain = [w for i in range(2000) if crc32((w := f"word{i}").encode()) % CUT]
+    units_ = [[*rng.sample(plain, 3), e] for e in ends[:60]]
+    docs = [(i, " ".join([*u, "of", *units_[(i + 7) % 60][:2], f"own{i}"])) for i, u in enumerate(units_)]
+    docs.append((100, " ".join(w for u in rng.sample(units_, 12) for w in u)))
+    assert removed_spans(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
