@@ -128,3 +128,19 @@ def test_units_of_several_documents_are_no_passage(spark):
     docs = [(i, " ".join([*u, "of", *units_[(i + 7) % 60][:2], f"own{i}"])) for i, u in enumerate(units_)]
     docs.append((100, " ".join(w for u in rng.sample(units_, 12) for w in u)))
     assert removed_spans(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
+def test_short_passages_in_the_middle_of_lines(spark):
+    """Passages of 16 words and more are found whole, wherever they stand."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    docs, want = [], set()
+    for i in range(100):
+        n = 16 + i % 40
+        passage = " ".join(word() for _ in range(n))
+        docs.append((i, " ".join([*(word() for _ in range(60)), passage, *(word() for _ in range(20))])))
+        head = " ".join(word() for _ in range(rng.randrange(1, 40)))
+        docs.append((1000 + i, f"{head} {passage} {word()} {word()}"))
+        want.add((1000 + i, len(head) + 1, len(head) + 1 + len(passage), n, i))
+    got = removed_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == 100
