@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,34 +12,43 @@ from pyspark.sql import functions as F
 #: be hot, so the set of hot keys has a fixed size bound and may be broadcast.
 HOT_SHARE = 1 / 20_000
 SALTS = 64
-#: A side is broadcast only if its measured size is below this.
-BROADCAST_BYTES = 48 << 20
+#: A side is broadcast only if its counted rows and measured bytes are below these; as a hashed relation it is
+#: several times that in the driver.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
+#: Rank of rows without an id: behind all others.
+LAST = (1 << 63) - 1
+#: A Python task works on so many rows and about so many bytes of text at once.
+BLOCK_ROWS = 512
+BLOCK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the session names; tests name none, and get one of their own."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; without one there is nothing safe to write to."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base.rstrip("/")
 
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-work-")
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder in place of a checkpoint: compressed, and read by column."""
+def checkpoint(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """Cut the lineage by a Parquet table in the session's shared folder.
+
+    Unlike Dataset.checkpoint it is compressed, read by column, and of known size: the planner takes a checkpoint's size
+    from the plan that made it, a product over its joins that soon has too many digits to compute with in a loop.
+    """
     at = work_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.parquet(at)
+    df.write.option("compression", compression).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def documents_of(df: DataFrame) -> DataFrame:
@@ -47,10 +56,26 @@ def documents_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def in_blocks(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Small Arrow batches for Python tasks, whose memory then stays bounded although texts can be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def identity(docs: DataFrame) -> tuple[Column, Column]:
+    """(doc, th): what tells rows apart; rows of the same doc_id and text are the same document. Null ids rank last."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th")
+
+
+def blocks(batches: Iterator, column: int) -> Iterator:
+    """Slices of Arrow batches with up to BLOCK_ROWS rows and about BLOCK_BYTES bytes in a text column; a longer text stands alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            upto = int(np.searchsorted(ends, done + BLOCK_BYTES, side="right"))
+            upto = min(max(upto, at + 1), at + BLOCK_ROWS, b.num_rows)
+            yield b.slice(at, upto - at)
+            at = upto
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column, total: int, how: str = "inner") -> DataFrame:
@@ -69,26 +94,38 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, count: str, spread:
     return left.drop("_hot_key").join(right, [key, "_salt"], how).drop("_salt")
 
 
+def with_small(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column, total: int) -> DataFrame:
+    """``big`` joined with one row per key: broadcast if that is few rows when counted, else by shuffle with salt for hot keys."""
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key)
+    return salted_join(big, small, key, count, spread, total)
+
+
 def sized_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A broadcast hint if the counted rows fit BROADCAST_BYTES, else the frame as it is (a shuffle join)."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """A broadcast hint if the counted rows fit BROADCAST_ROWS and BROADCAST_BYTES, else the frame as it is (a shuffle join)."""
+    n = df.count()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES else df
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """Distributed union-find: (node, component) for every node of an edge, component = the smallest node reachable.
 
     Each round takes the smallest label among the neighbours and then follows it once to that label's own label
-    (pointer jumping), so rounds grow with the logarithm of the diameter. Nothing is collected but one flag.
+    (pointer jumping), so rounds grow with the logarithm of the diameter. Nothing is collected but one flag. Nodes with
+    very many neighbours and labels of very many nodes are dealt over several tasks.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    both = edges.select(F.col(src).alias("b"), F.col(dst).alias("a")).where("a is not null and b is not null")
     both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), "c"))
+    label = checkpoint(both.groupBy("b").agg(F.least(F.col("b"), F.min("a")).alias("c"), F.count(F.lit(1)).alias("n")))
+    links, nodes = both.count(), label.count()
     for _ in range(rounds):
-        seen = both.join(label, both.b == label.node).groupBy("a").agg(F.min("c").alias("m"))
-        step = checkpoint(label.join(seen, label.node == seen.a).select("node", F.least("c", "m").alias("c"), F.col("c").alias("old")))
-        up = step.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
-        label = checkpoint(step.join(up, step.c == up._n).select("node", F.least("c", "_c").alias("c"), (F.least("c", "_c") != F.col("old")).alias("moved")))
+        seen = salted_join(both, label, "b", "n", F.col("a"), links).groupBy("a").agg(F.min("c").alias("m"))
+        step = checkpoint(label.join(seen, F.col("b") == F.col("a")).select("b", "n", F.least("c", "m").alias("c"), F.col("c").alias("old")))
+        used = step.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+        up = used.join(step.select(F.col("b").alias("_b"), F.col("c").alias("up")), F.col("c") == F.col("_b")).select("c", "k", "up")
+        moved = salted_join(step, up, "c", "k", F.col("b"), nodes)
+        label = checkpoint(moved.select("b", "n", F.least("c", "up").alias("c"), (F.least("c", "up") != F.col("old")).alias("moved")))
         if label.where("moved").isEmpty():
-            return label.select("node", F.col("c").alias("component"))
-        label = label.select("node", "c")
+            return label.select(F.col("b").alias("node"), F.col("c").alias("component"))
+        label = label.select("b", "n", "c")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

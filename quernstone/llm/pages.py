@@ -27,7 +27,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SALTS, checkpoint, in_blocks, sized_broadcast
+from .common import BROADCAST_BYTES, SALTS, blocks, checkpoint, sized_broadcast
 
 MIN_VOTES = 3
 CONSTANT = 0.6
@@ -300,7 +300,7 @@ def templates(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         pivot = _Pivots()
-        for b in batches:
+        for b in blocks(batches, 1):
             counts: dict[tuple[str, int], list[int]] = {}
             for host, html, other in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if other is not None and html:
@@ -313,7 +313,7 @@ def templates(pages: DataFrame) -> DataFrame:
                 ["host", "node", "seen", "same"],
             )
 
-    beside = in_blocks(_beside(pages, pivots, size)).select("host", "html", "pivot")
+    beside = _beside(pages, pivots, size).select("host", "html", "pivot")
     counted = beside.mapInArrow(run, "host string, node int, seen long, same long").groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
     # a host's constant nodes are at most the nodes of one page
     constant = counted.where((F.col("seen") >= MIN_VOTES) & (F.col("same") >= CONSTANT * F.col("seen"))).groupBy("host").agg(F.collect_list("node").alias("constant"))
@@ -330,12 +330,12 @@ def main_text(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         pivot = _Pivots()
-        for b in batches:
+        for b in blocks(batches, 3):
             texts = []
             for host, html, other, constant in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 page = parse(html)
                 texts.append("\n\n".join(extract(page) if other is None else extract(page, pivot(host, other), frozenset(constant))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    beside = in_blocks(_beside(pages, known, size)).select("page_id", "url", "host", "html", "pivot", "constant")
+    beside = _beside(pages, known, size).select("page_id", "url", "host", "html", "pivot", "constant")
     return beside.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

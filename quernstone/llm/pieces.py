@@ -32,7 +32,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, in_blocks
+from .common import blocks, documents_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -236,12 +236,12 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
         import pyarrow as pa
 
         t = _transducer(pieces)
-        for b in batches:
+        for b in blocks(batches, 1):
             texts = b.column(1).to_pylist()
             ids = [t.encode(x or "") for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], ["doc_id", "text", "ids", "decoded"])
 
-    rows = in_blocks(documents_of(docs), 256).mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
+    rows = documents_of(docs).mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
     return rows.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 

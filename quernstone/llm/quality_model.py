@@ -25,7 +25,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, in_blocks, salted_join
+from .common import blocks, checkpoint, salted_join
 from .quality_rules import NAMES, measure
 
 #: Labelled rows that the evidence is fitted on, at most.
@@ -67,7 +67,7 @@ def weights(sample: DataFrame) -> dict[int, tuple[float, float]]:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in blocks(batches, 0):
             counts: dict[int, list[int]] = {}
             for text, good, toxic in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for f in features(text):
@@ -107,7 +107,7 @@ def scored(docs: DataFrame, by: dict[int, tuple[float, float]], keep: list[str])
 
         table = sent.value
         names = {f for f in table}
-        for b in batches:
+        for b in blocks(batches, len(keep)):
             good, toxic = [], []
             for text in b.column(len(keep)).to_pylist():
                 hits = [table[f] for f in names & features(text)]
@@ -115,7 +115,7 @@ def scored(docs: DataFrame, by: dict[int, tuple[float, float]], keep: list[str])
                 toxic.append(sum(h[1] for h in hits))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(good, pa.float64()), pa.array(toxic, pa.float64())], [*keep, "s_good", "s_toxic"])
 
-    rows = in_blocks(docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")))
+    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"{schema}, s_good double, s_toxic double")
 
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents_of, in_blocks
+from .common import blocks, checkpoint, documents_of
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent function words of English, French, German and Spanish.
@@ -103,12 +103,12 @@ def measures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in blocks(batches, 1):
             rows = [measure(t or b"") for t in b.column(1).to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *NAMES])
 
-    return in_blocks(documents_of(docs)).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, MEASURES)
+    return documents_of(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, MEASURES)
 
 
 def votes(measured: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, documents_of, in_blocks, salted_join
+from .common import blocks, checkpoint, components, documents_of, salted_join
 
 BLOCKS = 4
 BITS = 64 // BLOCKS
@@ -54,10 +54,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in blocks(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
-    docs = in_blocks(documents_of(docs))
+    docs = documents_of(docs)
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

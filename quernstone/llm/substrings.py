@@ -28,7 +28,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, in_blocks, salted_join, sized_broadcast, stored
+from .common import blocks, checkpoint, salted_join, sized_broadcast
 
 CUT = 5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,7 +141,7 @@ def _repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in blocks(batches, 2):
             for _, sizes, words in _chunks(b.column(2).to_pylist()):
                 if len(words) < min_words:
                     continue
@@ -173,7 +173,7 @@ def _bitmap(h: DataFrame):
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     """(h, row, doc, no, again): every window that may be repeated, no being its first word; again if the text has had it before."""
-    rows = in_blocks(_rows(docs)).select("row", "doc", F.col("text").cast("binary").alias("text"))
+    rows = _rows(docs).select("row", "doc", F.col("text").cast("binary").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(_repeated_runs(rows, min_words)))
 
     def run(batches: Iterator) -> Iterator:
@@ -182,7 +182,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
 
         bitmap = sent.value
         low = np.uint64(len(bitmap) * 32 - 1)
-        for b in batches:
+        for b in blocks(batches, 2):
             for first, sizes, words in _chunks(b.column(2).to_pylist()):
                 if len(words) < min_words:
                     continue
@@ -209,7 +209,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
 
 def runs(docs: DataFrame, min_words: int = 16) -> DataFrame:
     """(row, doc, runs): for each text, the stretches of repeated words as (first word, last word, words, document that keeps them)."""
-    found = stored(occurrences(docs, min_words))
+    found = checkpoint(occurrences(docs, min_words))
     shared = found.groupBy("h").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("n"))
     shared = checkpoint(shared.where("n > 1").select("h", "lead", "n"))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -253,13 +253,13 @@ def removals(docs: DataFrame, min_words: int = 16) -> DataFrame:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("kept_doc_id", pa.int64())]))
-        for b in batches:
+        for b in blocks(batches, 1):
             out = []
             for text, rs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 out.append([{"start": s, "end": e, "n_words": r["words"], "kept_doc_id": r["lead"] if r["lead"] != LAST else None} for (s, e), r in zip(spans_of(text, rs), rs, strict=True)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["doc_id", "text", "spans"])
 
-    rows = in_blocks(joined).select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "text", "runs")
+    rows = joined.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "text", "runs")
     return rows.mapInArrow(run, "doc_id long, text string, spans array<struct<start:long,end:long,n_words:long,kept_doc_id:long>>")
 
 
