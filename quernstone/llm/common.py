@@ -94,11 +94,11 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, count: str, spread:
     return left.drop("_hot_key").join(right, [key, "_salt"], how).drop("_salt")
 
 
-def with_small(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column, total: int) -> DataFrame:
+def with_small(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column, total: int, how: str = "inner") -> DataFrame:
     """``big`` joined with one row per key: broadcast if that is few rows when counted, else by shuffle with salt for hot keys."""
     if small.count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), key)
-    return salted_join(big, small, key, count, spread, total)
+        return big.join(F.broadcast(small), key, how)
+    return salted_join(big, small, key, count, spread, total, how)
 
 
 def sized_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:

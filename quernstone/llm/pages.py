@@ -1,69 +1,90 @@
 """Operator 1, HTML extraction by wrapper induction.
 
-Pages of a host are aligned by simple tree matching with the host's pivot page (its smallest page_id). Nodes of the
-pivot that hold the same text on most of the aligned pages are constant: they are the host's template. The others are
-slots, and what fills them is content. Votes are counted over all pages of the host in one grouped aggregation; a page
-whose text is mostly the pivot's own is a copy of the same article and has no vote, so that copies don't turn an
-article into template.
-
-The words of a slot are content only where HTML's structure says so: navigation, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles are left out by tag, role, id and class, whether they vary or not; and a page
-with an article or main element has its content there. What remains is cut into blocks in page order.
+Pages of a host are aligned with the host's pivot page (its smallest page_id) by simple tree matching: roots of equal tags
+match, and the children's matches, in order, are those of the greatest sum of matched nodes below (exactly, for child
+lists of any length). Nodes of the pivot that hold the same text on most of the aligned pages are constant: they are the
+host's template and go wherever a page repeats them. The others are slots, and what fills them is content. Votes
+are counted over all pages of the host in one grouped aggregation; a page whose text is mostly the pivot's own is a
+copy of the same article and has no vote, so that copies don't turn an article into template.
+
+Menus, adverts or comments that differ on every page fill slots too. For these HTML's structure decides: elements that are
+never the article (navigation, footers, asides, forms, scripts, headers outside the article, hidden ones) go; an element
+whose id or class names it as one of these goes too, unless it holds the page's heading, its article or nearly all
+of its text, or is a paragraph, heading, quotation or caption with a name that only might tell. A page with article or main elements
+has its content there; on other pages lists of nothing but links are menus. What remains is cut into blocks in page order.
 
 Two passes read the pages; the pivots and templates (one per host) are broadcast if their measured size is small, else
-joined by host with salt, since one host may hold a third of all pages.
+joined by host, hot hosts with salt, since one host may hold a third of all pages.
 
 Cases: null html gives an empty text; a null or odd url is a host of its own name; pages of hosts with fewer than
-MIN_VOTES votes are cut by structure alone; unclosed tags end with their parent, a broken tag or comment at the end
-of a page is dropped; elements nested over DEEPEST levels are put beside each other; repeated rows get the same text; an empty table gives no rows; other columns are ignored.
+MIN_VOTES votes are cut by structure alone, since a single other page can't tell a template from a quotation; unclosed
+tags end with their parent, a broken tag or comment at the end of a page is dropped; elements nested over DEEPEST levels
+are put beside each other; repeated rows get the same text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import OrderedDict
 from collections.abc import Iterator
 from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SALTS, blocks, checkpoint, sized_broadcast
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, blocks, checkpoint, salted_join, sized_broadcast
 
-MIN_VOTES = 3
+MIN_VOTES = 2
 CONSTANT = 0.6
 SAME_ARTICLE = 0.5
+#: An element with this share of a page's text is no menu or advert, whatever its name.
+NEARLY_ALL = 0.8
 #: Elements nested deeper become neighbours, as in browsers.
 DEEPEST = 400
+#: Tables of child lists up to this size are kept whole; larger ones are split until they fit.
+TABLE = 1 << 22
+#: Shapes and weights that a worker remembers, and bytes of parsed pivots.
+REMEMBERED = 200_000
+PIVOT_BYTES = 4 << 20
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button".split())
+RAW = frozenset("script style textarea title iframe noscript".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
-SKIP = frozenset("script style noscript template iframe svg math object select button textarea head title nav header footer aside form dialog menu canvas audio video figcaption fieldset input".split())
+SKIP = frozenset("script style noscript template iframe svg math object select button textarea head title nav footer aside form dialog menu canvas audio video input".split())
 P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-# Words of ids and classes that name what isn't the article.
-SKIP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe signup login form search share sharing social comments comment respond disqus replies reply related recommended pagination pager toolbar copyright skip".split()
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figure figcaption li dt dd pre td th tr".split())
+# Words of ids and classes that name what isn't the article, and those that stand beside them.
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo cookie cookies consent gdpr newsletter subscribe breadcrumb breadcrumbs copyright".split())
+SKIP_WORDS = SURE_WORDS | frozenset(
+    "promotion banner nav navbar navigation menu sidebar aside footer masthead notice notices alert popup modal overlay signup login search share sharing social comments comment respond disqus "
+    "replies reply related recommended pagination pager toolbar skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments respond disqus replies related recommended".split())
+BESIDE_WORDS = frozenset("the site page global top bottom left right main primary secondary box block list wrapper wrap container area section bar link links button buttons slot unit widget module panel content inner outer item items post posts entry article articles form field text body head header title reader user thread".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "skip", "children", "number")
+    """named is 2 if the element surely isn't content by tag, role or attribute, 1 if an id or class says so, 3 if it says that it holds other articles; skip is the decision."""
+
+    __slots__ = ("tag", "named", "skip", "children", "number", "shape")
 
-    def __init__(self, tag: str, skip: bool, number: int) -> None:
-        self.tag, self.skip, self.number = tag, skip, number
+    def __init__(self, tag: str, named: int, number: int) -> None:
+        self.tag, self.named, self.number = tag, named, number
+        self.skip = False
+        self.shape = -1
         self.children: list[Node | str] = []
 
 
 def parse(html: str) -> Node:
     """A tree of elements and text pieces. Elements are numbered in page order."""
-    root = Node("", False, 0)
+    root = Node("", 0, 0)
     stack, at, n = [root], 0, 1
     for m in TOKEN.finditer(html):
         if m.start() < at:
@@ -98,7 +119,7 @@ def parse(html: str) -> Node:
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "tr", "select"):
                     break
-        node = Node(tag, tag in SKIP or (bool(m[3]) and _skipped(tag, m[3])), n)
+        node = Node(tag, 2 if tag in SKIP else _named(tag, m[3]) if m[3] else 0, n)
         n += 1
         stack[-1].children.append(node)
         if tag in RAW:
@@ -111,19 +132,53 @@ def parse(html: str) -> Node:
         rest = html[at:]
         cut = re.search(r"<[a-zA-Z/!?][^<]*\Z", rest)
         stack[-1].children.append(rest[: cut.start()] if cut else rest)
+    settle(root)
     return root
 
 
-def _skipped(tag: str, attributes: str) -> bool:
-    if tag in ("html", "body", "article", "main"):
-        return False
+def _named(tag: str, attributes: str) -> int:
+    if tag in ("html", "body", "main"):
+        return 0
+    out = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in SKIP_ROLES:
-            return True
-        if name in ("class", "id") and not SKIP_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            return 2
+        if name in ("class", "id"):
+            telling = SURE_WORDS if tag in TEXTUAL else SKIP_WORDS
+            for token in value.split():
+                words = set(WORDS.findall(token))
+                if words & telling and words <= SKIP_WORDS | BESIDE_WORDS:
+                    out = 3 if words & COMMENT_WORDS or out == 3 else 1
+    return out
+
+
+def settle(root: Node) -> None:
+    """Decides which elements are skipped; what stands in a skipped element is skipped."""
+    order: list[tuple[Node, bool]] = [(root, False)]
+    for node, inside in order:  # grows while it is read: parents before children
+        inside = inside or node.tag in ("article", "main")
+        if node.tag == "header" and not inside:
+            node.named = 2
+        order += ((c, inside) for c in node.children if isinstance(c, Node))
+    size: dict[int, int] = {}
+    holds: dict[int, int] = {}  # 2: the heading or main element, 1: an article
+    for node, _ in reversed(order):
+        if node.named == 2:
+            size[node.number], holds[node.number] = 0, 0
+            continue
+        below = [c for c in node.children if isinstance(c, Node)]
+        size[node.number] = sum(len(c) - c.count(" ") for c in node.children if isinstance(c, str)) + sum(size[c.number] for c in below)
+        own = 2 if node.tag in ("h1", "main") else int(node.tag == "article" and not node.named)
+        holds[node.number] = max([own, *(holds[c.number] for c in below)])
+    total = size[root.number]
+    for node, _ in order:
+        if not node.skip:
+            exempt = holds[node.number] > (node.named == 3) or size[node.number] >= NEARLY_ALL * total
+            node.skip = node.named == 2 or node.named > 0 and not exempt
+        if node.skip:
+            for c in elements(node):
+                c.skip = True
 
 
 def own_text(node: Node) -> str:
@@ -151,59 +206,172 @@ def elements(node: Node) -> list[Node]:
     return [c for c in node.children if isinstance(c, Node)]
 
 
-def match(a: Node, b: Node, out: list[tuple[Node, Node]]) -> None:
-    """Simple tree matching: roots with equal tags match, children match in order, as many as can.
-
-    Equal ends of the child lists are matched first, which keeps an optimal match; what is left in the middle is solved
-    by dynamic programming over tags, or if it is very long, cut into runs that are matched in order.
-    """
-    todo = [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        out.append((x, y))
-        p, q = elements(x), elements(y)
+class _Shapes:
+    """Trees of tags, told apart by numbers, with the weights of simple tree matching between them."""
+
+    def __init__(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.all: list[tuple] = []
+        self.sizes: list[int] = []
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def of(self, root: Node) -> int:
+        """The number of a node's shape; its descendants get theirs."""
+        if len(self.all) > REMEMBERED:
+            raise OverflowError
+        todo = [root]
+        for node in todo:
+            todo += elements(node)
+        for node in reversed(todo):
+            key = (node.tag, *(c.shape for c in elements(node)))
+            known = self.ids.get(key)
+            if known is None:
+                known = self.ids[key] = len(self.all)
+                self.all.append(key)
+                self.sizes.append(1 + sum(self.sizes[k] for k in key[1:]))
+            node.shape = known
+        return root.shape
+
+    def weight(self, a: int, b: int) -> int:
+        """How many nodes two trees have in common at best."""
+        if a == b:
+            return self.sizes[a]
+        p, q = self.all[a], self.all[b]
+        if p[0] != q[0]:
+            return 0
+        if len(p) == 1 or len(q) == 1:
+            return 1
+        if a > b:
+            a, b, p, q = b, a, q, p
+        known = self.weights.get((a, b))
+        if known is None:
+            known = self.weights[a, b] = 1 + sum(w for _, _, w in self.pairs(p[1:], q[1:]))
+        return known
+
+    def pairs(self, p: tuple, q: tuple) -> list[tuple[int, int, int]]:
+        """(place in p, place in q, weight): the children's match of the greatest sum, in order."""
         i = 0
-        while i < len(p) and i < len(q) and p[i].tag == q[i].tag:
-            todo.append((p[i], q[i]))
+        while i < len(p) and i < len(q) and p[i] == q[i]:
             i += 1
         j = 0
-        while j < len(p) - i and j < len(q) - i and p[-1 - j].tag == q[-1 - j].tag:
-            todo.append((p[-1 - j], q[-1 - j]))
+        while j < len(p) - i and j < len(q) - i and p[-1 - j] == q[-1 - j]:
             j += 1
-        p, q = p[i : len(p) - j], q[i : len(q) - j]
+        # equal trees at the ends match each other in some best match
+        out = [(k, k, self.sizes[p[k]]) for k in range(i)]
+        out += ((x + i, y + i, w) for x, y, w in self._middle(p[i : len(p) - j], q[i : len(q) - j]))
+        return out + [(len(p) - k, len(q) - k, self.sizes[p[-k]]) for k in range(j, 0, -1)]
+
+    def _row(self, x: int, q: tuple, places: dict):
+        import numpy as np
+
+        out = np.zeros(len(q), dtype=np.int64)
+        for y, at in places.items():
+            if w := self.weight(x, y):
+                out[at] = w
+        return out
+
+    def _middle(self, p: tuple, q: tuple) -> list[tuple[int, int, int]]:
         if not p or not q:
-            continue
-        for k in range(0, max(len(p), len(q)), 200):
-            todo += _middle(p[k : k + 200], q[k : k + 200])
-
-
-def _size(node: Node) -> int:
-    return 1 + sum(1 for _ in elements(node))
-
-
-def _middle(p: list[Node], q: list[Node]) -> list[tuple[Node, Node]]:
-    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for i, x in enumerate(p):
-        for j, y in enumerate(q):
-            gain = best[i][j] + min(_size(x), _size(y)) if x.tag == y.tag else -1
-            best[i + 1][j + 1] = max(gain, best[i][j + 1], best[i + 1][j])
-    i, j, out = len(p), len(q), []
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((p[i], q[j]))
+            return []
+        if len(p) * len(q) <= 400:
+            return self._small(p, q)
+        import numpy as np
+
+        places: dict[int, list[int]] = {}
+        for k, y in enumerate(q):
+            places.setdefault(y, []).append(k)
+        known: dict[int, object] = {}
+
+        def row(x: int):
+            if x not in known:
+                known[x] = self._row(x, q, places)
+            return known[x]
+
+        def last_rows(a: int, z: int, c: int, d: int, back: bool):
+            """The best sums of p[a:z] with every beginning of q[c:d] (ends, if back)."""
+            best = np.zeros(d - c + 1, dtype=np.int64)
+            for k in range(z - 1, a - 1, -1) if back else range(a, z):
+                w = row(p[k])[c:d]
+                new = np.maximum(best[1:], best[:-1] + (w[::-1] if back else w))
+                best[1:] = np.maximum.accumulate(new)
+            return best[::-1] if back else best
+
+        out: list[tuple[int, int, int]] = []
+        todo = [(0, len(p), 0, len(q))]
+        while todo:
+            a, z, c, d = todo.pop()
+            if a == z or c == d:
+                continue
+            if (z - a) * (d - c) > TABLE and z - a > 1:
+                # the best match goes through some column at the middle row
+                mid = (a + z) // 2
+                cut = c + int(np.argmax(last_rows(a, mid, c, d, False) + last_rows(mid, z, c, d, True)))
+                todo += [(a, mid, c, cut), (mid, z, cut, d)]
+                continue
+            table = np.zeros((z - a + 1, d - c + 1), dtype=np.int64)
+            for k in range(a, z):
+                table[k - a + 1, 1:] = np.maximum.accumulate(np.maximum(table[k - a, 1:], table[k - a, :-1] + row(p[k])[c:d]))
+            i, j = z - a, d - c
+            while i and j:
+                if table[i, j] == table[i - 1, j]:
+                    i -= 1
+                elif table[i, j] == table[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((a + i, c + j, int(row(p[a + i])[c + j])))
+        return sorted(out)
+
+    def _small(self, p: tuple, q: tuple) -> list[tuple[int, int, int]]:
+        weights = [[self.weight(x, y) for y in q] for x in p]
+        best = [[0] * (len(q) + 1)]
+        for own in weights:
+            last, new = best[-1], [0]
+            for j, w in enumerate(own):
+                new.append(max(last[j] + w, last[j + 1], new[j]))
+            best.append(new)
+        i, j, out = len(p), len(q), []
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j, weights[i][j]))
+        return out[::-1]
+
+
+_shapes = _Shapes()
+
+
+def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """The nodes that simple tree matching pairs; none if the roots' tags differ."""
+    global _shapes
+    # a level of elements takes two or three calls
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEEPEST))
+    if len(_shapes.all) > REMEMBERED // 2 or len(_shapes.weights) > REMEMBERED:
+        _shapes = _Shapes()
+    try:
+        _shapes.of(a), _shapes.of(b)
+    except OverflowError:  # one page of very many shapes
+        _shapes = _Shapes()
+        _shapes.of(a), _shapes.of(b)
+    if a.tag != b.tag:
+        return []
+    out, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        out.append((x, y))
+        p, q = elements(x), elements(y)
+        if p and q:
+            todo += ((p[i], q[j]) for i, j, w in _shapes.pairs(_shapes.all[x.shape][1:], _shapes.all[y.shape][1:]) if w)
     return out
 
 
 def votes(pivot: Node, page: Node) -> list[tuple[int, int]]:
     """(pivot's node number, 1 if the page has the same text there) for matched nodes with text of their own."""
-    pairs: list[tuple[Node, Node]] = []
-    match(pivot, page, pairs)
-    both = [(x.number, s, own_text(y)) for x, y in pairs if not x.skip and (s := own_text(x))]
+    both = [(x.number, s, own_text(y)) for x, y in match(pivot, page) if not x.skip and (s := own_text(x))]
     total = sum(len(s) for _, s, _ in both)
     same = sum(len(s) for _, s, t in both if s == t)
     if not total or same > SAME_ARTICLE * total:
@@ -211,51 +379,74 @@ def votes(pivot: Node, page: Node) -> list[tuple[int, int]]:
     return [(n, int(s == t)) for n, s, t in both]
 
 
+def _links_only(node: Node) -> bool:
+    """A list, or a box without running text, of three links or more and nothing else."""
+    if node.tag not in ("ul", "ol", "div", "section", "table"):
+        return False
+    links, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        if x.tag == "a":
+            links += 1
+            continue
+        if x.tag in ("p", "h1", "h2", "h3") or any(isinstance(c, str) and any(k.isalnum() for k in unescape(c)) for c in x.children):
+            return False
+        todo += elements(x)
+    return links >= 3
+
+
 def extract(page: Node, pivot: Node | None = None, constant: frozenset[int] = frozenset()) -> list[str]:
     """The blocks of the main text. ``constant`` numbers nodes of the pivot that are template."""
     template: dict[int, str] = {}
     if pivot is not None and constant:
-        pairs: list[tuple[Node, Node]] = []
-        match(pivot, page, pairs)
-        template = {y.number: own_text(x) for x, y in pairs if x.number in constant}
+        template = {y.number: own_text(x) for x, y in match(pivot, page) if x.number in constant}
     mains: list[Node] = []
 
     def find(node: Node) -> None:
         for c in elements(node):
+            if c.skip:
+                continue
             if c.tag in ("article", "main"):
                 mains.append(c)
-            elif not c.skip:
+            else:
                 find(c)
 
     find(page)
-    blocks: list[str] = []
+    found: list[str] = []
     now: list[str] = []
 
     def flush(node: Node) -> None:
         text = tidy("".join(now))
         now.clear()
         if text and template.get(node.number) != text:
-            blocks.append(text)
+            found.append(text)
 
-    def walk(node: Node, holder: Node) -> None:
+    def walk(node: Node, holder: Node, menus: bool) -> None:
         for c in node.children:
             if isinstance(c, str):
                 now.append(c)
             elif c.tag == "br":
                 now.append(" ")
-            elif c.skip:
+            elif c.skip or menus and _links_only(c):
                 continue
             elif c.tag in INLINE:
-                walk(c, holder)
+                walk(c, holder, menus)
             else:
                 flush(holder)
-                walk(c, c)
+                walk(c, c, menus)
                 flush(c)
 
-    for m in mains or [page]:
-        walk(m, m)
+    for m in mains:
+        walk(m, m, False)
         flush(m)
-    return blocks
+    if not found and (not mains or not any(tidy(text_of(m)) for m in mains)):
+        walk(page, page, True)
+        flush(page)
+    return found
+
+
+def text_of(node: Node) -> str:
+    return "".join(c if isinstance(c, str) else text_of(c) for c in node.children if isinstance(c, str) or not c.skip)
 
 
 def _host(url) -> object:
@@ -263,37 +454,40 @@ def _host(url) -> object:
 
 
 def pages_of(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", _host(F.col("url")))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", _host(F.col("url")))
 
 
 def _beside(pages: DataFrame, hosts: DataFrame, size: int) -> DataFrame:
-    """Pages with their host's row of ``hosts``."""
-    if size <= BROADCAST_BYTES:
+    """Pages with their host's row of ``hosts``, which counts the host's pages in n."""
+    if size <= BROADCAST_BYTES and hosts.count() <= BROADCAST_ROWS:
         return pages.join(F.broadcast(hosts), "host", "left")
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    many = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("salt", salt).join(many, ["host", "salt"], "left").drop("salt")
+    # the join sorts by host, so that a task parses a pivot once
+    return salted_join(pages, hosts, "host", "n", F.col("page_id"), pages.count(), "left")
 
 
 class _Pivots:
-    """The last pivots that a task has parsed."""
+    """The last pivots that a task has parsed, up to PIVOT_BYTES of them."""
 
-    def __init__(self, most: int = 64) -> None:
-        self.most, self.trees = most, {}
+    def __init__(self) -> None:
+        self.trees: OrderedDict[str, tuple[Node, int]] = OrderedDict()
+        self.bytes = 0
 
     def __call__(self, host: str, html: str) -> Node:
-        if host not in self.trees:
-            if len(self.trees) >= self.most:
-                self.trees.clear()
-            self.trees[host] = parse(html)
-        return self.trees[host]
+        if host in self.trees:
+            self.trees.move_to_end(host)
+        else:
+            self.trees[host] = (parse(html), len(html))
+            self.bytes += len(html)
+            while self.bytes > PIVOT_BYTES and len(self.trees) > 1:
+                self.bytes -= self.trees.popitem(last=False)[1][1]
+        return self.trees[host][0]
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, pivot, constant): the pivot page of each host and the numbers of its constant nodes."""
     first = pages.where("html <> ''").groupBy("host").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
-    chosen = sized_broadcast(checkpoint(first.where(f"n > {MIN_VOTES}").select("host", "page_id")), 96)
-    pivots = checkpoint(pages.where("html <> ''").join(chosen, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("pivot")))
+    chosen = sized_broadcast(checkpoint(first.where(f"n > {MIN_VOTES}").select("host", "page_id", "n")), 104)
+    pivots = checkpoint(pages.where("html <> ''").join(chosen, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("pivot"), F.max("n").alias("n")))
     size = pivots.agg(F.coalesce(F.sum(F.octet_length("pivot") + 64), F.lit(0))).first()[0]
 
     def run(batches: Iterator) -> Iterator:

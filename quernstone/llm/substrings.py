@@ -1,76 +1,46 @@
-"""Operator 8, substring dedup by exact windows of words.
+"""Operator 8, substring dedup by line hashing, and windows of words within the lines that are left.
 
-Words are runs of bytes other than white space, A-Z in lower case; lines don't matter. A window is ``min_words`` consecutive words.
-A window that a smaller doc_id has had, or the same text before, is removed; all others stay. So a word goes exactly if it
-stands in a window that stands whole in one earlier place, wherever passages begin and end.
+Units are lines: words are runs of bytes other than white space, A-Z in lower case; a line's words, joined by single
+spaces, give its digest. Digests are grouped over all documents. The earliest line of each digest stays, all others go,
+whatever their length; earliest is by doc_id, digest of the whole text, line number.
 
-Only windows that may be repeated are listed. Each holds runs of half its words; the run with the smallest hash is the same
-wherever the window stands (winnowing), and about every fifth word begins such a run. Runs are counted over all documents; windows whose smallest
-run occurs once can't be repeated. Counts go to the second reading as a bitmap of bounded size, whose chance
-hits cost rows but change nothing. The windows left are grouped by their digests, and the smallest doc_id keeps them.
+A passage can repeat inside lines that differ elsewhere. So in the lines that are left, a window of ``min_words`` consecutive
+words goes if an earlier place has had it: an earlier line, or the same line ``min_words`` words before at least. Only
+windows that may be repeated are listed. Each holds runs of half its words; the run with the smallest hash is the same
+wherever the window stands (winnowing), and about every fifth word begins such a run. Runs are counted over all lines
+left; windows whose smallest run occurs once can't be repeated. Counts go to the second reading as a bitmap of bounded
+size, whose chance hits cost rows but change nothing. The windows left are grouped by their digests.
 
-A span is the words of windows that follow each other and have the same keeper, so kept_doc_id holds all of them; where
-windows overlap but the keeper or the passage changes, a new span begins with the next word (it may be short). Its place in the original text is kept in code points.
+A span is a line, or the words of windows that follow each other both here and in one earlier place, so kept_doc_id holds
+all of them; where windows overlap but the earlier place changes, a new span begins behind the last one. Its
+place in the original text is kept in code points; texts are neither shuffled nor joined again.
 
 Digests have 64 bits.
 
-Cases: null text counts as empty; rows without doc_id rank last; rows of one doc_id don't count against each other; a
-repetition within a text is removed like any other, but a text of nothing but one word over and over doesn't count against
-itself; an empty table gives no rows; other columns are ignored.
+Cases: null text counts as empty; lines without words are never removed; rows without doc_id rank last and are told
+apart by their texts; rows of the same doc_id and text are one document, listed once, and don't count against each other;
+a repetition within a text is removed like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, salted_join, sized_broadcast
+from .common import LAST, blocks, checkpoint, identity, with_small
 
-CUT = 5
+SPACES = "\x20\t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LAST = (1 << 63) - 1
 #: Odd factor of the rolling digests.
 FACTOR = 0x9E3779B97F4A7C15
 #: Words of a batch that are worked on at once, about.
 AT_ONCE = 1 << 20
 #: The bitmap of repeated runs has so many bits at most.
 MOST_BITS = 1 << 28
-
-
-class _Cuts(dict):
-    """Whether a unit ends after a word."""
-
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = cut = crc32(word) % CUT == 0
-        return cut
-
-
-_cuts = _Cuts()
-
-
-def units(data: bytes) -> Iterator[list[bytes]]:
-    """The words of each unit, in order."""
-    for line in data.lower().split(b"\n"):
-        words = line.split()
-        at = 0
-        for i, cut in enumerate(map(_cuts.__getitem__, words), 1):
-            if cut:
-                yield words[at:i]
-                at = i
-        if at < len(words):
-            yield words[at:]
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """(row, doc, text): row tells texts of one doc_id apart."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
+PLACE = ["doc", "th", "no"]
 
 
 class _Digests(dict):
@@ -134,15 +104,45 @@ def _windows(sizes: list[int], words: list[int], min_words: int):
     return whole, least, runs, a
 
 
-def _repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc, th, no, key, start, words, line): every line with words; start in code points of the text, line without white space around."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        for b in blocks(batches, 2):
+            rows, nos, keys, starts, words, lines = [], [], [], [], [], []
+            for row, text in enumerate(b.column(2).to_pylist()):
+                at = 0
+                for no, raw in enumerate(text.split("\n")):
+                    line = raw.strip(SPACES)
+                    if line:
+                        own = line.encode().lower().split()
+                        rows.append(row)
+                        nos.append(no)
+                        keys.append(xxh64_intdigest(b" ".join(own), 8))
+                        starts.append(at + len(raw) - len(raw.lstrip(SPACES)))
+                        words.append(len(own))
+                        lines.append(line)
+                    at += len(raw) + 1
+            at = pa.array(rows, pa.int32())
+            keys = pa.array(keys, pa.uint64()).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(nos, pa.int32()), keys, pa.array(starts, pa.int64()), pa.array(words, pa.int64()), pa.array(lines, pa.string())], ["doc", "th", "no", "key", "start", "words", "line"])
+
+    rows = docs.select(*identity(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc long, th long, no int, key long, start long, words long, line string")
+
+
+def _repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """(h): every run that is the smallest of a window and occurs twice or more."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for b in blocks(batches, 2):
-            for _, sizes, words in _chunks(b.column(2).to_pylist()):
+        for b in blocks(batches, 0):
+            for _, sizes, words in _chunks(b.column(0).to_pylist()):
                 if len(words) < min_words:
                     continue
                 whole, least, runs, _ = _windows(sizes, words, min_words)
@@ -152,7 +152,8 @@ def _repeated_runs(rows: DataFrame, min_words: int) -> DataFrame:
                 chosen = runs[_sliding(around, side + 1, np.maximum) == runs]
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.view(np.int64))], ["h"])
 
-    return rows.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    texts = lines.where(F.col("words") >= min_words).select(F.col("line").cast("binary").alias("line"))
+    return texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
 
 
 def _bitmap(h: DataFrame):
@@ -171,10 +172,9 @@ def _bitmap(h: DataFrame):
     return out
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """(h, row, doc, no, again): every window that may be repeated, no being its first word; again if the text has had it before."""
-    rows = _rows(docs).select("row", "doc", F.col("text").cast("binary").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(_repeated_runs(rows, min_words)))
+def windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """(h, doc, th, no, i, a, z): every window that may be repeated: its first word's number, its begin and end in the text."""
+    sent = lines.sparkSession.sparkContext.broadcast(_bitmap(_repeated_runs(lines, min_words)))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -182,97 +182,99 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
 
         bitmap = sent.value
         low = np.uint64(len(bitmap) * 32 - 1)
-        for b in blocks(batches, 2):
-            for first, sizes, words in _chunks(b.column(2).to_pylist()):
+        for b in blocks(batches, 4):
+            lines = b.column(4).to_pylist()
+            for first, sizes, words in _chunks([x.encode() for x in lines]):
                 if len(words) < min_words:
                     continue
                 whole, least, _, a = _windows(sizes, words, min_words)
                 least &= low
                 maybe = np.flatnonzero(whole & ((bitmap[least >> np.uint64(5)] >> (least & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool))
+                if not len(maybe):
+                    continue
                 h = _rolling(a, min_words)[maybe]
-                text = np.repeat(np.arange(len(sizes)), sizes)[maybe]
-                begins = np.cumsum(sizes) - sizes
-                order = np.lexsort((maybe, h, text))
-                again = np.zeros(len(maybe), dtype=bool)
-                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-                # a text of one word over and over has no passage
-                changes = np.append(0, np.cumsum(a[1:] != a[:-1]))
-                again &= changes[begins[text] + np.array(sizes)[text] - 1] > changes[begins[text]]
-                at = pa.array(text + first)
+                own = np.repeat(np.arange(len(sizes)), sizes)[maybe]
+                i = maybe - (np.cumsum(sizes) - sizes)[own]
+                begins, ends = np.empty(len(i), np.int64), np.empty(len(i), np.int64)
+                cuts = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
+                for k, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    places = np.array([m.span() for m in WORD.finditer(lines[first + int(own[k])])])
+                    begins[k:z] = places[i[k:z], 0]
+                    ends[k:z] = places[i[k:z] + min_words - 1, 1]
+                at = pa.array(own + first)
+                start = b.column(3).take(at).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array((maybe - begins[text]).astype(np.int32)), pa.array(again)],
-                    ["h", "row", "doc", "no", "again"],
+                    [pa.array(h.view(np.int64)), *(b.column(c).take(at) for c in range(3)), pa.array(i.astype(np.int32)), pa.array(begins + start), pa.array(ends + start)],
+                    ["h", "doc", "th", "no", "i", "a", "z"],
                 )
 
-    return rows.mapInArrow(run, "h long, row long, doc long, no int, again boolean")
+    long = lines.where(F.col("words") >= min_words).select("doc", "th", "no", "start", "line")
+    return long.mapInArrow(run, "h long, doc long, th long, no int, i int, a long, z long")
+
+
+def passages(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc, th, start, end, n_words, kept): the stretches of words that an earlier place has had, over ``lines``."""
+    listed = checkpoint(windows(lines, min_words))
+    first = listed.groupBy("h").agg(F.min(F.struct(*PLACE, "i")).alias("p"), F.count(F.lit(1)).alias("n"))
+    first = checkpoint(first.where("n > 1").select("h", "n", F.col("p.doc").alias("_doc"), F.col("p.th").alias("_th"), F.col("p.no").alias("_no"), F.col("p.i").alias("_i")))
+    total = int(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    same = F.expr("doc = _doc and th = _th and no = _no")
+    later = with_small(listed, first, "h", "n", F.struct(*PLACE, "i"), total).where(~same | (F.col("i") - F.col("_i") >= min_words)).dropDuplicates([*PLACE, "i"])
+    # one partition is one line's own windows
+    along = Window.partitionBy(*PLACE).orderBy("i")
+    before = F.lag(F.struct("_doc", "_th", "_no", F.col("_i") - F.col("i"), F.col("i") + 1)).over(along)
+    follows = before == F.struct("_doc", "_th", "_no", F.col("_i") - F.col("i"), F.col("i"))
+    run = F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(along)
+    spans = later.withColumn("run", run).groupBy(*PLACE, "run").agg(F.min("i").alias("i"), (F.max("i") + min_words).alias("j"), F.min("a").alias("a"), F.max("z").alias("z"), F.min("_doc").alias("kept"))
+    order = Window.partitionBy(*PLACE).orderBy("run")
+    # where the last span ends within this one, this one has the words behind it
+    last = spans.withColumns({"_j": F.lag("j").over(order), "_z": F.lag("z").over(order)})
+    over = F.coalesce(F.col("_j") > F.col("i"), F.lit(False))
+    out = last.select("doc", "th", F.when(over, F.col("_z")).otherwise(F.col("a")).alias("start"), F.col("z").alias("end"), (F.col("j") - F.when(over, F.col("_j")).otherwise(F.col("i"))).cast("long").alias("n_words"), "kept")
+    return out.where("n_words > 0")
 
 
-def runs(docs: DataFrame, min_words: int = 16) -> DataFrame:
-    """(row, doc, runs): for each text, the stretches of repeated words as (first word, last word, words, document that keeps them)."""
-    found = checkpoint(occurrences(docs, min_words))
-    shared = found.groupBy("h").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("n"))
-    shared = checkpoint(shared.where("n > 1").select("h", "lead", "n"))
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # a window of no other place can't be repeated; of the others, those that a smaller doc_id or the same text has had
-    marked = salted_join(found, shared, "h", "n", F.col("row"), total).where("again or doc <> lead")
-    # one group is one text's own windows
-    grouped = marked.groupBy("row", "doc").agg(F.collect_list(F.struct("no", "lead")).alias("u"))
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for us in b.column(2):
-                no, at = np.unique(us.values.field(0).to_numpy(), return_index=True)
-                lead = us.values.field(1).to_numpy()[at]
-                new = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (no[1:] > no[:-1] + 1)))
-                last = np.append(new[1:], len(no)) - 1
-                z = no[last] + min_words - 1
-                a = np.maximum(no[new], np.append(-1, z[:-1]) + 1)
-                out.append([{"a": i, "z": j, "words": j - i + 1, "lead": k} for i, j, k in zip(a.tolist(), z.tolist(), lead[new].tolist(), strict=True)])
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32()), ("words", pa.int32()), ("lead", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["row", "doc", "runs"])
-
-    return grouped.select("row", "doc", "u").mapInArrow(run, "row long, doc long, runs array<struct<a:int,z:int,words:int,lead:long>>")
+def removals(docs: DataFrame, min_words: int = 16) -> DataFrame:
+    """(doc, th, start, end, n_words, kept): the removed spans of every document, by its identity."""
+    lines = checkpoint(lines_of(docs))
+    first = lines.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("p"), F.count(F.lit(1)).alias("n"))
+    first = checkpoint(first.where("n > 1").select("key", "n", F.col("p.doc").alias("_doc"), F.col("p.th").alias("_th"), F.col("p.no").alias("_no")))
+    total = int(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    spread, again = F.struct(*PLACE), F.expr("doc <> _doc or th <> _th or no <> _no")
+    sized = lines.select(*PLACE, "key", "start", "words", F.length("line").alias("size"))
+    gone = with_small(sized, first, "key", "n", spread, total).where(again).dropDuplicates(PLACE)
+    gone = gone.select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"), F.col("words").alias("n_words"), F.col("_doc").alias("kept"))
+    # the lines that stay: those of no other place, and the first places of the others
+    left = with_small(lines, first, "key", "n", spread, total, "left").where(F.col("_doc").isNull() | ~again)
+    return gone.unionByName(passages(checkpoint(left.select(*PLACE, "start", "words", "line")), min_words))
 
 
-def spans_of(text: str, runs: list[dict]) -> list[tuple[int, int]]:
-    """Where stretches of words stand in the original text."""
-    places = [m.span() for m in WORD.finditer(text)]
-    return [(places[r["a"]][0], places[r["z"]][1]) for r in runs]
+def removed_spans(docs: DataFrame, min_words: int = 16) -> DataFrame:
+    """One row per removed span: doc_id, start, end (code points), n_words, kept_doc_id (null: a row without doc_id)."""
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return removals(docs, min_words).select(known("doc").alias("doc_id"), "start", "end", "n_words", known("kept").alias("kept_doc_id"))
 
 
-def removals(docs: DataFrame, min_words: int = 16) -> DataFrame:
-    """doc_id, text, spans: every row of ``docs`` that loses something, with (start, end, n_words, kept_doc_id) in code points."""
-    found = checkpoint(runs(docs, min_words))
-    joined = _rows(docs).join(sized_broadcast(found.drop("doc"), 96), "row")
+def deduplicated(docs: DataFrame, min_words: int = 16) -> DataFrame:
+    """doc_id, text without its spans, spans (original offsets), for every row of ``docs``."""
+    kind = "array<struct<start:long,end:long,n_words:long,kept_doc_id:long>>"
+    kept = F.when(F.col("kept") != LAST, F.col("kept")).alias("kept_doc_id")
+    # a group is one text's own spans
+    cuts = removals(docs, min_words).groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "n_words", kept))).alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *identity(docs))
+    joined = rows.join(checkpoint(cuts), ["doc", "th"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("kept_doc_id", pa.int64())]))
         for b in blocks(batches, 1):
-            out = []
-            for text, rs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                out.append([{"start": s, "end": e, "n_words": r["words"], "kept_doc_id": r["lead"] if r["lead"] != LAST else None} for (s, e), r in zip(spans_of(text, rs), rs, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["doc_id", "text", "spans"])
-
-    rows = joined.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "text", "runs")
-    return rows.mapInArrow(run, "doc_id long, text string, spans array<struct<start:long,end:long,n_words:long,kept_doc_id:long>>")
-
-
-def removed_spans(docs: DataFrame, min_words: int = 16) -> DataFrame:
-    """One row per removed span: doc_id, start, end (code points), n_words, kept_doc_id."""
-    return removals(docs, min_words).select("doc_id", F.inline("spans"))
-
-
-def deduplicated(docs: DataFrame, min_words: int = 16) -> DataFrame:
-    """doc_id, text without its spans, spans (original offsets), for every row of ``docs``."""
-    cut = removals(docs, min_words)
-    at = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"))
-    done = cut.select(F.xxhash64("doc_id", "text").alias("row"), F.aggregate("spans", at, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))).alias("cut"), "spans").dropDuplicates(["row"])
-    base = _rows(docs)
-    return base.join(done, "row", "left").select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), F.coalesce("cut", "text").alias("text"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long,n_words:long,kept_doc_id:long>>")).alias("spans"))
+            texts = []
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                out, at = [], 0
+                for x in spans:
+                    out.append(text[at : x["start"]])
+                    at = x["end"]
+                texts.append("".join([*out, text[at:]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], ["doc_id", "text", "spans"])
+
+    return joined.mapInArrow(run, f"doc_id long, text string, spans {kind}")

@@ -4,7 +4,8 @@ import random
 import re
 from html import unescape
 
-from quernstone.llm.pages import extract, main_text, match, parse
+from quernstone.llm import pages
+from quernstone.llm.pages import Node, elements, extract, main_text, match, parse, votes
 from quernstone.llm.queries import op1_main_text
 
 
@@ -46,11 +47,77 @@ def test_template_is_found_by_alignment(spark):
         assert got[i] == "\n\n".join([title, *body])
 
 
-def test_matching_is_best():
-    a, b = parse("<ul><li>1<li>2</ul><p>x<table><tr><td>1</table>"), parse("<p>x<ul><li>1<li>2<li>3</ul><table><tr><td>2</table>")
-    pairs = []
-    match(a, b, pairs)
-    assert sorted(x.tag for x, _ in pairs) == ["", "li", "li", "table", "td", "tr", "ul"]
+def textbook(a: Node, b: Node) -> int:
+    """Simple tree matching as published: the full table of the children's weights."""
+    if a.tag != b.tag:
+        return 0
+    p, q = elements(a), elements(b)
+    m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i, x in enumerate(p):
+        for j, y in enumerate(q):
+            m[i + 1][j + 1] = max(m[i + 1][j], m[i][j + 1], m[i][j] + textbook(x, y))
+    return m[-1][-1] + 1
+
+
+def random_tree(rng: random.Random, depth: int, width: int) -> str:
+    tag = rng.choice(("div", "section", "span"))
+    return f"<{tag}>" + "".join(random_tree(rng, depth - 1, width) for _ in range(rng.randint(0, width) if depth else 0)) + f"</{tag}>"
+
+
+def checked(a: Node, b: Node) -> int:
+    """The number of matched nodes, after a check that the pairs are a match: equal tags, parents matched, in order."""
+    pairs = match(a, b)
+    up = {id(c): n for t in (a, b) for n in walk(t) for c in elements(n)}
+    of = {id(x): y for x, y in pairs}
+    assert len(of) == len({id(y) for _, y in pairs}) == len(pairs)
+    for x, y in pairs:
+        assert x.tag == y.tag and (x is a and y is b or of[id(up[id(x)])] is up[id(y)])
+    for x, _ in pairs:
+        at = [of[id(c)].number for c in elements(x) if id(c) in of]
+        assert at == sorted(at)
+    return len(pairs)
+
+
+def walk(node: Node):
+    yield node
+    for c in elements(node):
+        yield from walk(c)
+
+
+def test_matching_equals_the_textbook(monkeypatch):
+    rng = random.Random(1)
+    for k in range(300):
+        a, b = (parse(random_tree(rng, rng.randint(1, 4), 4)) for _ in range(2))
+        assert checked(a, b) == textbook(a, b)
+    # long child lists: by rows of a table, and split where the table is too large
+    for most in (pages.TABLE, 300):
+        monkeypatch.setattr(pages, "TABLE", most)
+        for _ in range(6):
+            a, b = (parse("<ul>" + "".join(random_tree(rng, 2, 2) for _ in range(rng.randint(25, 60))) + "</ul>") for _ in range(2))
+            assert checked(a, b) == textbook(a, b)
+    a, b = parse("<div>ad</div><div><p>x<p>y<p>z</div>"), parse("<div><p>x<p>y<p>z</div>")
+    assert checked(a, b) == 5
+    a, b = (parse("<ul>" + "".join(rng.choice(("<li>x</li>", "<li><b>x</b></li>", "<p>x</p>")) for _ in range(6000)) + "</ul>") for _ in range(2))
+    assert checked(a, b) > 4000
+
+
+def test_deep_trees_match():
+    a, b = parse("<div>" * 390 + "<p>x<p>y"), parse("<div>" * 390 + "<b>z</b><p>x")
+    assert checked(a, b) == 392
+
+
+def test_template_goes_and_slots_stay_inside_an_article():
+    """Votes decide inside the article too: a constant paragraph goes, whatever its name, a varying one stays."""
+    make = lambda k: parse(f"<article><h1>t{k}</h1><p>Read our paper every day and night</p><p class=notice>text {k} of its own</p><p>body {k} " + f"w{k} " * 20 + "</p></article>")
+    pivot = make(0)
+    counts: dict[int, list[int]] = {}
+    for k in range(1, 5):
+        for n, same in votes(pivot, make(k)):
+            c = counts.setdefault(n, [0, 0])
+            c[0] += 1
+            c[1] += same
+    constant = frozenset(n for n, (seen, same) in counts.items() if same >= 0.6 * seen)
+    assert extract(make(3), pivot, constant) == ["t3", "text 3 of its own", "body 3" + " w3" * 20]
 
 
 def test_structure():
@@ -61,6 +128,19 @@ def test_structure():
     assert extract(parse("<p>a<style>p{}</style>b</p><div hidden>x</div><table><tr><td>1<td>2</table>")) == ["ab", "1", "2"]
 
 
+def test_names_only_tell_apart_what_is_no_article():
+    assert extract(parse('<div class="page has-sidebar"><h1>T</h1><p>Body text</p></div>')) == ["T", "Body text"]
+    assert extract(parse('<div class="sidebar"><h1>T</h1><p>Body text</p></div>')) == ["T", "Body text"]
+    html = """<article><header><h1>T</h1></header><p class="notice">n</p><div class="share-price">p</div><blockquote class="reply">r</blockquote><figure><img><figcaption>c</figcaption></figure>
+    <div class="share-buttons">no</div><p class="ad">no</p><article class="comment"><p>no no no no no</p></article><div id="ad-slot-3">no</div><section class="comments"><h3>no</h3><article><p>no</p></article></section></article>"""
+    assert extract(parse(html)) == ["T", "n", "p", "r", "c"]
+    # without an article, menus are lists of links
+    html = "<div><a href=1>one</a> | <a href=2>two</a> | <a href=3>three</a></div><div class='wrap'><h1>T</h1><p>Body <a href=4>link</a></p><ul><li>an <a href=5>item</a></ul></div><div class=comments><p>no</p></div>"
+    assert extract(parse(html)) == ["T", "Body link", "an item"]
+    assert extract(parse("<p>a</p><svg><svg>x</svg>inner</svg><p>b</p><header>no</header>")) == ["a", "b"]
+    assert extract(parse("<main></main><div><p>body</p></div>")) == ["body"]
+
+
 def test_cases(spark):
     rows = [(1, None, None), (2, "", ""), (3, None, "<article>" + "<p>para" * 50_000), (3, None, "<p>x"), (4, "http://h/", "<p>" * 100), (5, "http://h/", "no tags"), (None, "http://h/", "<div>" * 3000 + "deep")]
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "page_id long, url string, html string, text string, host int, n_chars int")

@@ -1,52 +1,75 @@
 from __future__ import annotations
 
 import random
-from zlib import crc32
+
+import pytest
 
 from quernstone.llm.queries import op8_substrings
-from quernstone.llm.substrings import CUT, WORD, deduplicated, removed_spans, units
-
-
-def brute(rows: list[tuple[int, str | None]], min_words: int = 16) -> dict[int, list[tuple[int, int]]]:
-    """Spans by document: units that an earlier document or the same text has had, in runs of enough words."""
-    lists = {}
-    for d, t in sorted(rows):
-        t = t or ""
-        out, now = [], []
-        for m in WORD.finditer(t):
-            if now and "\n" in t[now[-1].end() : m.start()]:
-                out.append(now)
-                now = []
-            now.append(m)
-            if crc32(m[0].encode().lower()) % CUT == 0:
-                out.append(now)
-                now = []
-        lists[d] = [(b" ".join(m[0].encode().lower() for m in u), u[0].start(), u[-1].end(), len(u)) for u in [*out, now] if u]
-    seen: set[bytes] = set()
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for d in sorted(lists):
-        run: list = []
-        mine: set[bytes] = set()
-        for key, a, b, n in [*lists[d], (None, 0, 0, 0)]:
-            if key is not None and (key in seen or key in mine):
-                run.append((a, b, n))
-            else:
-                if sum(x[2] for x in run) >= min_words:
-                    spans.setdefault(d, []).append((run[0][0], run[-1][1]))
-                run = []
-            mine.add(key)
-        seen |= mine
-    return spans
-
-
-def test_query_equals_brute_force(spark):
-    sf = "/root/testdata/sf0.01"
-    want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
-    got: dict[int, list] = {}
-    for r in op8_substrings(spark, sf).collect():
-        got.setdefault(r.doc_id, []).append((r.start, r.end))
-        assert r.kept_doc_id <= r.doc_id
-    assert {d: sorted(v) for d, v in got.items()} == want and len(want) > 50
+from quernstone.llm.substrings import SPACES, WORD, deduplicated, removed_spans
+
+
+def brute(rows: list[tuple[int | None, str | None]], min_words: int = 16) -> tuple[dict, dict]:
+    """By document: the spans of repeated lines, and the code points of words in repeated windows of the lines left.
+
+    Rows of one doc_id must be in their order.
+    """
+    lines: dict[int | None, list] = {}
+    gone: dict[int | None, set[int]] = {}
+    seen_lines: set[bytes] = set()
+    left = []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        at = 0
+        for raw in (t or "").split("\n"):
+            line = raw.strip(SPACES)
+            if line:
+                key = b" ".join(line.encode().lower().split())
+                start = at + raw.index(line)
+                if key in seen_lines:
+                    lines.setdefault(d, []).append((start, start + len(line)))
+                else:
+                    left.append((d, start, line))
+                seen_lines.add(key)
+            at += len(raw) + 1
+    first: dict[tuple, tuple[int, int]] = {}
+    for n, (d, start, line) in enumerate(left):
+        places = [m.span() for m in WORD.finditer(line)]
+        words = [line[a:b].encode().lower() for a, b in places]
+        for k in range(len(words) - min_words + 1):
+            had = first.setdefault(tuple(words[k : k + min_words]), (n, k))
+            if had[0] < n or k - had[1] >= min_words:
+                gone.setdefault(d, set()).update(c + start for a, b in places[k : k + min_words] for c in range(a, b))
+    return lines, gone
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_brute_force(spark, sf):
+    """Exactly the repeated lines and the words of repeated windows go, and kept_doc_id holds the words it keeps."""
+    sf = f"/root/testdata/{sf}"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lines, windows = brute(list(texts.items()))
+    got = op8_substrings(spark, sf).collect()
+    points: dict[int, set[int]] = {}
+    spans: dict[int, set] = {}
+    for r in got:
+        assert not points.get(r.doc_id, set()) & set(range(r.start, r.end))
+        points.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        spans.setdefault(r.doc_id, set()).add((r.start, r.end))
+        words = texts[r.doc_id][r.start : r.end].encode().lower().split()
+        assert len(words) == r.n_words and r.kept_doc_id <= r.doc_id
+        assert b" ".join(words) in b" ".join(texts[r.kept_doc_id].encode().lower().split())
+    assert all(set(v) <= spans[d] for d, v in lines.items()) and lines
+    bare = lambda d, v: {c for c in v if texts[d][c] not in " \t\n\r\x0b\f"}
+    want = {d: windows.get(d, set()) | {c for a, z in lines.get(d, ()) for c in range(a, z)} for d in {*windows, *lines}}
+    assert {d: bare(d, v) for d, v in points.items()} == {d: bare(d, v) for d, v in want.items()}
+
+
+def test_short_lines_go(spark):
+    """A repeated line goes at any length, once it stands in an earlier document or earlier in the text."""
+    line = "All rights reserved by the house of words since long ago."
+    docs = [(i, f"own{i} text\n  {line.upper() if i % 2 else line} \nYes.\nYes.") for i in range(5)]
+    got = sorted((r.doc_id, docs[r.doc_id][1][r.start : r.end].lower(), r.n_words, r.kept_doc_id) for r in removed_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    want = [(i, line.lower(), 11, 0) for i in range(1, 5)] + [(0, "yes.", 1, 0)] + [(i, "yes.", 1, 0) for i in range(1, 5) for _ in (1, 2)]
+    assert got == sorted(want)
 
 
 def test_planted_passages_are_found_anywhere(spark):
@@ -62,72 +85,7 @@ def test_planted_passages_are_found_anywhere(spark):
             k = rng.randrange(20, 130)
             docs[j] = (j, " ".join([*w[:k], passage, *w[k:]]))
     found = {r.doc_id for r in removed_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert len(found) >= 98 and found <= set(range(1, 200, 2))
-
-
-def test_cases(spark):
-    p = " ".join(f"word{i}" for i in range(60))
-    rows = [(1, f"start {p} end"), (2, f"é😀 other\nbegin {p.upper()} stop"), (3, None), (4, ""), (5, f"x {p} y {p} z"), (2, f"é😀 other\nbegin {p.upper()} stop"), (None, f"none {p} last"), (6, "q " * 100_000)]
-    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, row int, spans string")
-    out = deduplicated(docs).collect()
-    assert len(out) == len(rows)
-    got = {r.doc_id: r for r in out}
-    assert got[1].text == rows[0][1] and got[3].text == "" and got[4].text == ""
-    assert len(got[2].text) < 120 and got[2].text.startswith("é😀 other\nbegin") and got[2].text.endswith("stop")
-    assert len(got[5].spans) == 2 and got[5].text.startswith("x ") and got[5].text.endswith(" z")
-    assert got[None].text.startswith("none") and len(got[None].text) < 120
-    assert got[6].text == rows[7][1]  # one word over and over is one unit, as no word ends one
-    for r in removed_spans(docs).where("doc_id = 2").collect():
-        assert rows[1][1][r.start : r.end].lower() in p and r.kept_doc_id == 1
-    assert removed_spans(docs.limit(0)).count() == 0
-    assert sum(len(u) for u in units(rows[1][1].encode())) == len(rows[1][1].split())
-
-
-def exact(rows: list[tuple[int, str | None]], min_words: int = 16) -> dict[int, set[int]]:
-    """By document, the code points of words in a window that an earlier document, or the same text before, has had."""
-    seen: set[tuple] = set()
-    gone: dict[int, set[int]] = {}
-    for d, t in sorted(rows):
-        places = [m.span() for m in WORD.finditer(t or "")]
-        words = [t[a:b].encode().lower() for a, b in places]
-        for k in range(len(words) - min_words + 1):
-            key = tuple(words[k : k + min_words])
-            if key in seen:
-                gone.setdefault(d, set()).update(c for a, b in places[k : k + min_words] for c in range(a, b))
-            seen.add(key)
-    return gone
-
-
-def removed_points(rows: list, texts: dict) -> dict[int, set[int]]:
-    out: dict[int, set[int]] = {}
-    for r in rows:
-        out.setdefault(r.doc_id, set()).update(c for c in range(r.start, r.end) if not texts[r.doc_id][c] in " \t\n\r\x0b\f")
-    return out
-
-
-def test_query_equals_all_windows(spark):
-    """Exactly the words of earlier windows go, and kept_doc_id holds the words it keeps."""
-    sf = "/root/testdata/sf0.01"
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = op8_substrings(spark, sf).collect()
-    want = exact(list(texts.items()))
-    assert removed_points(got, texts) == want and len(want) > 50
-    for r in got:
-        words = texts[r.doc_id][r.start : r.end].encode().lower().split()
-        kept = b" ".join(texts[r.kept_doc_id].encode().lower().split())
-        assert len(words) == r.n_words and r.kept_doc_id <= r.doc_id
-        assert all(b" ".join(words[k : k + 16]) in kept for k in range(max(1, len(words) - 15)))
-
-
-def test_units_of_several_documents_are_no_passage(spark):
-    """Short stretches that occurred in different documents are not a repeated passage when they meet."""
-    rng = random.Random(9)
-    ends = [w for i in range(2000) if crc32((w := f"end{i}").encode()) % CUT == 0]
-    plain = [w for i in range(2000) if crc32((w := f"word{i}").encode()) % CUT]
-    units_ = [[*rng.sample(plain, 3), e] for e in ends[:60]]
-    docs = [(i, " ".join([*u, "of", *units_[(i + 7) % 60][:2], f"own{i}"])) for i, u in enumerate(units_)]
-    docs.append((100, " ".join(w for u in rng.sample(units_, 12) for w in u)))
-    assert removed_spans(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+    assert found == set(range(1, 200, 2))
 
 
 def test_short_passages_in_the_middle_of_lines(spark):
@@ -144,3 +102,24 @@ def test_short_passages_in_the_middle_of_lines(spark):
         want.add((1000 + i, len(head) + 1, len(head) + 1 + len(passage), n, i))
     got = removed_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {tuple(r) for r in got} == want and len(got) == 100
+
+
+def test_cases(spark):
+    p = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"start {p} end"), (2, f"é😀 other\nbegin {p.upper()} stop"), (3, None), (4, ""), (5, f"x {p} y {p} z"), (2, f"é😀 other\nbegin {p.upper()} stop"), (None, f"none {p} last"), (6, "q " * 100_000), (None, "\u00e9\u00e9😀  OTHER"), (7, " \n\n\t\n")]
+    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, row int, spans string")
+    out = deduplicated(docs).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r for r in out}
+    assert got[1].text == rows[0][1] and got[3].text == "" and got[4].text == "" and got[7].text == rows[9][1]
+    assert [r.text for r in out if r.doc_id == 2] == ["é😀 other\nbegin  stop"] * 2
+    assert len(got[5].spans) == 2 and got[5].text == "x  y  z"
+    assert sorted(r.text for r in out if r.doc_id is None) == ["none  last", "\u00e9\u00e9😀  OTHER"]
+    # one word over and over: all but its first window's worth and a window's overlap is repeated
+    assert got[6].text.split() == ["q"] * 16
+    spans = removed_spans(docs).collect()
+    assert len(spans) == len({(r.doc_id, r.start) for r in spans})  # a repeated row is one document
+    for r in spans:
+        if r.doc_id == 2:
+            assert rows[1][1][r.start : r.end].lower() == p and r.kept_doc_id == 1
+    assert removed_spans(docs.limit(0)).count() == 0
