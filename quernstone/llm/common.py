@@ -94,9 +94,9 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, count: str, spread:
     return left.drop("_hot_key").join(right, [key, "_salt"], how).drop("_salt")
 
 
-def with_small(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column, total: int, how: str = "inner") -> DataFrame:
+def with_small(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column, total: int, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """``big`` joined with one row per key: broadcast if that is few rows when counted, else by shuffle with salt for hot keys."""
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= most:
         return big.join(F.broadcast(small), key, how)
     return salted_join(big, small, key, count, spread, total, how)
 
@@ -112,20 +112,18 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
 
     Each round takes the smallest label among the neighbours and then follows it once to that label's own label
     (pointer jumping), so rounds grow with the logarithm of the diameter. Nothing is collected but one flag. Nodes with
-    very many neighbours and labels of very many nodes are dealt over several tasks.
+    very many neighbours and labels of very many nodes are only in plain shuffle joins, whose large partitions adaptive
+    execution splits; the aggregations combine before the shuffle.
     """
     both = edges.select(F.col(src).alias("b"), F.col(dst).alias("a")).where("a is not null and b is not null")
     both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpoint(both.groupBy("b").agg(F.least(F.col("b"), F.min("a")).alias("c"), F.count(F.lit(1)).alias("n")))
-    links, nodes = both.count(), label.count()
+    label = checkpoint(both.groupBy("b").agg(F.least(F.col("b"), F.min("a")).alias("c")))
     for _ in range(rounds):
-        seen = salted_join(both, label, "b", "n", F.col("a"), links).groupBy("a").agg(F.min("c").alias("m"))
-        step = checkpoint(label.join(seen, F.col("b") == F.col("a")).select("b", "n", F.least("c", "m").alias("c"), F.col("c").alias("old")))
-        used = step.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
-        up = used.join(step.select(F.col("b").alias("_b"), F.col("c").alias("up")), F.col("c") == F.col("_b")).select("c", "k", "up")
-        moved = salted_join(step, up, "c", "k", F.col("b"), nodes)
-        label = checkpoint(moved.select("b", "n", F.least("c", "up").alias("c"), (F.least("c", "up") != F.col("old")).alias("moved")))
+        seen = both.join(label, "b").groupBy("a").agg(F.min("c").alias("m"))
+        step = checkpoint(label.join(seen, F.col("b") == F.col("a")).select("b", F.least("c", "m").alias("c"), F.col("c").alias("old")))
+        up = step.select(F.col("b").alias("_b"), F.col("c").alias("up"))
+        label = checkpoint(step.join(up, F.col("c") == F.col("_b")).select("b", F.least("c", "up").alias("c"), (F.least("c", "up") != F.col("old")).alias("moved")))
         if label.where("moved").isEmpty():
             return label.select(F.col("b").alias("node"), F.col("c").alias("component"))
-        label = label.select("b", "n", "c")
+        label = label.select("b", "c")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
