@@ -16,6 +16,8 @@ SALTS = 64
 #: several times that in the driver.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20
+#: For rows of a few integers; some 30 MB as a hashed relation.
+NARROW_ROWS = 300_000
 #: Rank of rows without an id: behind all others.
 LAST = (1 << 63) - 1
 #: A Python task works on so many rows and about so many bytes of text at once.
@@ -101,6 +103,15 @@ def with_small(big: DataFrame, small: DataFrame, key: str, count: str, spread: C
     return salted_join(big, small, key, count, spread, total, how)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the documents (doc, th) of ``gone``, whatever columns it has: broadcast if those are few when counted."""
+    doc, th = identity(docs)
+    key = F.xxhash64(doc, th)
+    gone = checkpoint(gone.select(F.xxhash64("doc", "th").alias("_gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= NARROW_ROWS else gone
+    return docs.join(side, key == F.col("_gone"), "left_anti")
+
+
 def sized_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     """A broadcast hint if the counted rows fit BROADCAST_ROWS and BROADCAST_BYTES, else the frame as it is (a shuffle join)."""
     n = df.count()

@@ -2,15 +2,16 @@
 
 The transducer is a composition of three parts:
 
-* the normaliser (identity on characters, space to U+2581, one U+2581 in front);
+* the normaliser (NORMALISER and PREFIX: identity on characters, space to U+2581, one U+2581 in front), compiled to replacements;
 * the lexicon, a trie over characters whose arcs carry piece identifiers, with an arc for every character outside the
   vocabulary that writes its UTF-8 bytes as byte pieces (byte fallback);
 * the merge automaton, whose states are pieces: two pieces may follow each other (weight 0) only if byte-pair merging
   of their joint text leaves them apart, else the weight is infinite.
 
-The model's pieces are those of byte-pair merging, where a cheapest sum of scores isn't what the model means; with the
-merge automaton as the weights, a path of finite weight is the merge result, and each prefix of the input has one.
-The shortest path in the tropical semiring over the composition with an input is found position by position.
+An arc that writes a piece weighs as much as the piece's rank in the order of merges. The model's pieces are those of
+byte-pair merging, where the cheapest sum of scores alone isn't what the model means (README has figures); the merge
+automaton gives the wrong joints infinite weight, so that a path of finite weight is the merge result, and each prefix of
+the input has one. Weights are added along a path and the least sum is kept at each position: the shortest path in the tropical semiring.
 
 No piece spans the joint between letters and punctuation (compile checks it and keeps together runs with the few
 characters for which it doesn't hold) or between a character and a following U+2581, so inputs are composed in runs; the results
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -36,6 +38,10 @@ from .common import blocks, documents_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: The normaliser's arcs that aren't the identity, and what it writes in front.
+NORMALISER = {" ": MARK}
+PREFIX = MARK
+INFINITY = float("inf")
 RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 PARTS = re.compile(rf"{MARK}*(?:\w+|[^\w{MARK}]+)|{MARK}+")
 #: Runs and pairs that a Python worker remembers.
@@ -66,6 +72,9 @@ class Transducer:
         # merges happen in the order of scores, best first
         order = sorted((i for i in self.ids.values()), key=lambda i: (-pieces[i][1], i))
         self.rank = {pieces[i][0]: k for k, i in enumerate(order)}
+        self.weight = {p: float(k) for p, k in self.rank.items()}
+        # a character without a piece is written as bytes, at more than any piece
+        self.fallback = float(len(order))
         self.trie: dict = {}
         for p in self.ids:
             node = self.trie
@@ -139,27 +148,29 @@ class Transducer:
     def path(self, text: str) -> list[str]:
         """The shortest path's pieces; a character without a piece is a step of its own."""
         n = len(text)
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        apart, memo = self.apart, self._apart.get
+        last: list[str] = [""] * (n + 1)
+        least = [INFINITY] * (n + 1)
+        least[0] = 0.0
+        apart, memo, weight = self.apart, self._apart.get, self.weight
         for i in range(n):
-            before = last[i]
-            if before is None:
+            so_far, before = least[i], last[i]
+            if so_far == INFINITY:
                 continue
             node = self.trie.get(text[i])
             if node is None:
-                last[i + 1] = text[i]
+                if so_far + self.fallback < least[i + 1]:
+                    least[i + 1], last[i + 1] = so_far + self.fallback, text[i]
                 continue
             free = not before or before not in self.ids
             j = i + 1
             while True:
                 piece = node.get("")
-                if piece is not None and last[j] is None:
+                if piece is not None and so_far + weight[piece] < least[j]:
                     ok = bool(self.spine(piece, False)) if free else memo((before, piece))
                     if ok is None:
                         ok = apart(before, piece)
-                    if ok:
-                        last[j] = piece
+                    if ok:  # else the joint weighs infinity
+                        least[j], last[j] = so_far + weight[piece], piece
                 if j == n or (node := node.get(text[j])) is None:
                     break
                 j += 1
@@ -207,7 +218,9 @@ class Transducer:
             return []
         out: list[int] = []
         known, new = self._runs.get, self._run
-        for run in RUNS.findall(MARK + text.replace(" ", MARK)):
+        for a, b in NORMALISER.items():
+            text = text.replace(a, b)
+        for run in RUNS.findall(PREFIX + text):
             out += known(run) or new(run)
         return out
 
@@ -216,21 +229,22 @@ class Transducer:
         return text[1:] if text.startswith(" ") else text
 
 
-_compiled: dict[int, Transducer] = {}
+_compiled: dict[str, Transducer] = {}
 
 
 def _transducer(pieces) -> Transducer:
     """One compiled transducer for each Python worker and model."""
-    key = hash((len(pieces.value), pieces.value[-1], pieces.value[len(pieces.value) // 2]))
+    key, listed = pieces.value
     if key not in _compiled:
-        _compiled[key] = Transducer(pieces.value)
+        _compiled[key] = Transducer(listed)
     return _compiled[key]
 
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text, ids, n_tokens, decoded: the text as the pieces give it back."""
     # the vocabulary has a fixed size; only the driver reads the model file
-    pieces = docs.sparkSession.sparkContext.broadcast(load(model))
+    listed = load(model)
+    pieces = docs.sparkSession.sparkContext.broadcast((sha256(repr(listed).encode()).hexdigest(), listed))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -8,7 +8,7 @@ The texts are read once. What EM needs is a count per vote pattern, at most 3^10
 corpus, so it runs on the driver over all documents' counts, and the posteriors go back as a table of that bound.
 
 Cases: null text counts as empty: no words, all counts zero, ``base_failed``; ties and repeated rows get the same
-verdict; an empty table gives no rows; documents whose every rule abstains get the estimated share of good ones;
+verdict; rows without doc_id, and several texts of one, are judged each by its own text; an empty table gives no rows; documents whose every rule abstains get the estimated share of good ones;
 columns of the input other than doc_id and text are ignored.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, documents_of
+from .common import blocks, checkpoint, identity, without
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent function words of English, French, German and Spanish.
@@ -31,7 +31,7 @@ STOP_WORDS = frozenset(
     "el los las una por con del y no lo para su al como".split()
 )
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_plain_words", "n_stop_words", "n_distinct_words", "n_marks", "dup_line_words"]
-MEASURES = "doc_id long, " + ", ".join(f"{c} long" for c in NAMES)
+MEASURES = "doc_id long, doc long, th long, " + ", ".join(f"{c} long" for c in NAMES)
 #: What is known of a word is remembered for this many words in a Python worker.
 REMEMBERED = 200_000
 _known: dict[bytes, tuple[int, int, int, int, int]] = {}
@@ -103,12 +103,13 @@ def measures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in blocks(batches, 1):
-            rows = [measure(t or b"") for t in b.column(1).to_pylist()]
+        for b in blocks(batches, 3):
+            rows = [measure(t or b"") for t in b.column(3).to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *NAMES])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "doc", "th", *NAMES])
 
-    return documents_of(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, MEASURES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, MEASURES)
 
 
 def votes(measured: DataFrame) -> DataFrame:
@@ -177,7 +178,6 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return voted.withColumn("base_failed", failed).withColumn("p_good", p).withColumn("kept", ~failed & (p >= threshold))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns; a doc_id on several rows stays if one of them is kept."""
-    good = judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+def kept_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents that the rules keep, with all their columns; each row is judged by its own text, with or without doc_id."""
+    return without(docs, judged(docs, threshold).where("not kept"))

@@ -8,8 +8,9 @@ follows only edges within the radius. Large buckets are cut into shards of ``sha
 sent to the bucket's other shards as query blocks, so no task holds an unbounded group and no link is lost.
 
 Cases: null text counts as empty and has fingerprint zero; fewer words than a shingle make one shingle of the whole
-sequence; repeated rows share a fingerprint and so a component; an empty table gives no rows; other columns of the
-input are ignored.
+sequence; repeated rows share a fingerprint and so a component, of which one row stays; rows without doc_id rank last, are
+told apart by their texts, and their component_id is null if none of the component has one; an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, components, documents_of, salted_join
+from .common import LAST, blocks, checkpoint, components, identity, salted_join, with_small, without
 
 BLOCKS = 4
 BITS = 64 // BLOCKS
@@ -49,16 +50,16 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one pass over the texts, no shuffle."""
+    """(doc, th, fp) by the identity of the document: one pass over the texts, no shuffle."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in blocks(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+        for b in blocks(batches, 2):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t or b"", shingle) for t in b.column(2).to_pylist()], pa.int64())], ["doc", "th", "fp"])
 
-    docs = documents_of(docs)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*identity(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc long, th long, fp long")
 
 
 class BKTree:
@@ -150,19 +151,37 @@ def links(fps: DataFrame, radius: int = 2, shard: int = 1024) -> DataFrame:
     return rows.select("bucket", "i", "j", "build", "fp").mapInArrow(search, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id reachable."""
+def classes(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """(doc, th, fp, first_doc, first_th): every row with its fingerprint and the first document of its component."""
     fps = checkpoint(fingerprints(docs, shingle))
-    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct, radius))
+    distinct = checkpoint(fps.groupBy("fp").agg(F.min(F.struct("doc", "th")).alias("first"), F.count(F.lit(1)).alias("n")))
+    found = components(links(distinct.select("fp"), radius))
     # a component of fingerprints takes the smallest document of all its fingerprints
-    named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = checkpoint(named.groupBy("component").agg(F.min("first").alias("component_id")))
-    classes = checkpoint(named.join(smallest, "component").select("fp", "component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
+    smallest = checkpoint(named.groupBy("component").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("k")))
+    total = distinct.count()
+    tops = checkpoint(with_small(named.select("fp", "n", "component"), smallest, "component", "k", F.col("fp"), total).select("fp", "n", F.col("top.doc").alias("first_doc"), F.col("top.th").alias("first_th")))
+    # copies of one text may be a third of all rows
+    return with_small(fps, tops, "fp", "n", F.struct("doc", "th"), fps.count()).select("doc", "th", "fp", "first_doc", "first_th")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id reachable."""
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return classes(docs, radius, shingle).select(known("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known("first_doc").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The documents that are the smallest of their component; all columns stay."""
-    keep = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One row of each component, that of the smallest doc_id (and text digest); all columns stay."""
+    rows = checkpoint(classes(docs, radius, shingle))
+    first = rows.where("doc = first_doc and th = first_th")
+    kept = without(docs, rows.where("doc <> first_doc or th <> first_th"))
+    # rows of one doc_id and text are in one component, so one of them stays
+    again = first.groupBy("doc", "th").count().where("count > 1").select("doc", "th")
+    if again.isEmpty():
+        return kept
+    doc, th = identity(docs)
+    marked = kept.withColumns({"_d": doc, "_t": th})
+    single = without(kept, again)
+    repeated = marked.join(checkpoint(again).withColumnsRenamed({"doc": "_d", "th": "_t"}), ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"])
+    return single.unionByName(repeated.drop("_d", "_t"))

@@ -58,6 +58,33 @@ def test_equals_library_on_any_text(library, transducer, text):
     assert transducer.decode(transducer.encode(text)) == text.replace(MARK, " ")
 
 
+def cheapest(transducer, text: str) -> tuple[float, int]:
+    """The least sum over all paths whose joints have finite weight, and how many such paths there are: by (position, last piece)."""
+    best: list[dict[str, tuple[float, int]]] = [{} for _ in range(len(text) + 1)]
+    best[0][""] = (0.0, 1)
+    for i in range(len(text)):
+        for before, (w, n) in best[i].items():
+            ends = [(text[i:j], transducer.weight[text[i:j]]) for j in range(i + 1, len(text) + 1) if text[i:j] in transducer.ids] if text[i] in transducer.trie else [(text[i], transducer.fallback)]
+            for piece, cost in ends:
+                known = before in transducer.ids
+                if piece in transducer.ids and not (transducer.apart(before, piece) if known else transducer.spine(piece, False)):
+                    continue
+                at = best[i + len(piece)]
+                had = at.get(piece, (float("inf"), 0))
+                at[piece] = (min(had[0], w + cost), had[1] + n)
+    return min(w for w, _ in best[-1].values()), sum(n for _, n in best[-1].values())
+
+
+def test_path_is_the_cheapest_of_all(transducer):
+    rng = random.Random(4)
+    pieces = [p for p, _, kind in load() if kind == 0]
+    for k in range(400):
+        text = MARK + ("".join(rng.choices(pieces, k=3)) if k % 2 else "".join(rng.choices("the aonr", k=14)).replace(" ", MARK))
+        path = transducer.path(text)
+        cost, paths = cheapest(transducer, text)
+        assert sum(transducer.weight.get(p, transducer.fallback) for p in path) == cost and paths == 1
+
+
 def test_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "x" * 300_000, 1), (3, "x" * 300_000, 1), (None, "a b", 1)], "doc_id long, text string, ids int")
     rows = tokens(docs).collect()

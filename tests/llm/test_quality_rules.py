@@ -67,3 +67,10 @@ def test_cases(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(t)
     assert judged(docs.limit(0)).count() == 0
     assert kept_documents(docs).columns == docs.columns
+
+
+def test_rows_without_id_are_judged_by_their_texts(spark):
+    good = [(None if i % 3 else i, " ".join(f"the word{(i * 31 + k) % 997}" for k in range(120)) + ".") for i in range(60)]
+    bad = [(None, "### | ### | 12 12 " * 40), (None, ""), (None, None), (0, "short text of the same id")]
+    docs = spark.createDataFrame([(*r, "x") for r in [*good, good[1], *bad]], "doc_id long, text string, th string")
+    assert sorted(r.text for r in kept_documents(docs).collect()) == sorted(t for _, t in [*good, good[1]])
