@@ -14,7 +14,7 @@ HOT_SHARE = 1 / 20_000
 SALTS = 64
 #: A side is broadcast only if its counted rows and measured bytes are below these; as a hashed relation it is
 #: several times that in the driver.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 30_000
 BROADCAST_BYTES = 16 << 20
 #: For rows of a few integers; some 30 MB as a hashed relation.
 NARROW_ROWS = 300_000
