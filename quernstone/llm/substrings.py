@@ -4,15 +4,16 @@ Units are lines: words are runs of bytes other than white space, A-Z in lower ca
 spaces, give its digest. Digests are grouped over all documents. The earliest line of each digest stays, all others go,
 whatever their length; earliest is by doc_id, digest of the whole text, line number.
 
-A passage can repeat inside lines that differ elsewhere. So in the lines that are left, a window of ``min_words`` consecutive
-words goes if an earlier place has had it: an earlier line, or the same line ``min_words`` words before at least. Only
-windows that may be repeated are listed. Each holds runs of half its words; the run with the smallest hash is the same
-wherever the window stands (winnowing), and about every fifth word begins such a run. Runs are counted over all lines
-left; windows whose smallest run occurs once can't be repeated. Counts go to the second reading as a bitmap of bounded
-size, whose chance hits cost rows but change nothing. The windows left are grouped by their digests.
-
-A span is a line, or the words of windows that follow each other both here and in one earlier place, so kept_doc_id holds
-all of them; where windows overlap but the earlier place changes, a new span begins behind the last one. Its
+A passage can repeat inside lines that differ elsewhere. So in the lines that are left, windows of ``min_words`` consecutive
+words are compared that begin where winnowing says: of the runs of half as many words that a window holds, the one with
+the smallest hash is the same wherever the window stands; about every fifth word begins such a run, and each is the
+begin of a compared window. A passage of one and a half times ``min_words`` holds one at least, wherever it stands, and loses all but
+half of ``min_words`` words at either end. A window goes if an earlier place has had it: an earlier line, or the same
+line ``min_words`` words before at least. Digests of windows are counted over all lines left; the second reading lists
+those that may be repeated, by a bitmap of bounded size, whose chance hits cost rows but change nothing.
+
+A span is a line, or the words of windows that overlap or follow each other both here and in one earlier place, so kept_doc_id
+holds all of them; where windows overlap but the earlier place changes, a new span begins behind the last one. Its
 place in the original text is kept in code points; texts are neither shuffled nor joined again.
 
 Digests have 64 bits.
@@ -38,7 +39,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FACTOR = 0x9E3779B97F4A7C15
 #: Words of a batch that are worked on at once, about.
 AT_ONCE = 1 << 20
-#: The bitmap of repeated runs has so many bits at most.
+#: The bitmap of repeated windows has so many bits at most.
 MOST_BITS = 1 << 28
 PLACE = ["doc", "th", "no"]
 
@@ -92,7 +93,7 @@ def _rolling(a, n: int):
 
 
 def _windows(sizes: list[int], words: list[int], min_words: int):
-    """(whole, least, runs, a): whether each window lies in one text, its smallest run, all runs, the words' digests."""
+    """(begins, digests): the compared windows of texts that stand one after the other."""
     import numpy as np
 
     a = np.array(words, dtype=np.uint64)
@@ -101,7 +102,12 @@ def _windows(sizes: list[int], words: list[int], min_words: int):
     least = _sliding(runs, min_words - part + 1, np.minimum)
     text = np.repeat(np.arange(len(sizes)), sizes)
     whole = text[: len(least)] == text[min_words - 1 :]
-    return whole, least, runs, a
+    # a run is chosen if it is the smallest of one of the windows it stands in
+    side = len(runs) - len(least)
+    around = np.concatenate([np.zeros(side, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(side, np.uint64)])
+    chosen = _sliding(around, side + 1, np.maximum) == runs
+    begins = np.flatnonzero(chosen[: len(least)] & whole)
+    return begins, _rolling(a, min_words)[begins]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -134,8 +140,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc long, th long, no int, key long, start long, words long, line string")
 
 
-def _repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """(h): every run that is the smallest of a window and occurs twice or more."""
+def _repeated(lines: DataFrame, min_words: int) -> DataFrame:
+    """(h): every compared window that occurs twice or more."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -143,14 +149,8 @@ def _repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
 
         for b in blocks(batches, 0):
             for _, sizes, words in _chunks(b.column(0).to_pylist()):
-                if len(words) < min_words:
-                    continue
-                whole, least, runs, _ = _windows(sizes, words, min_words)
-                # a run is chosen if it is the smallest of one of the windows it stands in
-                side = len(runs) - len(least)
-                around = np.concatenate([np.zeros(side, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(side, np.uint64)])
-                chosen = runs[_sliding(around, side + 1, np.maximum) == runs]
-                yield pa.RecordBatch.from_arrays([pa.array(chosen.view(np.int64))], ["h"])
+                if len(words) >= min_words:
+                    yield pa.RecordBatch.from_arrays([pa.array(_windows(sizes, words, min_words)[1].view(np.int64))], ["h"])
 
     texts = lines.where(F.col("words") >= min_words).select(F.col("line").cast("binary").alias("line"))
     return texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -174,7 +174,7 @@ def _bitmap(h: DataFrame):
 
 def windows(lines: DataFrame, min_words: int) -> DataFrame:
     """(h, doc, th, no, i, a, z): every window that may be repeated: its first word's number, its begin and end in the text."""
-    sent = lines.sparkSession.sparkContext.broadcast(_bitmap(_repeated_runs(lines, min_words)))
+    sent = lines.sparkSession.sparkContext.broadcast(_bitmap(_repeated(lines, min_words)))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -187,12 +187,12 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
             for first, sizes, words in _chunks([x.encode() for x in lines]):
                 if len(words) < min_words:
                     continue
-                whole, least, _, a = _windows(sizes, words, min_words)
-                least &= low
-                maybe = np.flatnonzero(whole & ((bitmap[least >> np.uint64(5)] >> (least & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool))
+                begun, h = _windows(sizes, words, min_words)
+                at = h & low
+                hit = ((bitmap[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
+                maybe, h = begun[hit], h[hit]
                 if not len(maybe):
                     continue
-                h = _rolling(a, min_words)[maybe]
                 own = np.repeat(np.arange(len(sizes)), sizes)[maybe]
                 i = maybe - (np.cumsum(sizes) - sizes)[own]
                 begins, ends = np.empty(len(i), np.int64), np.empty(len(i), np.int64)
@@ -222,8 +222,8 @@ def passages(lines: DataFrame, min_words: int) -> DataFrame:
     later = with_small(listed, first, "h", "n", F.struct(*PLACE, "i"), total).where(~same | (F.col("i") - F.col("_i") >= min_words)).dropDuplicates([*PLACE, "i"])
     # one partition is one line's own windows
     along = Window.partitionBy(*PLACE).orderBy("i")
-    before = F.lag(F.struct("_doc", "_th", "_no", F.col("_i") - F.col("i"), F.col("i") + 1)).over(along)
-    follows = before == F.struct("_doc", "_th", "_no", F.col("_i") - F.col("i"), F.col("i"))
+    where = F.struct("_doc", "_th", "_no", F.col("_i") - F.col("i"))
+    follows = (F.lag(where).over(along) == where) & (F.col("i") - F.lag("i").over(along) <= min_words)
     run = F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(along)
     spans = later.withColumn("run", run).groupBy(*PLACE, "run").agg(F.min("i").alias("i"), (F.max("i") + min_words).alias("j"), F.min("a").alias("a"), F.max("z").alias("z"), F.min("_doc").alias("kept"))
     order = Window.partitionBy(*PLACE).orderBy("run")
