@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the letters under them, in the same order.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+
+
+def _decomposed() -> dict[str, str]:
+    """By the rule of compatibility decomposition: every character outside ASCII whose decomposition holds ASCII letters or digits, and these."""
+    out = {}
+    for code in range(0x80, 0x20000):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if c.isascii() and c.isalnum())
+        if plain:
+            out[chr(code)] = plain
+    return out
+
+
+_DECOMPOSED = _decomposed()
+#: Characters that become one, for translate, and ligatures that become several letters.
+ACCENTED = "".join(c for c, p in _DECOMPOSED.items() if len(p) == 1)
+PLAIN = "".join(p for p in _DECOMPOSED.values() if len(p) == 1)
+LIGATURES = {c: p for c, p in _DECOMPOSED.items() if len(p) > 1 and p.isalpha() and unicodedata.category(c)[0] == "L"}
 # Texts that stand for a missing number.
 MISSING = ["...", "..", "-", "X", ""]
 
@@ -53,19 +68,26 @@ def lookup(c: Column, table: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
 
 
+def without_accents(c: Column) -> Column:
+    """Letters and digits decomposed to those of ASCII, combining marks dropped; other characters stay."""
+    whole = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), LIGATURES.items(), c)
+    text = F.when(c.rlike(f"[{''.join(LIGATURES)}]"), whole).otherwise(c)
+    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "\\p{Mn}", "")
+
+
 def plain_name(c: Column) -> Column:
     """Without accents, lower case, apostrophes dropped, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), "['`]", ""), "[ \t\n\r\f]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(without_accents(c)), "['`]", ""), "[ \t\n\r\f]+", " "))
 
 
 def name_key(c: Column) -> Column:
     """Only letters and digits of the name without accents."""
-    return F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(without_accents(c)), "[^a-z0-9]", "")
 
 
-def split_name(c: Column) -> tuple[Column, Column]:
-    """Name and two-letter code of "Name (XX)"; null for other texts."""
-    pattern = r"^(.*)\s+\(([A-Z]{2})\)\s*$"
+def split_name(c: Column, codes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Name and two-letter code of "Name (XX)"; null for other texts, and for codes that aren't among ``codes`` if there are any."""
+    pattern = rf"^(.*)\s+\(({'|'.join(codes) or '[A-Z]{2}'})\)\s*$"
     return tuple(F.when(c.rlike(pattern), F.regexp_extract(c, pattern, i)) for i in (1, 2))
 
 

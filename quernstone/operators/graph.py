@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared folder; without one (tests) in a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; without one there is nothing safe to write to."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder; for wide frames, whose null constraints a checkpoint would multiply out."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-work-")
-    at = f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    """Cut the lineage by a Parquet table in the shared folder: read by column, and of known size to the planner."""
+    at = f"{shared_folder(df.sparkSession)}/work-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+checkpoint = stored
+
+
+def ordinal(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``ordinal`` from 0 in a global order: range partitions, counts per partition, offsets; no task sees all rows.
+
+    The session's number of shuffle partitions holds, so parallelism follows the size of the cluster.
+    """
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    # a row per partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return ranged.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_first", "_before")
+
+
+def quantile(df: DataFrame, measure: str, p: float) -> DataFrame:
+    """One row, ``cut``: the exact interpolated quantile of the values that aren't null, by their places in the order."""
+    values = df.select(F.col(measure).cast("double").alias("v")).where("v is not null")
+    placed = ordinal(values, ["v"])
+    at = p * (max(placed.count(), 1) - 1)
+    low = int(at)
+    pair = placed.where(F.col("ordinal").isin(low, low + 1)).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return pair.select((F.col("a") + (F.col("b") - F.col("a")) * (at - low)).alias("cut"))
 
 
 def _cells(points: DataFrame, size: float, around: bool) -> DataFrame:
@@ -109,8 +131,7 @@ def dbscan(points: DataFrame, eps: float, least: int = 5) -> DataFrame:
     core = checkpoint(near.groupBy("src").count().where(F.col("count") >= least).select(F.col("src").alias("id")))
     inner = near.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
     label = components(inner, core)
-    # one row per cluster
-    named = label.select("label").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)
+    named = ordinal(label.select("label").distinct(), ["label"]).withColumnRenamed("ordinal", "cluster")
     numbered = checkpoint(label.join(named, "label").select("id", "cluster"))
     reach = near.join(numbered.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy("src").agg(F.min("cluster").alias("near_cluster"))
     out = points.select("id").join(numbered.withColumnRenamed("cluster", "own"), "id", "left").join(reach.withColumnRenamed("src", "id"), "id", "left")

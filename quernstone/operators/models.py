@@ -8,15 +8,26 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions.scalars import cyclic
+from quernstone.functions.scalars import cyclic, iso_week, iso_year, week_start
 
-from .graph import stored
+from .graph import ordinal  # noqa: F401  (folds are cut from it)
 from .panel import K, Keys
 from .series import errors
 
 
-def lags(df: DataFrame, columns: dict[str, int], lead: tuple[str, int] | None = None, k: Keys = K) -> DataFrame:
-    """Values of earlier rows of the unit (by position in year and week), 1 to n each, and one later value as target; null for null units."""
+def lags(df: DataFrame, columns: dict[str, int], lead: tuple[str, int] | None = None, k: Keys = K, dense: bool = False) -> DataFrame:
+    """Values of earlier rows of the unit (by position in year and week), 1 to n each, and one later value as target; null for null units.
+
+    With ``dense`` the lags count calendar weeks: absent weeks between a unit's first and last are filled in for the
+    window (without values) and taken out again.
+    """
+    if dense:
+        week = week_start(F.col(k.year), F.col(k.week))
+        span = df.where(F.col(k.unit).isNotNull()).groupBy(k.unit).agg(F.min(week).alias("_a"), F.max(week).alias("_z"))
+        grid = span.select(k.unit, F.explode(F.expr("sequence(_a, _z, interval 7 days)")).alias("_week"))
+        grid = grid.select(k.unit, iso_year(F.col("_week")).cast(df.schema[k.year].dataType).alias(k.year), iso_week(F.col("_week")).cast(df.schema[k.week].dataType).alias(k.week))
+        full = df.withColumn("_has", F.lit(True)).join(grid, [k.unit, k.year, k.week], "full")
+        return lags(full, columns, lead, k).where("_has").drop("_has").select(*df.columns, *[f"{c}_lag_{i}" for c, n in columns.items() for i in range(1, n + 1)], *(["target"] if lead else []))
     w = Window.partitionBy(k.unit).orderBy(k.year, k.week)
     has = F.col(k.unit).isNotNull()
     new = {f"{c}_lag_{i}": F.when(has, F.lag(c, i).over(w)) for c, n in columns.items() for i in range(1, n + 1)}
@@ -43,41 +54,32 @@ def stratified_cap(df: DataFrame, by: str, keys: list[str], over: int = 20_000,
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
 
-def ordinal(df: DataFrame, order: list[str], parts: int = 8) -> DataFrame:
-    """Adds ``ordinal`` from 0 in a global order: range partitions, counts per partition, offsets; no task sees all rows."""
-    ranged = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    # a row per partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranged.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_first", "_before")
-
-
 def folds(df: DataFrame, n: int, count: int = 5) -> DataFrame:
-    """Adds ``fold``: 0 is only trained on, fold i tests what all earlier folds train."""
+    """Adds ``fold``: 0 is only trained on, fold i tests what all earlier folds train; the ordinal's order (time, or unit first) decides."""
     t = max(1, n // (count + 1))
     return df.withColumn("fold", F.greatest(F.lit(0), F.floor((F.col("ordinal") - (n - count * t)) / F.lit(t)) + 1).cast("int"))
 
 
-def estimator(kind: str, small: bool = False, seed: int = 42, **more):
+def estimator(kind: str, seed: int = 42, **more):
     if kind == "linear":
         return LinearRegression(solver="normal", regParam=0.0, **more)
     if kind == "forest":
-        return RandomForestRegressor(**({"numTrees": 10 if small else 150, "maxDepth": 5 if small else 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": seed} | more))
-    return GBTRegressor(**({"maxIter": 5 if small else 200, "maxDepth": 3 if small else 6, "stepSize": 0.07, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed} | more))
+        return RandomForestRegressor(**({"numTrees": 150, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": seed} | more))
+    return GBTRegressor(**({"maxIter": 200, "maxDepth": 6, "stepSize": 0.07, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed} | more))
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df.withColumn("label", F.col("target").cast("double")))
 
 
-def cross_validate(df: DataFrame, kind: str, small: bool = False, count: int = 5) -> DataFrame:
+def cross_validate(df: DataFrame, kind: str, count: int = 5, **more) -> DataFrame:
     """(fold, rmse, mae, r2) of an assembled frame with ``fold``; a fresh estimator for each fold."""
     out = df.sparkSession.createDataFrame([], "rmse double, mae double, r2 double, fold int")
     sizes = {r.fold: r["count"] for r in df.groupBy("fold").count().collect()}  # a row per fold
     for i in range(1, count + 1):
         if not sizes.get(i) or not sum(n for f, n in sizes.items() if f < i):
             continue
-        model = estimator(kind, small).fit(df.where(F.col("fold") < i))
+        model = estimator(kind, **more).fit(df.where(F.col("fold") < i))
         e = errors(model.transform(df.where(F.col("fold") == i)), "label", "prediction").withColumn("fold", F.lit(i))
         out = out.unionByName(e)
     return out
@@ -95,8 +97,8 @@ def importances(model: Model, features: list[str], spark, top: int = 20) -> Data
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def learning_curve(df: DataFrame, kind: str, last: int = 5, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0), small: bool = False) -> DataFrame:
-    """(n_train, rmse_train, rmse_test): the first part of the last fold's training rows, parts under 50 rows skipped."""
+def learning_curve(df: DataFrame, kind: str, last: int = 5, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0), **own) -> DataFrame:
+    """(n_train, rmse_train, rmse_test, r2_train, r2_test): the first part of the last fold's training rows, parts under 50 rows skipped."""
     train, test = df.where(F.col("fold") < last), df.where(F.col("fold") == last)
     n, out = train.count(), None
     for s in shares:
@@ -105,8 +107,8 @@ def learning_curve(df: DataFrame, kind: str, last: int = 5, shares: tuple[float,
             continue
         part = train.where(F.col("ordinal") < m)
         more = {"minInstancesPerNode": 1} if kind == "forest" else {"stepSize": 0.05} if kind == "boosted" else {}
-        model = estimator(kind, small, **more).fit(part)
-        a, b = (errors(model.transform(x), "label", "prediction").select(F.col("rmse").alias(c)) for x, c in ((part, "rmse_train"), (test, "rmse_test")))
+        model = estimator(kind, **(more | own)).fit(part)
+        a, b = (errors(model.transform(x), "label", "prediction").select(F.col("rmse").alias(f"rmse_{c}"), F.col("r2").alias(f"r2_{c}")) for x, c in ((part, "train"), (test, "test")))
         row = a.join(F.broadcast(b), F.lit(True)).withColumn("n_train", F.lit(m).cast("long"))
         out = row if out is None else out.unionByName(row)
     return out

@@ -29,8 +29,13 @@ K = Keys()
 
 
 def beside(df: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
-    """Join with a dimension: broadcast if it is counted small, else by shuffle."""
-    return df.join(F.broadcast(dim) if dim.count() <= SMALL else dim, on, how)
+    """Join with a dimension: Spark broadcasts it if its bytes, as known to the plan or measured while it runs, are below the session's threshold."""
+    return df.join(dim, on, how)
+
+
+def valid_codes(df: DataFrame, code: str, codes: DataFrame | None) -> DataFrame:
+    """Rows whose code is among ``codes`` (one column); everything if no codes are given."""
+    return df if codes is None else df.join(codes.select(F.col(codes.columns[0]).alias(code)), code, "left_semi")
 
 
 def with_iso_week(df: DataFrame, date: str, k: Keys = K) -> DataFrame:
@@ -42,15 +47,17 @@ def cases_by_week(cases: DataFrame, date: str, k: Keys = K) -> DataFrame:
     return with_iso_week(cases, date, k).groupBy(k.year, k.week, k.unit, k.category).agg(F.count(F.lit(1)).alias(k.cases))
 
 
-def daily(readings: DataFrame, station: str, ts: str, value: str) -> DataFrame:
-    """Per station and day: sum (nothing is 0), mean, max, min; rows without time dropped."""
+def daily(readings: DataFrame, station: str, ts: str, value: str, place: tuple[str, ...] = ()) -> DataFrame:
+    """Per station and day: sum (nothing is 0), mean, max, min, the first reading's ``place`` columns; rows without time dropped."""
     v = F.col(value)
-    return readings.where(F.col(ts).isNotNull()).groupBy(station, F.to_date(ts).alias("day")).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.avg(v).alias("mean"), F.max(v).alias("high"), F.min(v).alias("low"))
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in place]
+    return readings.where(F.col(ts).isNotNull()).groupBy(station, F.to_date(ts).alias("day")).agg(*first, F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.avg(v).alias("mean"), F.max(v).alias("high"), F.min(v).alias("low"))
 
 
-def weekly(days: DataFrame, station: str, k: Keys = K) -> DataFrame:
-    """Per station and ISO week: sum of sums, means of daily values."""
-    return with_iso_week(days, "day", k).groupBy(station, k.year, k.week).agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.avg("mean").alias("mean"), F.avg("high").alias("high"), F.avg("low").alias("low"))
+def weekly(days: DataFrame, station: str, k: Keys = K, place: tuple[str, ...] = ()) -> DataFrame:
+    """Per station and ISO week: sum of sums, means of daily values, and of ``place`` columns (latitude and the like) the first day's."""
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("day"))).alias(c) for c in place]
+    return with_iso_week(days, "day", k).groupBy(station, k.year, k.week).agg(*first, F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.avg("mean").alias("mean"), F.avg("high").alias("high"), F.avg("low").alias("low"))
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -60,10 +67,10 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def name_match(df: DataFrame, dim: DataFrame, name: str, area: str) -> DataFrame:
-    """Left join on normalised name and area; both sides' columns, dim's key columns null where nothing matches."""
-    key = lambda d: d.withColumn("_key", F.concat_ws("|", name_key(F.col(name)), F.col(area)))
-    right = first_by(key(dim), ["_key"], F.col(name)).drop(name, area)
-    return beside(key(df), right, "_key").drop("_key")
+    """Left join on normalised name and area; both sides' columns, dim's columns null where nothing matches. A null name or area matches nothing."""
+    key = lambda d: d.withColumns({"_name": name_key(F.col(name)), "_area": F.col(area)})
+    right = first_by(key(dim).where("_name is not null and _area is not null"), ["_name", "_area"], F.col(name)).drop(name, area)
+    return beside(key(df), right, ["_name", "_area"]).drop("_name", "_area")
 
 
 def accounting(df: DataFrame, keep: Column, part: str) -> DataFrame:
@@ -116,10 +123,11 @@ def regional(panel: DataFrame, means: list[str], k: Keys = K) -> DataFrame:
 
 
 def upper_quartile(df: DataFrame, measure: str, p: float = 0.75) -> DataFrame:
-    """Rows at or over the exact interpolated quantile; nulls don't count. Equal values are counted first, so the aggregate stays small."""
-    counts = df.where(F.col(measure).isNotNull()).groupBy(measure).agg(F.count(F.lit(1)).alias("_n"))
-    cut = counts.agg(F.expr(f"percentile({measure}, {p}, _n)").alias("_cut"))
-    return df.join(F.broadcast(cut), F.col(measure) >= F.col("_cut")).drop("_cut")
+    """Rows at or over the exact interpolated quantile; nulls don't count."""
+    from .graph import quantile
+
+    cut = quantile(df, measure, p).select(F.col("cut").alias("_cut"))
+    return df.join(F.broadcast(cut), F.col(measure) >= F.col("_cut")).drop("_cut")  # one row
 
 
 def lag_correlations(df: DataFrame, variables: list[str], target: str, lags: list[int], group: str, order: list[str], least: int = 30) -> DataFrame:

@@ -29,7 +29,7 @@ class Tables:
 
     def units(self) -> DataFrame:
         n = self.nation.select(F.col("n_nationkey").alias("unit"), F.col("n_name").alias("name"), "n_regionkey")
-        return n.join(F.broadcast(self.region), n.n_regionkey == F.col("r_regionkey"), "left").select("unit", "name", F.col("r_name").alias("grp"))
+        return n.join(self.region, n.n_regionkey == F.col("r_regionkey"), "left").select("unit", "name", F.col("r_name").alias("grp"))
 
     def climate(self) -> DataFrame:
         s = self.supplier.select("s_suppkey", F.col("s_nationkey").alias("unit"))
@@ -39,8 +39,9 @@ class Tables:
     def people(self) -> DataFrame:
         """People per unit and year: customers, the same every year that has cases."""
         n = self.customer.groupBy(F.col("c_nationkey").alias("unit")).agg(F.count(F.lit(1)).alias("people"))
-        years = self.orders.select(iso_year(F.col("o_orderdate").cast("date")).alias("yr")).distinct()
-        return n.join(F.broadcast(years), F.lit(True))
+        # a list of years, a few dozen at most by its kind, put to every unit
+        years = self.orders.agg(F.array_sort(F.collect_set(iso_year(F.col("o_orderdate").cast("date")))).alias("years")).first()[0]
+        return n.withColumn("yr", F.explode(F.array(*map(F.lit, years)).cast("array<long>")))
 
     def index(self) -> DataFrame:
         return self.customer.groupBy(F.col("c_nationkey").alias("unit")).agg(F.avg("c_acctbal").alias("idx"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,11 +36,9 @@ def r(c, n=6):
 
 
 def _folder(t: Tables, name: str) -> str:
-    import tempfile
     import uuid
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{graph.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderpriority, isoyear(CAST(o_orderdate AS DATE)) AS yr FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND isoyear(CAST(o_orderdate AS DATE)) IN (1996, 1997)")
@@ -86,6 +85,39 @@ def json_props(t):
     return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+@query("SELECT s_suppkey AS code, s_nationkey AS unit FROM supplier WHERE s_suppkey % 7 <> 0")
+def csv_with_comments(t):
+    """A table of the suppliers as CSV files in which some lines are comments."""
+    at = _folder(t, "csv")
+    code = F.concat(F.when(F.col("s_suppkey") % 7 == 0, "#").otherwise(""), F.col("s_suppkey").cast("string"))
+    t.supplier.select(code.alias("code"), F.col("s_nationkey").alias("unit")).write.option("header", True).option("comment", "~").csv(at)
+    return files.commented_csv(t.spark, at, "code long, unit int")
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '00000' AS code, n_name AS name, CASE WHEN n_nationkey % 3 < 2 THEN 'S' || n_nationkey ELSE 'P' || n_nationkey END AS sigla, CASE WHEN n_nationkey % 3 < 2 THEN n_name ELSE 'state ' || n_nationkey END AS state, CASE WHEN n_nationkey % 3 < 2 THEN r_name ELSE 'known' END AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 < 2 OR n_nationkey < 15")
+def flatten_registry(t):
+    """Nations as nested registry objects: by the first path, the second, or neither, of which some have a known prefix."""
+    uf = lambda: F.struct(F.concat(F.lit("S"), F.col("n_nationkey")).alias("sigla"), F.col("n_name").alias("nome"), F.struct(F.col("r_name").alias("nome")).alias("regiao"))
+    part = F.col("n_nationkey") % 3
+    first = F.when(part == 0, F.struct(F.struct(uf().alias("UF")).alias("mesorregiao")))
+    second = F.when(part == 1, F.struct(F.struct(uf().alias("UF")).alias("regiao-intermediaria")))
+    code = F.concat(S.pad_code(F.col("n_nationkey"), 2), F.lit("00000"))
+    raw = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(code.alias("id"), F.col("n_name").alias("nome"), first.alias("microrregiao"), second.alias("regiao-imediata"))
+    return files.flatten_registry(raw, {f"{i:02d}": (f"P{i}", f"state {i}", "known") for i in range(15)})
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS code, CAST(count(*) AS BIGINT) * 1000 AS value FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY c_nationkey")
+def explode_series_json(t):
+    """Counts by nation as a payload of nested JSON for each last digit, with thousands marks and sentinels."""
+    n = t.customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    text = F.when(F.col("c_nationkey") % 5 == 0, "...").otherwise(F.concat(F.col("n").cast("string"), F.lit(".000")))
+    one = F.struct(F.struct(F.col("c_nationkey").cast("string").alias("id")).alias("localidade"), F.create_map(F.lit("2020"), text, F.lit("2019"), F.lit("-")).alias("serie"))
+    # a nation has one series, so a payload has a tenth of the nations
+    series_ = n.groupBy((F.col("c_nationkey") % 10).alias("k")).agg(F.collect_list(one).alias("series"))
+    payload = series_.select(F.to_json(F.array(F.struct(F.array(F.struct("series")).alias("resultados")))).alias("payload"))
+    return files.explode_series(payload, "payload", "2020")
+
+
 # --- scalars
 
 
@@ -122,14 +154,11 @@ def check_digit(t):
 
 @query("SELECT n_nationkey, coalesce(r_name, CASE substr(lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), 1, 1) WHEN '0' THEN 'NORTH' WHEN '1' THEN 'SOUTH' END) AS grp FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 1")
 def prefix_lookup(t):
-    n = t.nation.join(F.broadcast(t.region.where("r_regionkey <> 1")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    n = t.nation.join(t.region.where("r_regionkey <> 1"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return n.select("n_nationkey", F.coalesce("r_name", S.lookup(F.substring(S.pad_code(F.col("n_nationkey"), 2), 1, 1), {"0": "NORTH", "1": "SOUTH"})).alias("grp"))
 
 
-_PLAIN = f"translate(text, '{S.ACCENTED}', '{S.PLAIN}')"
-
-
-@query(f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower({_PLAIN}), '[''`]', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS name FROM conversations")
+@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[''`]', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS name FROM conversations")
 def normalize_name_soft(t):
     return t.conversations.select("conv_id", "turn", S.plain_name(F.col("text")).alias("name"))
 
@@ -400,25 +429,36 @@ def lag_correlation(t):
     return _correlations(t).withColumn("r", r(F.col("r"), 5))
 
 
-@query()
+def _p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation by the finite sums of Student's distribution for whole degrees of freedom."""
+    even = f"abs({r}) * list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi()) + k * ln(1 - {r} * {r}))))"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * coalesce(list_sum(list_transform(range(0, ({n} - 3) // 2), lambda k: sqrt(1 - {r} * {r}) * exp(lgamma(k + 1) + ln(sqrt(pi()) / 2) - lgamma(k + 1.5) + k * ln(1 - {r} * {r})))), 0))"
+    return f"CASE WHEN {r} IS NULL OR {n} < 3 THEN NULL WHEN {r} = 0 OR abs({r}) >= 1 THEN ({r} = 0)::INT::DOUBLE ELSE round(1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END, 4) + 0.0 END"
+
+
+@query(f"WITH {_LAGS} SELECT grp, variable, lag, n, round(r, 5) AS r, {_p_sql('r', 'n')} AS p FROM m")
 def lag_correlation_p(t):
-    return _correlations(t).withColumn("p", panel.p_value(F.col("r"), F.col("n")))
+    return _correlations(t).withColumn("p", _p(F.col("r"), F.col("n"))).withColumn("r", r(F.col("r"), 5))
+
+
+def _p(of, n):
+    return F.abs(r(panel.p_value(of, n), 4))
 
 
 _BEST = _LAGS + ", b AS (SELECT grp, variable, CASE WHEN r IS NULL THEN 0 ELSE lag END AS lag, coalesce(r, 0) AS r, n FROM m QUALIFY row_number() OVER (PARTITION BY grp, variable ORDER BY abs(r) DESC NULLS LAST, lag) = 1)"
 
 
-@query(f"WITH {_BEST} SELECT grp, variable, CAST(lag AS BIGINT) AS lag, round(r, 5) AS r FROM b")
+@query(f"WITH {_BEST} SELECT grp, variable, CAST(lag AS BIGINT) AS lag, round(r, 5) AS r, {_p_sql('r', 'n')} AS p FROM b")
 def best_lag(t):
-    return panel.best_lags(_correlations(t), "grp").select("grp", "variable", "lag", r(F.col("r"), 5).alias("r"))
+    return panel.best_lags(_correlations(t), "grp").select("grp", "variable", "lag", r(F.col("r"), 5).alias("r"), _p(F.col("r"), F.col("n")).alias("p"))
 
 
-@query(f"WITH {_BEST}, z AS (SELECT grp, 'idx' AS variable, 0 AS lag, CASE WHEN count(idx) >= 30 AND var_pop(idx) * var_pop(cases) > 0 THEN covar_pop(idx, cases) / sqrt(var_pop(idx) * var_pop(cases)) END AS r FROM reg WHERE idx IS NOT NULL GROUP BY grp) SELECT grp, variable, CAST(lag AS BIGINT) AS lag, round(r, 3) AS r FROM b UNION ALL SELECT grp, variable, lag, round(r, 3) FROM z")
+@query(f"WITH {_BEST}, z AS (SELECT grp, 'idx' AS variable, 0 AS lag, CASE WHEN count(idx) >= 30 AND var_pop(idx) * var_pop(cases) > 0 THEN covar_pop(idx, cases) / sqrt(var_pop(idx) * var_pop(cases)) END AS r, count(idx) AS n FROM reg WHERE idx IS NOT NULL GROUP BY grp) SELECT grp, variable, CAST(lag AS BIGINT) AS lag, round(r, 3) AS r, {_p_sql('r', 'n')} AS p FROM b UNION ALL SELECT grp, variable, lag, round(r, 3), {_p_sql('r', 'n')} FROM z")
 def correlation_table(t):
     reg = graph.checkpoint(_regional(t))
-    lagged = panel.best_lags(panel.lag_correlations(reg, _VARIABLES, "cases", [1, 2, 3, 4], "grp", ["yr", "wk"]), "grp").select("grp", "variable", "lag", "r")
-    flat = panel.lag_correlations(reg, ["idx"], "cases", [0], "grp", ["yr", "wk"]).select("grp", "variable", F.col("lag").cast("long").alias("lag"), "r")
-    return lagged.unionByName(flat).withColumn("r", r(F.col("r"), 3))
+    lagged = panel.best_lags(panel.lag_correlations(reg, _VARIABLES, "cases", [1, 2, 3, 4], "grp", ["yr", "wk"]), "grp").select("grp", "variable", "lag", "r", "n")
+    flat = panel.lag_correlations(reg, ["idx"], "cases", [0], "grp", ["yr", "wk"]).select("grp", "variable", F.col("lag").cast("long").alias("lag"), "r", "n")
+    return lagged.unionByName(flat).select("grp", "variable", "lag", r(F.col("r"), 3).alias("r"), _p(F.col("r"), F.col("n")).alias("p"))
 
 
 @query(f"WITH {_BEST} SELECT variable, " + ", ".join(f"round(max(CASE WHEN grp = '{g}' THEN r END), 3) AS \"{g}\"" for g in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM b GROUP BY variable")
@@ -437,9 +477,10 @@ def row_accounting(t):
     return panel.accounting(t.orders.withColumnRenamed("o_orderstatus", "part"), F.col("o_totalprice") > 100000, "part").withColumn("pct", F.col("pct").cast("double"))
 
 
-@query("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+@query("SELECT DISTINCT * FROM lineitem")
 def dedup_rows(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber").dropDuplicates()
+    """Whole rows: copies are made by adding the table's small orders again."""
+    return t.lineitem.unionByName(t.lineitem.where("l_quantity < 10")).dropDuplicates()
 
 
 _KEYED = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
@@ -614,12 +655,31 @@ def dbscan_clusters(t):
     return graph.dbscan(graph.checkpoint(t.points()), 0.03)
 
 
-@query()
+#: The same points as degrees on the kilometre plane, those of high values only; the radius in kilometres.
+_KM, _NEAR_KM = "SELECT id, x * 111.0::DOUBLE * cos(radians(y)) AS x, y * 111.0::DOUBLE AS y FROM points WHERE value >= (SELECT quantile_cont(value, 0.75) FROM points)", 4.0
+_DENSE = POINTS + f", high AS ({_KM}), near AS (SELECT a.id AS src, b.id AS dst FROM high a, high b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {_NEAR_KM}::DOUBLE * {_NEAR_KM}::DOUBLE), core AS (SELECT src AS id FROM near GROUP BY src HAVING count(*) >= 5), inner_edges AS (SELECT src, dst FROM near WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)), reach AS (SELECT id, id AS other FROM core UNION SELECT reach.id, e.dst FROM reach JOIN inner_edges e ON e.src = reach.other), lab AS (SELECT id, min(other) AS label FROM reach GROUP BY id), num AS (SELECT id, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM lab), border AS (SELECT src AS id, min(cluster) AS cluster FROM near JOIN num ON dst = num.id GROUP BY src), dense AS (SELECT p.id, num.id IS NOT NULL AS core, CAST(coalesce(num.cluster, border.cluster, -1) AS BIGINT) AS cluster FROM high p LEFT JOIN num ON num.id = p.id LEFT JOIN border ON border.id = p.id)"
+
+
+def _high(p):
+    x, y = S.plane_km(F.col("y"), F.col("x"))
+    return graph.checkpoint(panel.upper_quartile(p, "value").select("id", x.alias("x"), y.alias("y")))
+
+
+@query(f"WITH RECURSIVE {_DENSE} SELECT id, core, cluster FROM dense")
+def high_rate_clusters(t):
+    """Points of the upper quartile, on the kilometre plane, by density."""
+    return graph.dbscan(_high(graph.checkpoint(t.points())), _NEAR_KM)
+
+
+@query(f"WITH RECURSIVE {_DENSE}, {_EDGES.removeprefix(POINTS).lstrip(', ')}, z AS (SELECT id, coalesce(value, 0) - avg(coalesce(value, 0)) OVER () AS z, count(*) OVER () AS n FROM points) SELECT (SELECT count(*) FROM points) AS units, round((SELECT max(n) FROM z) * sum(w * a.z * b.z) / (sum(w) * (SELECT sum(z * z) FROM z)), 6) AS moran_i, (SELECT coalesce(max(cluster), -1) + 1 FROM dense) AS clusters, round((SELECT quantile_cont(value, 0.75) FROM points), 6) AS p75 FROM w JOIN z a ON a.id = src JOIN z b ON b.id = dst")
 def spatial_summary(t):
+    """Units, Moran I, clusters among the units of high rate, and the cut: four aggregates of one row."""
     p = graph.checkpoint(t.points())
-    clusters = graph.dbscan(p, 0.03).agg((F.max("cluster") + 1).alias("clusters"), F.count(F.lit(1)).alias("units"))
-    cut = p.agg(F.expr("percentile(value, 0.75)").alias("p75"))
-    return clusters.join(F.broadcast(cut), F.lit(True)).join(F.broadcast(graph.moran(p, graph.weights(p))), F.lit(True))
+    clusters = graph.dbscan(_high(p), _NEAR_KM).agg((F.coalesce(F.max("cluster"), F.lit(-1)) + 1).alias("clusters"))
+    units, cut = p.agg(F.count(F.lit(1)).alias("units")), graph.quantile(p, "value", 0.75).select(r(F.col("cut")).alias("p75"))
+    moran = graph.moran(p, graph.weights(p)).select(r(F.col("moran_i")).alias("moran_i"))
+    one = [d.withColumn("_one", F.lit(1)) for d in (units, moran, clusters, cut)]
+    return reduce(lambda a, b: a.join(b, "_one"), one).drop("_one")
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
@@ -628,10 +688,14 @@ def linreg_simple(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), r(F.regr_r2(y, x)).alias("r2"))
 
 
-def _folded(t):
+#: Rounds of boosting that the queries run; the estimator's own number is 200 (README has the times).
+BOOSTED = {"maxIter": 20}
+
+
+def _folded(t, order=("yr", "wk", "unit")):
     out, names = _matrix(t)
     out = graph.stored(out)
-    out = graph.stored(models.folds(models.ordinal(out, ["yr", "wk", "unit"]), out.count()))
+    out = graph.stored(models.folds(graph.ordinal(out, list(order)), out.count()))
     return models.assembled(out, names), names
 
 
@@ -642,36 +706,41 @@ def linreg_cv(t):
 
 @query()
 def rf_cv(t):
-    return models.cross_validate(_folded(t)[0], "forest", small=True)
+    return models.cross_validate(_folded(t)[0], "forest")
 
 
 @query()
 def gbt_cv(t):
-    return models.cross_validate(_folded(t)[0], "boosted", small=True)
+    return models.cross_validate(_folded(t)[0], "boosted", **BOOSTED)
 
 
 @query()
 def cv_summary(t):
     df = _folded(t)[0]
-    out = [models.summary(models.cross_validate(df, k, small=True), k) for k in ("linear", "forest")]
-    return out[0].unionByName(out[1])
+    own = {"linear": {}, "forest": {}, "boosted": BOOSTED}
+    return reduce(DataFrame.unionByName, [models.summary(models.cross_validate(df, k, **more), k) for k, more in own.items()])
 
 
 @query()
 def rf_importance(t):
     df, names = _folded(t)
-    return models.importances(models.estimator("forest", small=True).fit(df), names, t.spark)
+    return models.importances(models.estimator("forest").fit(df), names, t.spark)
 
 
 @query()
 def predicted_vs_actual(t):
     df = _folded(t)[0]
-    return models.estimator("forest", small=True).fit(df.where("fold < 5")).transform(df.where("fold = 5")).select("unit", "yr", "wk", "label", "prediction")
+    return models.estimator("forest").fit(df.where("fold < 5")).transform(df.where("fold = 5")).select("unit", "yr", "wk", "label", "prediction")
 
 
 @query()
 def learning_curve(t):
-    return models.learning_curve(_folded(t)[0], "linear", small=True)
+    return models.learning_curve(_folded(t)[0], "forest")
+
+
+@query()
+def learning_curve_boosted(t):
+    return models.learning_curve(_folded(t)[0], "boosted", **BOOSTED)
 
 
 @query()
@@ -708,3 +777,43 @@ def completeness_report(t):
 
 
 assert CASES  # part of COUNTS
+
+
+@query(f"WITH {COUNTS}, w AS (SELECT unit, yr, wk, cases, CAST(date_trunc('week', make_date(yr, 1, 4)) AS DATE) + CAST((wk - 1) * 7 AS INTEGER) AS monday FROM counts WHERE cat = '{PRINCIPAL}') SELECT a.unit, a.yr, a.wk, a.cases, b.cases AS cases_lag_1, c.cases AS cases_lag_2 FROM w a LEFT JOIN w b ON b.unit = a.unit AND b.monday = a.monday - 7 LEFT JOIN w c ON c.unit = a.unit AND c.monday = a.monday - 14")
+def lag_features_dense(t):
+    """Lags in calendar weeks: weeks without cases have no value."""
+    one = t.counts().where(F.col("cat") == PRINCIPAL).select("unit", "yr", "wk", "cases")
+    return models.lags(one, {"cases": 2}, dense=True)
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def valid_set_filter(t):
+    """Rows of valid codes only; without a set of codes everything passes."""
+    codes = t.nation.where("n_regionkey = 1").select("n_nationkey")
+    kept = panel.valid_codes(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey", codes)
+    return panel.valid_codes(kept, "c_nationkey", None).select("c_custkey", "c_nationkey")
+
+
+@query(f"WITH {_EDGES}, s AS (SELECT id, x, y FROM points WHERE id % 10 = 0), near AS (SELECT p.id AS unit, s.id AS station FROM points p, s QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.id) = 1), {CLIMATE} SELECT near.unit, near.station, yr, wk, rain, round(temp, 6) AS temp FROM near JOIN climate ON climate.unit = near.station % 25")
+def climate_of_nearest_station(t):
+    """Every unit gets the weekly climate of its nearest station; a tenth of the points are stations."""
+    p = graph.checkpoint(t.points())
+    near = panel.nearest_station(p, p.where("id % 10 = 0")).select("unit", "station", (F.col("station") % 25).cast("int").alias("_nation"))
+    week = t.climate().withColumnRenamed("unit", "_nation")
+    return panel.beside(near, week, "_nation", "inner").select("unit", "station", "yr", "wk", "rain", r(F.col("temp")).alias("temp"))
+
+
+@query()
+def folds_by_unit(t):
+    """Folds cut from rows ordered by unit first; errors of the linear model."""
+    return models.cross_validate(_folded(t, ("unit", "yr", "wk"))[0], "linear")
+
+
+@query(f"WITH {COUNTS} SELECT cat, CAST(sum(cases) AS BIGINT) AS cases FROM counts GROUP BY cat")
+def metric_sinks(t):
+    """A result table written as JSON and as CSV and read back; both must hold the same rows."""
+    out = t.counts().groupBy("cat").agg(F.sum("cases").alias("cases"))
+    a, b = _folder(t, "json"), _folder(t, "csv")
+    files.metric_json(out, a)
+    files.metric_csv(out, b)
+    return t.spark.read.schema(out.schema).json(a).intersect(t.spark.read.schema(out.schema).option("header", True).csv(b))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 
@@ -13,9 +14,16 @@ from quernstone.functions.scalars import decimal_comma
 
 # Parts of vendor column names, in the order in which they are tried, and the names used here.
 STATION_COLUMNS = [
-    ("precipita", "precip_mm"), ("pressao atmosferica ao nivel", "pressao_hpa"), ("temperatura do ar", "temp_c"), ("temperatura máxima", "temp_max_c"), ("temperatura mínima", "temp_min_c"),
-    ("umidade relativa", "umidade_pct"), ("vento, velocidade", "vento_ms"), ("vento, dire", "vento_dir"), ("radiacao", "radiacao"),
-]
+    ("precipita", "precip_mm"),
+    ("pressão atmosferica ao nivel", "pressao_hpa"),
+    ("temperatura do ar", "temp_c"),
+    ("temperatura máxima", "temp_max_c"),
+    ("temperatura mínima", "temp_min_c"),
+    ("umidade relativa do ar", "umidade_pct"),
+    ("vento, velocidade", "vento_ms"),
+    ("vento, dire", "vento_dir"),
+    ("radia", "radiacao"),
+]
 # Metadata labels of a station file.
 STATION_FIELDS = {"regiao": "REGI[AÃ]O", "uf": "UF", "estacao": "ESTA[CÇ][AÃ]O", "codigo_wmo": r"C[OÓ]DIGO \(WMO\)", "latitude": "LATITUDE", "longitude": "LONGITUDE", "altitude": "ALTITUDE", "data_fund": "DATA DE FUNDA[CÇ][AÃ]O"}
 
@@ -40,10 +48,11 @@ def sink_partitions(df: DataFrame, root: str, keys: list[str], rows_per_file: in
 
 
 def rename_by_pattern(df: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """Each column takes the name of the first pattern that its own name holds; a name is given once."""
+    """Each column takes the name of the first pattern that its own name holds, compared without accents; a name is given once."""
+    bare = lambda text: "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
     names: dict[str, str] = {}
     for c in df.columns:
-        new = next((n for part, n in patterns if part in c.lower() and n not in names.values()), None)
+        new = next((n for part, n in patterns if bare(part) in bare(c) and n not in names.values()), None)
         if new:
             names[c] = new
     return df.withColumnsRenamed(names)
@@ -125,3 +134,13 @@ def explode_series(payload: DataFrame, column: str, year: str) -> DataFrame:
 
 def commented_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("comment", "#").csv(path)
+
+
+def metric_json(df: DataFrame, path: str) -> None:
+    """One JSON object a row, in one file: for metrics, whose rows are few."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def metric_csv(df: DataFrame, path: str) -> None:
+    """A CSV table with header in one file: for result tables, whose rows are few."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

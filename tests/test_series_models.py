@@ -85,11 +85,61 @@ def test_stratified_cap_is_bounded_and_repeatable(spark):
     assert a == b and len(a) == 200
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+#: Queries that fit forests or boosted trees at their full size, some minutes together: the operators are tested below with small ones.
+LONG = {"rf_cv", "gbt_cv", "cv_summary", "rf_importance", "predicted_vs_actual", "learning_curve", "learning_curve_boosted"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LONG))
 def test_rows_only_queries(spark, name):
     rows = QUERIES[name](spark, TABLES).collect()
     assert rows
-    if name in ("linreg_cv", "rf_cv", "gbt_cv"):
+    if name in ("linreg_cv", "folds_by_unit"):
         assert [r.fold for r in sorted(rows, key=lambda r: r.fold)] == [1, 2, 3, 4, 5] and all(r.rmse >= r.mae > 0 for r in rows)
-    if name == "lag_correlation_p":
-        assert all(r.p is None or 0 <= r.p <= 1 for r in rows)
+
+
+@pytest.mark.parametrize(("kind", "small"), [("forest", {"numTrees": 5, "maxDepth": 3}), ("boosted", {"maxIter": 3, "maxDepth": 3})])
+def test_models_learn(spark, kind, small):
+    """Errors by fold, a summary, a learning curve with R2 and importances, on a frame whose target follows one feature."""
+    rows = [(i, float(i % 17), float(i * 7 % 5), float(3 * (i % 17)), i) for i in range(400)]
+    df = graph.stored(models.assembled(models.folds(spark.createDataFrame(rows, "id long, a double, b double, target double, ordinal long"), 400), ["a", "b"]))
+    cv = models.cross_validate(df, kind, **small).collect()
+    assert sorted(r.fold for r in cv) == [1, 2, 3, 4, 5] and all(r.rmse >= r.mae > 0 and r.r2 > 0.5 for r in cv)
+    table = models.summary(spark.createDataFrame(cv), kind).first()
+    assert table.model == kind and "±" in table.r2_text
+    curve = models.learning_curve(df, kind, **small).collect()
+    assert {r.n_train for r in curve} == {83, 167, 250, 334} and all(r.r2_test > 0.5 for r in curve)
+    best = models.importances(models.estimator(kind, **small).fit(df), ["a", "b"], spark).first()
+    assert best.feature == "a"
+
+
+def test_estimators_have_the_reference_size():
+    forest, boosted = models.estimator("forest"), models.estimator("boosted")
+    assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter(), boosted.getMaxDepth()) == (150, 10, 200, 6)
+
+
+def test_null_names_match_nothing(spark):
+    left = spark.createDataFrame([(1, None, "SP"), (2, "São João", "SP"), (3, "Sao Joao", None), (4, "ﬁm ő", "RJ")], "id int, name string, uf string")
+    dim = spark.createDataFrame([(10, None, "SP"), (20, "SAO JOAO", "SP"), (30, "fim o", "RJ"), (40, "x", None)], "code int, name string, uf string")
+    assert {r.id: r.code for r in panel.name_match(left, dim, "name", "uf").collect()} == {1: None, 2: 20, 3: None, 4: 30}
+
+
+def test_quantile_is_exact(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(0, 9, 101).astype(float), rng.standard_normal(50), np.array([4.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for p in (0.0, 0.25, 0.75, 1.0):
+            assert math.isclose(graph.quantile(df, "v", p).first().cut, float(np.quantile(values, p)))
+
+
+def test_dense_lags_and_codes(spark):
+    rows = [(1, 1997, 51, 5), (1, 1997, 52, 6), (1, 1998, 2, 7), (None, 1998, 1, 9)]
+    out = models.lags(spark.createDataFrame(rows, "unit int, yr long, wk long, cases long"), {"cases": 2}, ("cases", 1), dense=True)
+    got = {(r.unit, r.yr, r.wk): (r.cases_lag_1, r.cases_lag_2, r.target) for r in out.collect()}
+    assert got == {(1, 1997, 51): (None, None, 6), (1, 1997, 52): (5, None, None), (1, 1998, 2): (None, 6, None), (None, 1998, 1): (None, None, None)}
+
+
+def test_weekly_keeps_the_first_place(spark):
+    rows = [("A", f"2024-01-0{d} 00:00:00", float(d), 10.0 + d if d > 1 else None) for d in (1, 2, 3)]
+    readings = spark.createDataFrame(rows, "s string, t string, v double, lat double").withColumn("t", F.to_timestamp("t"))
+    out = panel.weekly(panel.daily(readings, "s", "t", "v", ("lat",)), "s", place=("lat",)).collect()
+    assert len(out) == 1 and out[0].lat == 12.0 and out[0].total == 6.0
