@@ -23,6 +23,7 @@ LAST = (1 << 63) - 1
 #: A Python task works on so many rows and about so many bytes of text at once.
 BLOCK_ROWS = 512
 BLOCK_BYTES = 8 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +48,19 @@ def checkpoint(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
     Unlike Dataset.checkpoint it is compressed, read by column, and of known size: the planner takes a checkpoint's size
     from the plan that made it, a product over its joins that soon has too many digits to compute with in a loop.
+    While it is written, batches for Python tasks have BLOCK_BYTES at most; afterwards the session's setting holds again.
+    So every operator runs its passes over texts within a checkpoint.
     """
-    at = work_folder(df.sparkSession)
-    df.write.option("compression", compression).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    spark, at = df.sparkSession, work_folder(df.sparkSession)
+    before = spark.conf.get(ARROW_BYTES, None)
+    if before is not None:
+        spark.conf.set(ARROW_BYTES, str(BLOCK_BYTES))
+    try:
+        df.write.option("compression", compression).parquet(at)
+    finally:
+        if before is not None:
+            spark.conf.set(ARROW_BYTES, before)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def documents_of(df: DataFrame) -> DataFrame:
@@ -96,7 +106,7 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, count: str, spread:
     return left.drop("_hot_key").join(right, [key, "_salt"], how).drop("_salt")
 
 
-def with_small(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column, total: int, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+def with_small(big: DataFrame, small: DataFrame, key: str, count: str, spread: Column, total: int, how: str = "inner", most: int = NARROW_ROWS) -> DataFrame:
     """``big`` joined with one row per key: broadcast if that is few rows when counted, else by shuffle with salt for hot keys."""
     if small.count() <= most:
         return big.join(F.broadcast(small), key, how)

@@ -532,4 +532,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     beside = _beside(pages, known, size).select("page_id", "url", "host", "html", "pivot", "constant")
-    return beside.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return checkpoint(beside.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long")))

@@ -34,7 +34,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, documents_of
+from .common import blocks, checkpoint, documents_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -261,4 +261,5 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def tokens(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding gave the whole text back."""
-    return encoded(docs, model).select("doc_id", "ids", "n_tokens", (F.col("decoded") == F.replace(F.col("text"), F.lit(MARK), F.lit(" "))).alias("round_trip"))
+    same = F.col("decoded") == F.replace(F.col("text"), F.lit(MARK), F.lit(" "))
+    return checkpoint(encoded(docs, model).select("doc_id", "ids", "n_tokens", same.alias("round_trip")))

@@ -277,4 +277,4 @@ def deduplicated(docs: DataFrame, min_words: int = 16) -> DataFrame:
                 texts.append("".join([*out, text[at:]]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], ["doc_id", "text", "spans"])
 
-    return joined.mapInArrow(run, f"doc_id long, text string, spans {kind}")
+    return checkpoint(joined.mapInArrow(run, f"doc_id long, text string, spans {kind}"))
