@@ -138,6 +138,11 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``docs``: doc_id and spans, an array of (start, number, end, kind) in order."""
+    return _scanned(docs, rules).select("doc_id", "spans")
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, text and spans, row by row."""
     docs = documents_of(docs)
     found = candidates(docs, rules)
     found = checkpoint(found.select(F.col("doc_id").alias("_id"), "kinds"))
@@ -150,7 +155,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         else:  # the cheapest test that no match can fail, on every text
             gate = F.col("text").rlike(f"(?:{rule.regex}){{1}}" if rule.group else f"{rule.regex[:-1]}{{{rule.least}}}" if rule.regex.endswith("]+") else rule.regex)
         per_rule.append(F.when(gate, spans_of(F.col("text"), rule, n)).otherwise(none))
-    return joined.select("doc_id", F.array_sort(F.concat(*per_rule)).alias("spans"))
+    return joined.select("doc_id", "text", F.array_sort(F.concat(*per_rule)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -171,9 +176,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """doc_id and the text with every span replaced; overlapping spans become one mask."""
-    found = scan(docs.select("doc_id", "text")).where(F.size("spans") > 0).select("doc_id", "spans").dropDuplicates(["doc_id"])
-    d = documents_of(docs).join(found, "doc_id", "left")
+    """doc_id and the text with every span replaced, row by row, with or without doc_id; overlapping spans become one mask."""
+    d = _scanned(docs, RULES)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -182,7 +186,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], keep, F.lit(mask))).otherwise(acc["out"]).alias("out"))
 
     text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return d.select("doc_id", F.coalesce(text, F.col("text")).alias("text"))
+    return d.select("doc_id", text.alias("text"))
 
 
 def oracle() -> str:

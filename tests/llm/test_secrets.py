@@ -58,3 +58,10 @@ def test_cases(spark):
     assert report(docs.limit(0)).count() == 0
     clean = {r.doc_id: r.text for r in redacted(docs).collect()}
     assert clean[3] == "[SECRET]" and clean[12] == "[SECRET]" and clean[4] == texts[4] and clean[17].endswith("x [SECRET]")
+
+
+def test_redaction_is_by_row(spark):
+    """Rows without doc_id, and several texts of one doc_id, lose their own secrets."""
+    rows = [(None, "password = hunter2hunter2 end"), (None, "nothing here"), (1, "a secret: abcdefgh123 b"), (1, "token=0123456789abc"), (2, None)]
+    got = sorted((str(r.doc_id), r.text) for r in redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", "[SECRET]"), ("1", "a [SECRET] b"), ("2", ""), ("None", "[SECRET] end"), ("None", "nothing here")]
