@@ -3,7 +3,7 @@ from __future__ import annotations
 import math
 import random
 
-from quernstone.llm.quality_model import calibration, posteriors
+from quernstone.llm.quality_model import calibration, features, labelled_sample, posteriors, weights
 from quernstone.llm.queries import op3_quality_model
 
 
@@ -61,3 +61,55 @@ def test_cases(spark):
     one = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, 1)], none.schema)
     assert posteriors(docs, one).count() == 5
     assert posteriors(docs.limit(0), one).count() == 0
+
+
+def brute(spark, docs: list[tuple], labels: list[tuple]) -> dict[int, tuple[float, ...]]:
+    """The hierarchy in plain Python: (p_quality, p_toxic, path_quality, path_toxic) by doc_id, from the same evidence."""
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    sample = labelled_sample(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    by = weights(sample)
+    held = [(sum(by[f][k] for f in features(r.text.encode()) if f in by), int((r.toxic if k else r.quality) > 0), k) for r in sample.where("fold = 2").collect() for k in (0, 1)]
+    out: dict[int, list[float]] = {i: [0.0] * 4 for i, *_ in docs}
+    for k in (0, 1):
+        slope, start = calibration([(s, y) for s, y, which in held if which == k])
+        odds = {i: slope * max(-30.0, min(30.0, sum(by[f][k] for f in features((t or "").encode()) if f in by))) + start for i, t, _, _ in docs}
+        p = {i: 1 / (1 + math.exp(-x)) for i, x in odds.items()}
+        path_of = {i: (s or "?", f"{s or '?'}/{g or '?'}") for i, _, g, s in docs}
+        m = min(max(sum(p.values()) / len(docs), 1e-4), 1 - 1e-4)
+
+        def shrunk(level: int, prior):
+            groups: dict[str, list[float]] = {}
+            for i in p:
+                groups.setdefault(path_of[i][level], []).append(p[i])
+            rows = [(g, len(v), sum(v), prior(g)) for g, v in groups.items()]
+            w = sum(min(n, 10_000) for _, n, _, _ in rows)
+            noise = sum(min(n, 10_000) * q * (1 - q) / n for _, n, _, q in rows)
+            spread = sum(min(n, 10_000) * (s / n - q) ** 2 for _, n, s, q in rows)
+            size = sum(min(n, 10_000) * q * (1 - q) for _, n, _, q in rows) / w
+            strength = min(max(size / max((spread - noise) / w, 1e-9) - 1, 2.0), 1e6)
+            return {g: (s + strength * q) / (n + strength) for g, n, s, q in rows}
+
+        site = shrunk(0, lambda g: m)
+        path = shrunk(1, lambda g: site[g.rsplit("/", 1)[0]])
+        for i, x in odds.items():
+            rate = max(1e-4, min(1 - 1e-4, path[path_of[i][1]]))
+            out[i][k] = 1 / (1 + math.exp(-(x - math.log(m / (1 - m)) + math.log(rate / (1 - rate)))))
+            out[i][2 + k] = path[path_of[i][1]]
+    return {i: tuple(v) for i, v in out.items()}
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(600):
+        site = rng.choice(("a", "a", "a", "b", "c", None))
+        good, toxic = rng.random() < {"a": 0.9, "b": 0.3}.get(site, 0.6), rng.random() < 0.2
+        words = (["fine", "prose", "about"] if good else ["junk", "spam", "click"]) + (["vile", "slur"] if toxic else [])
+        docs.append((i, None if i % 97 == 0 else " ".join(rng.choices(words + ["the", "of", "a", "b"], k=30)), rng.choice(("en", "fr", None)), site))
+        labels.append((i, int(good), int(toxic)))
+    want = brute(spark, docs, labels)
+    got = posteriors(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip((r.p_quality, r.p_toxic, r.path_quality, r.path_toxic), want[r.doc_id], strict=True))
+        assert r.kept == (r.p_quality >= 0.5 and r.p_toxic < 0.5)
