@@ -94,6 +94,41 @@ def csv_with_comments(t):
     return files.commented_csv(t.spark, at, "code long, unit int")
 
 
+def _archives(t):
+    """(path, content): ZIP archives of fifty suppliers each as station files, every second one in Latin-1."""
+
+    def pack(key, stations):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, unit, value in stations.itertuples(index=False):
+                fields = ["REGIAO:;X", f"UF:;{unit:02d}", f"ESTAÇÃO:;n{k}", f"CODIGO (WMO):;S{k}", f"LATITUDE:;-{unit},5", "LONGITUDE:;10,25", "ALTITUDE:;7"]
+                text = "\n".join([*fields, "Data;Hora UTC;PRECIPITAÇÃO TOTAL;b;c;d;", f"2024/01/01;0000 UTC;{value!r};;;;".replace(".", ","), "2024/01/01;0100 UTC;-9999;;;;"])
+                z.writestr(f"S{k}.CSV", text.encode("latin-1" if k % 2 else "utf-8"))
+        return pd.DataFrame({"path": [f"{key[0]}.zip"], "content": [held.getvalue()]})
+
+    rows = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal", F.floor(F.col("s_suppkey") / 50).alias("a"))
+    kept = lambda key, stations: pack(key, stations.drop(columns="a"))
+    return rows.groupBy("a").applyInPandas(kept, "path string, content binary")
+
+
+@query("SELECT 'S' || s_suppkey || '.CSV' AS name, s_acctbal AS value FROM supplier UNION ALL SELECT 'S' || s_suppkey || '.CSV', NULL FROM supplier")
+def zip_csv_scan(t):
+    """Readings of all files in the archives; the missing-value mark is null."""
+    lines = files.with_header(files.lines_of_archives(_archives(t)))
+    return lines.where("no > header").select("name", S.decimal_comma(F.get(F.split("line", ";"), 2)).alias("value"))
+
+
+@query("SELECT 'S' || s_suppkey || '.CSV' AS name, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS uf, 'n' || s_suppkey AS estacao, 'S' || s_suppkey AS codigo_wmo, -(s_nationkey + 0.5::DOUBLE) AS latitude, 10.25::DOUBLE AS longitude, 7.0::DOUBLE AS altitude FROM supplier")
+def station_metadata(t):
+    lines = files.with_header(files.lines_of_archives(_archives(t)))
+    return files.station_metadata(lines).select("name", "uf", "estacao", "codigo_wmo", "latitude", "longitude", "altitude")
+
+
 @query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '00000' AS code, n_name AS name, CASE WHEN n_nationkey % 3 < 2 THEN 'S' || n_nationkey ELSE 'P' || n_nationkey END AS sigla, CASE WHEN n_nationkey % 3 < 2 THEN n_name ELSE 'state ' || n_nationkey END AS state, CASE WHEN n_nationkey % 3 < 2 THEN r_name ELSE 'known' END AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 < 2 OR n_nationkey < 15")
 def flatten_registry(t):
     """Nations as nested registry objects: by the first path, the second, or neither, of which some have a known prefix."""

@@ -59,7 +59,13 @@ def rename_by_pattern(df: DataFrame, patterns: list[tuple[str, str]]) -> DataFra
 
 
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, no, line, error) of all CSV files in ZIP archives; UTF-8, else Latin-1. Bad archives give one row with error."""
+    """The lines of all CSV files in the ZIP archives below a path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return lines_of_archives(files.select("path", "content"))
+
+
+def lines_of_archives(archives: DataFrame) -> DataFrame:
+    """(archive, name, no, line, error) of all CSV files in archives (path, content); UTF-8, else Latin-1. Bad archives give one row with error."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -84,8 +90,7 @@ def archive_lines(spark: SparkSession, path: str) -> DataFrame:
                     rows = [[archive] * len(lines), [name] * len(lines), list(range(len(lines))), lines, [None] * len(lines)]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, "archive string, name string, no int, line string, error string")
+    return archives.select("path", "content").mapInArrow(run, "archive string, name string, no int, line string, error string")
 
 
 def with_header(lines: DataFrame) -> DataFrame:
