@@ -21,8 +21,8 @@ NARROW_ROWS = 300_000
 #: Rank of rows without an id: behind all others.
 LAST = (1 << 63) - 1
 #: A Python task works on so many rows and about so many bytes of text at once.
-BLOCK_ROWS = 512
-BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 256
+BLOCK_BYTES = 4 << 20
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

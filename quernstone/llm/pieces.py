@@ -45,7 +45,7 @@ INFINITY = float("inf")
 RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 PARTS = re.compile(rf"{MARK}*(?:\w+|[^\w{MARK}]+)|{MARK}+")
 #: Runs and pairs that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def load(model: str = MODEL) -> list[tuple[str, float, int]]:
@@ -140,7 +140,7 @@ class Transducer:
                 for y, born_y, end_y in right:
                     if max(born_x, born_y) < min(end_x, end_y) and (m := rank(x + y)) is not None and m < end_x and m <= end_y:
                         known = False
-            if len(self._apart) > 4 * REMEMBERED:
+            if len(self._apart) > 2 * REMEMBERED:
                 self._apart.clear()
             self._apart[a, b] = known
         return known

@@ -33,7 +33,7 @@ STOP_WORDS = frozenset(
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_plain_words", "n_stop_words", "n_distinct_words", "n_marks", "dup_line_words"]
 MEASURES = "doc_id long, doc long, th long, " + ", ".join(f"{c} long" for c in NAMES)
 #: What is known of a word is remembered for this many words in a Python worker.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _known: dict[bytes, tuple[int, int, int, int, int]] = {}
 
 

@@ -48,7 +48,7 @@ class _Digests(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word, 8)
         return h
