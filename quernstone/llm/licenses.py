@@ -3,7 +3,8 @@
 Texts are cut into sentences, sentences are normalised (lower case, letters and digits only) and mapped to the
 identifiers of known licence sentences. A licence rule is an ordered sequence of identifiers, which must occur in that
 order in a text's sequence. Licence texts are wrapped in lines, so sentences are taken twice, with line ends as
-sentence ends and with line ends as spaces; the sequence with more identifiers counts (the first one if both have as many).
+sentence ends and with line ends as spaces; rules are matched on both sequences and their hits united. The sequence with more
+identifiers is reported (the first one if both have as many). A version mark ("v. 2.0") ends no sentence.
 
 The table of sentences has a fixed size; the texts are read once and nothing is shuffled. A sentence is looked up only
 if it holds one of KEYWORDS, which every known sentence does.
@@ -28,8 +29,8 @@ NAMES = {
     "BSD-2-Clause": ["bsd 2 clause license", "bsd 2 clause", "simplified bsd license"],
     "BSD-3-Clause": ["bsd 3 clause license", "bsd 3 clause", "new bsd license", "modified bsd license"],
     "ISC": ["isc license", "isc"],
-    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl v2", "gpl v2", "gpl 2 0", "gplv2"],
-    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3", "gnu gpl v3", "gpl v3", "gpl 3 0", "gplv3"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license v2", "gnu general public license v2 0", "gnu gpl v2", "gpl v2", "gpl 2 0", "gplv2"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license v3", "gnu general public license v3 0", "gnu gpl v3", "gpl v3", "gpl 3 0", "gplv3"],
     "LGPL-2.1": ["gnu lesser general public license version 2 1", "lgpl 2 1", "lgpl v2 1"],
     "LGPL-3.0": ["gnu lesser general public license version 3", "lgpl 3 0", "lgpl v3"],
     "AGPL-3.0": ["gnu affero general public license version 3", "agpl 3 0", "agpl v3"],
@@ -71,6 +72,12 @@ SENTENCES = {
     "MPL/notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "rights": "all rights reserved",
 }
+# The same sentences as other texts cut them.
+VARIANTS = {
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3/grant",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GPL/warranty",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPL/warranty",
+}
 # Licence, identifiers in order.
 RULES = [
     ("MIT", ["MIT/grant", "MIT/notice"]),
@@ -87,16 +94,21 @@ RULES = [
 ]
 KEYWORDS = ["licen", "permission", "copyright", "warrant", "rights reserved", "redistribut", "released under", "available under", "distributed under"]
 
-KNOWN = {f"{o} {n}": f"notice/{k}" for k, names in NAMES.items() for n in names for o in OPENINGS} | {s: k for k, s in SENTENCES.items()}
+#: Names of the GPL family may say whether later versions are meant.
+LATER = {k: [f"{n}{x}" for n in names for x in (("", " only", " or later") if "GPL" in k else ("",))] for k, names in NAMES.items()}
+KNOWN = {f"{o} {n}": f"notice/{k}" for k, names in LATER.items() for n in names for o in OPENINGS} | {s: k for k, s in SENTENCES.items()} | VARIANTS
 ALL_RULES = RULES + [(k, [f"notice/{k}"]) for k in NAMES]
 assert all(any(w in s for w in KEYWORDS) for s in KNOWN)
 #: A sentence ends at its mark and white space; the mark stays.
 ENDS = r"([.!?;])[ \t\r\n\f]+"
+#: A version mark before a number, whose point ends no sentence.
+VERSION = r"\b([vV])\.[ \t\r\n]+([0-9])"
 #: Where text is taken as wrapped, a colon that ends a line and an empty line end a sentence too.
 GAP = r":[ \t\r]*\n|\n[ \t\r]*\n[ \t\r\n]*"
 
 
 def _sentences(text: Column, wrapped: bool) -> Column:
+    text = F.regexp_replace(text, VERSION, "$1 $2")
     if wrapped:
         text = F.replace(F.regexp_replace(text, GAP, "\u0001"), F.lit("\n"), F.lit(" "))
     return F.split(F.regexp_replace(text, ENDS, "$1\n"), "[\n\u0001]")
@@ -126,9 +138,9 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     relevant = _has_keyword(F.lower("text"))
     rows = docs.select("doc_id", F.when(relevant, _identifiers(F.col("text"), False)).otherwise(none).alias("a"), F.when(relevant, _identifiers(F.col("text"), True)).otherwise(none).alias("b"))
-    rows = rows.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"))
-    sequence = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-    hits = F.array_compact(F.array(*[F.when(sequence.rlike(rule_pattern(ids)), F.lit(k)) for k, ids in ALL_RULES]))
+    a, b = (F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" ")) for c in ("a", "b"))
+    rows = rows.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"), a.alias("seq_a"), b.alias("seq_b"))
+    hits = F.array_compact(F.array(*[F.when(F.col("seq_a").rlike(p) | F.col("seq_b").rlike(p), F.lit(k)) for k, ids in ALL_RULES for p in [rule_pattern(ids)]]))
     licenses = F.when(F.size("ids") == 0, F.lit("")).otherwise(F.array_join(F.array_sort(F.array_distinct(hits)), ","))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), licenses.alias("licenses"))
 
@@ -138,16 +150,17 @@ def oracle() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     table = "MAP {" + ", ".join(f"{q(s)}: {q(k)}" for s, k in sorted(KNOWN.items())) + "}"
     has = lambda c: "(" + " OR ".join(f"contains({c}, {q(w)})" for w in KEYWORDS) + ")"
+    joined = "regexp_replace(text, '\\b([vV])\\.[ \\t\\r\\n]+([0-9])', '\\1 \\2', 'g')"
     cut = lambda t: f"string_split(replace(regexp_replace({t}, '([.!?;])[ \\t\\r\\n\\f]+', '\\1' || chr(10), 'g'), chr(1), chr(10)), chr(10))"
-    wrap = "replace(regexp_replace(text, ':[ \\t\\r]*\\n|\\n[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(1), 'g'), chr(10), ' ')"
+    wrap = f"replace(regexp_replace({joined}, ':[ \\t\\r]*\\n|\\n[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(1), 'g'), chr(10), ' ')"
     ids = lambda t: f"list_filter(list_transform(list_filter(list_transform({cut(t)}, lambda s: lower(s)), lambda s: {has('s')}), lambda s: known[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
-    rules = ", ".join(f"CASE WHEN regexp_matches(seq, {q(rule_pattern(r))}) THEN {q(k)} END" for k, r in ALL_RULES)
+    rules = ", ".join(f"CASE WHEN regexp_matches(seq_a, {q(rule_pattern(r))}) OR regexp_matches(seq_b, {q(rule_pattern(r))}) THEN {q(k)} END" for k, r in ALL_RULES)
+    written = lambda c: f"' ' || array_to_string({c}, ' ') || ' '"
     return f"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {table} AS known FROM documents),
-    s AS (SELECT doc_id, {ids('text')} AS a, {ids(wrap)} AS b FROM t WHERE {has('lower(text)')}),
-    c AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM s
-          UNION ALL SELECT doc_id, CAST([] AS VARCHAR[]) FROM t WHERE NOT {has('lower(text)')}),
-    j AS (SELECT doc_id, ids, ' ' || array_to_string(ids, ' ') || ' ' AS seq FROM c)
+    s AS (SELECT doc_id, {ids(joined)} AS a, {ids(wrap)} AS b FROM t WHERE {has('lower(text)')}),
+    c AS (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM t WHERE NOT {has('lower(text)')}),
+    j AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids, {written('a')} AS seq_a, {written('b')} AS seq_b FROM c)
     SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ' ') AS sentence_ids,
       CASE WHEN len(ids) = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))), ',') END AS licenses
     FROM j"""

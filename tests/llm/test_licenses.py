@@ -46,3 +46,21 @@ def test_cases(spark):
     assert got[7].licenses == "GPL-3.0" and got[8].licenses == "CC-BY-NC-4.0"
     assert got[9].licenses == ""  # the right sentences in the wrong order
     assert len(KNOWN) > 200
+
+
+def test_headers_and_short_forms(spark):
+    gpl3 = """Prog - does things.
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.example/MPL/2.0/."
+    both = "MIT License applies to parts\n" + gpl3 + "\n\nLicensed under MIT\nno mark at the end"
+    rows = [(1, gpl3), (2, mpl), (3, "SPDX-License-Identifier: GPL-3.0-or-later"), (4, "Licensed under the GNU General Public License v2.0 only."), (5, both), (None, None)]
+    got = {r.doc_id: r.licenses for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "GPL-3.0", 2: "MPL-2.0", 3: "GPL-3.0", 4: "GPL-2.0", 5: "GPL-3.0,MIT", None: ""}
