@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import iso_week, iso_year, name_key, rate
 
-#: A dimension is broadcast only if its counted rows are at most this many.
-SMALL = 200_000
 
 
 @dataclass(frozen=True)
