@@ -69,6 +69,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, secrets
+    from . import licenses, middle, secrets
 
-    return {"op9_secrets": secrets.oracle(), "op10_licenses": licenses.oracle()}
+    return {"op9_secrets": secrets.oracle(), "op10_licenses": licenses.oracle(), "op13_fill_in_middle": middle.oracle()}
