@@ -69,6 +69,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .middle import report
 
@@ -86,6 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, middle, secrets
+    from . import embeddings, licenses, middle, secrets
 
-    return {"op9_secrets": secrets.oracle(), "op10_licenses": licenses.oracle(), "op13_fill_in_middle": middle.oracle()}
+    return {"op9_secrets": secrets.oracle(), "op10_licenses": licenses.oracle(), "op11_embeddings": embeddings.oracle(), "op13_fill_in_middle": middle.oracle()}
