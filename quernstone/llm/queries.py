@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -75,6 +76,14 @@ def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", noisy), F.col("vec_id") % 50 == 0)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .middle import report
 
@@ -92,6 +101,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import embeddings, licenses, middle, secrets
+    from . import embeddings, licenses, middle, negatives, secrets
 
-    return {"op9_secrets": secrets.oracle(), "op10_licenses": licenses.oracle(), "op11_embeddings": embeddings.oracle(), "op13_fill_in_middle": middle.oracle()}
+    return {"op9_secrets": secrets.oracle(), "op10_licenses": licenses.oracle(), "op11_embeddings": embeddings.oracle(), "op12_hard_negatives": negatives.oracle(), "op13_fill_in_middle": middle.oracle()}
