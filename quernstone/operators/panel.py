@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import iso_week, iso_year, name_key, rate
 
+from .graph import ranks  # noqa: F401  (a table's operator, found by prefix sums there)
 
 
 @dataclass(frozen=True)

@@ -450,6 +450,19 @@ def p75_filter(t):
     return panel.upper_quartile(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, rank() OVER w + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS mean_rank, round(cume_dist() OVER w, 9) AS share FROM lineitem WINDOW w AS (ORDER BY l_quantity)")
+def value_ranks(t):
+    """Ranks over a column of few values, each of which many rows share."""
+    return panel.ranks(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_quantity").withColumn("share", r(F.col("share"), 9))
+
+
+@query(f"WITH {POINTS}, km AS (SELECT id, x * 111.0::DOUBLE * cos(radians(y)) AS x, y * 111.0::DOUBLE AS y FROM points), d AS (SELECT a.id AS src, b.id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM km a, km b WHERE a.id <> b.id) SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS INTEGER) AS rank, round(d2, 6) AS d2 FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY d2, dst) <= 3")
+def knn_km(t):
+    """The three nearest points in kilometres on the plane."""
+    p = graph.checkpoint(t.points())
+    return graph.nearest(p, p, 3, itself=False, metric="km").select("src", "dst", "rank", r(F.col("d2")).alias("d2"))
+
+
 _PAIRS = ", ".join(f"('{v}', {n})" for v in _VARIABLES for n in range(1, 5))
 _LAGS = _REGIONAL + ", l AS (" + " UNION ALL ".join(f"SELECT grp, '{v}' AS variable, {n} AS lag, lag({v}, {n}) OVER (PARTITION BY grp ORDER BY yr, wk) AS x, CAST(cases AS DOUBLE) AS y FROM reg" for v in _VARIABLES for n in range(1, 5)) + ") , m AS (SELECT grp, variable, CAST(lag AS BIGINT) AS lag, count(x) AS n, CASE WHEN count(x) >= 30 AND var_pop(x) * var_pop(y) > 0 THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END AS r FROM l WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)"
 
@@ -682,7 +695,7 @@ _NEAR = POINTS + ", near AS (SELECT a.id AS src, b.id AS dst FROM points a, poin
 
 @query(f"WITH {_NEAR} SELECT id FROM core")
 def dbscan_core_points(t):
-    return graph.within(t.points(), 0.03).groupBy("src").count().where("count >= 5").select(F.col("src").alias("id"))
+    return graph.core_points(t.points(), 0.03)
 
 
 @query(f"WITH RECURSIVE {_NEAR}, inner_edges AS (SELECT src, dst FROM near WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)), reach AS (SELECT id, id AS other FROM core UNION SELECT reach.id, e.dst FROM reach JOIN inner_edges e ON e.src = reach.other), lab AS (SELECT id, min(other) AS label FROM reach GROUP BY id), num AS (SELECT id, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM lab), border AS (SELECT src AS id, min(cluster) AS cluster FROM near JOIN num ON dst = num.id GROUP BY src) SELECT p.id, num.id IS NOT NULL AS core, CAST(coalesce(num.cluster, border.cluster, -1) AS BIGINT) AS cluster FROM points p LEFT JOIN num ON num.id = p.id LEFT JOIN border ON border.id = p.id")
