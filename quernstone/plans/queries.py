@@ -94,41 +94,64 @@ def csv_with_comments(t):
     return files.commented_csv(t.spark, at, "code long, unit int")
 
 
-def _archives(t):
-    """(path, content): ZIP archives of fifty suppliers each as station files, every second one in Latin-1."""
+def _archives(t, periods=None):
+    """A folder of ZIP archives of fifty suppliers each as station files, every second one in Latin-1; ``periods`` has the numbers of those
+    to write, and may cut or damage one (see ``failure_ledger``)."""
+    at = _folder(t, "archives")
 
     def pack(key, stations):
         import io
         import zipfile
 
         import pandas as pd
+        from pyarrow import fs
 
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for k, unit, value in stations.itertuples(index=False):
+        held, damage = io.BytesIO(), key[1]
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED if damage else zipfile.ZIP_DEFLATED) as z:
+            for k, unit, value in stations[["s_suppkey", "s_nationkey", "s_acctbal"]].itertuples(index=False):
                 fields = ["REGIAO:;X", f"UF:;{unit:02d}", f"ESTAÇÃO:;n{k}", f"CODIGO (WMO):;S{k}", f"LATITUDE:;-{unit},5", "LONGITUDE:;10,25", "ALTITUDE:;7"]
                 text = "\n".join([*fields, "Data;Hora UTC;PRECIPITAÇÃO TOTAL;b;c;d;", f"2024/01/01;0000 UTC;{value!r};;;;".replace(".", ","), "2024/01/01;0100 UTC;-9999;;;;"])
                 z.writestr(f"S{k}.CSV", text.encode("latin-1" if k % 2 else "utf-8"))
-        return pd.DataFrame({"path": [f"{key[0]}.zip"], "content": [held.getvalue()]})
+            if damage == "member":
+                z.writestr("BAD.CSV", b"to be damaged")
+        body = held.getvalue()
+        body = body[: len(body) // 2] if damage == "archive" else body.replace(b"to be damaged", b"was damaged..") if damage == "member" else body
+        system, path = fs.FileSystem.from_uri(f"{at}/{2000 + key[0]}.zip") if "://" in at or at.startswith("file:") else (fs.LocalFileSystem(), f"{at}/{2000 + key[0]}.zip")
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path) as f:
+            f.write(body)
+        return pd.DataFrame({"path": [path]})
 
     rows = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal", F.floor(F.col("s_suppkey") / 50).alias("a"))
-    kept = lambda key, stations: pack(key, stations.drop(columns="a"))
-    return rows.groupBy("a").applyInPandas(kept, "path string, content binary")
+    rows = rows.withColumn("damage", F.lit(None).cast("string")) if periods is None else rows.join(periods, "a")
+    rows.groupBy("a", "damage").applyInPandas(pack, "path string").write.format("noop").mode("overwrite").save()
+    return at
 
 
 @query("SELECT 'S' || s_suppkey || '.CSV' AS name, s_acctbal AS value FROM supplier UNION ALL SELECT 'S' || s_suppkey || '.CSV', NULL FROM supplier")
 def zip_csv_scan(t):
     """Readings of all files in the archives; the missing-value mark is null."""
-    lines = files.with_header(files.lines_of_archives(_archives(t)))
+    lines = files.with_header(files.archive_lines(t.spark, _archives(t)))
     return lines.where("no > header").select("name", S.decimal_comma(F.get(F.split("line", ";"), 2)).alias("value"))
 
 
 @query("SELECT 'S' || s_suppkey || '.CSV' AS name, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS uf, 'n' || s_suppkey AS estacao, 'S' || s_suppkey AS codigo_wmo, -(s_nationkey + 0.5::DOUBLE) AS latitude, 10.25::DOUBLE AS longitude, 7.0::DOUBLE AS altitude FROM supplier")
 def station_metadata(t):
-    lines = files.with_header(files.lines_of_archives(_archives(t)))
+    lines = files.with_header(files.archive_lines(t.spark, _archives(t)))
     return files.station_metadata(lines).select("name", "uf", "estacao", "codigo_wmo", "latitude", "longitude", "altitude")
 
 
+@query("""WITH p AS (SELECT DISTINCT CAST(floor(s_suppkey / 50) AS BIGINT) AS a FROM supplier), x AS (SELECT CAST(2000 + a AS VARCHAR) AS period, 2000 + a || '.zip' AS archive, a % 4 AS k FROM p UNION ALL SELECT CAST(2000 + max(a) + 1 AS VARCHAR), NULL, 0 FROM p)
+SELECT period, CASE WHEN k > 0 THEN archive END AS archive, CASE WHEN k = 2 THEN 'BAD.CSV' END AS name, CASE k WHEN 0 THEN 'absent' WHEN 1 THEN 'archive' ELSE 'member' END AS state, CASE k WHEN 0 THEN 'no archive' ELSE 'BadZipFile' END AS reason FROM x WHERE k < 3""")
+def failure_ledger(t):
+    """Of every four archives one is absent, one is cut off, one has a damaged member; the rest of that one is read."""
+    a = t.supplier.select(F.floor(F.col("s_suppkey") / 50).alias("a")).distinct()
+    damage = F.when(F.col("a") % 4 == 1, "archive").when(F.col("a") % 4 == 2, "member")
+    lines = graph.stored(files.archive_lines(t.spark, _archives(t, a.where("a % 4 > 0").withColumn("damage", damage))))
+    expected = a.unionByName(a.agg((F.max("a") + 1).alias("a"))).select(F.col("a") + 2000)
+    return files.ledger(lines, expected).withColumn("reason", F.substring_index("reason", ":", 1))
+
+
 @query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '00000' AS code, n_name AS name, CASE WHEN n_nationkey % 3 < 2 THEN 'S' || n_nationkey ELSE 'P' || n_nationkey END AS sigla, CASE WHEN n_nationkey % 3 < 2 THEN n_name ELSE 'state ' || n_nationkey END AS state, CASE WHEN n_nationkey % 3 < 2 THEN r_name ELSE 'known' END AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 < 2 OR n_nationkey < 15")
 def flatten_registry(t):
     """Nations as nested registry objects: by the first path, the second, or neither, of which some have a known prefix."""

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import unicodedata
-import zipfile
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import decimal_comma
 
+from .archives import archive_lines, failures, ledger, lines_of_archives  # noqa: F401
+
 # Parts of vendor column names, in the order in which they are tried, and the names used here.
 STATION_COLUMNS = [
     ("precipita", "precip_mm"),
@@ -58,41 +57,6 @@ def rename_by_pattern(df: DataFrame, patterns: list[tuple[str, str]]) -> DataFra
     return df.withColumnsRenamed(names)
 
 
-def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of all CSV files in the ZIP archives below a path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return lines_of_archives(files.select("path", "content"))
-
-
-def lines_of_archives(archives: DataFrame) -> DataFrame:
-    """(archive, name, no, line, error) of all CSV files in archives (path, content); UTF-8, else Latin-1. Bad archives give one row with error."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names = ["archive", "name", "no", "line", "error"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-        for b in batches:
-            for archive, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    members = zipfile.ZipFile(io.BytesIO(content))
-                    listed = [n for n in members.namelist() if n.lower().endswith(".csv")]
-                except zipfile.BadZipFile as e:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([archive, None, None, None, str(e)], kinds, strict=True)], names)
-                    continue
-                for name in listed:
-                    raw = members.read(name)
-                    try:
-                        text = raw.decode("utf-8")
-                    except UnicodeDecodeError:
-                        text = raw.decode("latin-1")
-                    lines = text.splitlines()
-                    rows = [[archive] * len(lines), [name] * len(lines), list(range(len(lines))), lines, [None] * len(lines)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
-
-    return archives.select("path", "content").mapInArrow(run, "archive string, name string, no int, line string, error string")
-
-
 def with_header(lines: DataFrame) -> DataFrame:
     """Adds ``header``, the number of a file's header line: among the first 20, begins with "data", five or more ";", no ":" before the first."""
     first = F.substring_index("line", ";", 1)

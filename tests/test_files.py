@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import io
 import json
 import zipfile
 
@@ -33,10 +34,58 @@ def test_zip_csv_scan(spark, tmp_path):
     cells = headed.where("no > header").select("name", F.split("line", ";").alias("c"))
     rows = cells.select("name", *[S.decimal_comma(F.get("c", F.lit(i))).alias(n) for i, n in ((2, "rain"), (3, "temp"), (4, "humid"))]).where("name = 'a.CSV'").orderBy("temp").collect()
     assert [(r.rain, r.temp, r.humid) for r in rows] == [(None, 20.9, 90.0), (0.2, 21.5, None)]
-    failures = lines.where("error is not null").select(F.regexp_extract("archive", r"(\d+)\.zip", 1).alias("period"), F.lit("unreadable").alias("reason"))
-    seen = lines.where("error is null").select(F.regexp_extract("archive", r"(\d+)\.zip", 1).cast("long").alias("yr"))
-    ledger = files.missing_periods(spark.range(2014, 2017).select(F.col("id").alias("yr")), seen, "yr", failures)
-    assert sorted(map(tuple, ledger.collect())) == [("2014", "absent"), ("2017", "unreadable")]
+    ledger = files.ledger(lines, spark.range(2014, 2018).select(F.col("id").alias("yr")))
+    assert sorted((r.period, r.state, r.name) for r in ledger.collect()) == [("2014", "absent", None), ("2017", "archive", None)]
+
+
+def broken(path) -> None:
+    """Members that are whole, damaged, encrypted by their flag, packed in an unknown way; and one name twice."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for k, name in enumerate(["a.csv", "b.csv", "c.csv", "d.csv", "a.csv", "e.txt", "empty.csv"]):
+            z.writestr(name, b"" if name == "empty.csv" else b"x;%d\r\ny;%d\r" % (k, k))
+        infos = z.infolist()
+    body = bytearray(path.read_bytes())
+    body[infos[1].header_offset + 30 + 5 + 3] ^= 0xFF
+    at = body.index(b"PK\x01\x02")
+    for k, (offset, value) in {2: (8, 1), 3: (10, 77)}.items():
+        entry = at
+        for i in infos[:k]:
+            entry += 46 + len(i.filename)
+        body[entry + offset] = value
+        body[infos[k].header_offset + offset - 2] = value
+    path.write_bytes(bytes(body))
+
+
+def test_damaged_members_are_rows_of_the_ledger(spark, tmp_path):
+    broken(tmp_path / "inmet_2020.zip")
+    (tmp_path / "none_2021.zip").write_bytes(b"x")
+    by_path = files.archive_lines(spark, str(tmp_path), partitionBytes=1)
+    by_row = files.lines_of_archives(spark.read.format("binaryFile").load(f"{tmp_path}/*.zip"))
+    for lines in (by_path, by_row):
+        got = lines.collect()
+        assert sorted((r.name, r.no, r.line) for r in got if not r.error) == [("a.csv", 0, "x;0"), ("a.csv", 0, "x;4"), ("a.csv", 1, "y;0"), ("a.csv", 1, "y;4")]
+        assert {(r.period, r.archive, r.name) for r in files.failures(lines).collect()} == {("2020", "inmet_2020.zip", n) for n in ("b.csv", "c.csv", "d.csv")} | {("2021", "none_2021.zip", None)}
+    assert by_path.rdd.getNumPartitions() == 7
+
+
+def test_one_archive_is_read_in_parallel_and_in_batches(spark, tmp_path, monkeypatch):
+    line = "é" * 40
+    with zipfile.ZipFile(tmp_path / "2019.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(600):
+            z.writestr(f"{k}.csv", "\n".join([f"{k};{line}"] * 20))
+        z.writestr("long.csv", "\r\n".join(f"{i};{line}" for i in range(50_000)) + "\x85last")
+    lines = files.archive_lines(spark, f"file://{tmp_path}", partitionBytes=100_000)
+    assert 8 < lines.rdd.getNumPartitions() < 100
+    assert lines.where("name <> 'long.csv'").groupBy("name").count().where("count = 20").count() == 600
+    assert lines.where("name = 'long.csv'").count() == 50_001 and lines.where("name = 'long.csv' and no = 50000").first().line == "last"
+    assert files.archive_lines(spark, str(tmp_path), pattern="*.none").count() == 0
+    from quernstone.sources import archives
+
+    monkeypatch.setattr(archives, "CHUNK", 3)
+    for text in ("", "\n", "a\r\nb\r", "é\nüx", "\r\r\n\n", "a\x0bb\x1cc"):
+        data = text.encode()
+        assert list(archives._lines(archives._chunks(io.BytesIO(data)), "utf-8")) == text.splitlines()
+    assert archives._encoding(archives._chunks(io.BytesIO("abcé".encode()))) == "utf-8" and archives._encoding(archives._chunks(io.BytesIO("abcé".encode("latin-1")))) == "latin-1"
 
 
 def test_rename_takes_first_pattern(spark):
