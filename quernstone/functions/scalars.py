@@ -131,3 +131,11 @@ def plane_km(lat: Column, lon: Column) -> tuple[Column, Column]:
 def month_sum(columns: list[str]) -> Column:
     """Sum over columns of texts, what isn't a number as zero."""
     return reduce(Column.__add__, [F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in columns])
+
+
+def by_year(year: Column, until: dict[int, str], later: str) -> Column:
+    """The value of the first year in ``until`` that isn't before ``year``; ``later`` after them all, null for null."""
+    out = F.when(year.isNull(), None)
+    for last, value in sorted(until.items()):
+        out = out.when(year <= last, value)
+    return out.otherwise(later)

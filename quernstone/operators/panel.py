@@ -3,8 +3,7 @@
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import iso_week, iso_year, name_key, rate
@@ -46,17 +45,21 @@ def cases_by_week(cases: DataFrame, date: str, k: Keys = K) -> DataFrame:
     return with_iso_week(cases, date, k).groupBy(k.year, k.week, k.unit, k.category).agg(F.count(F.lit(1)).alias(k.cases))
 
 
-def daily(readings: DataFrame, station: str, ts: str, value: str, place: tuple[str, ...] = ()) -> DataFrame:
-    """Per station and day: sum (nothing is 0), mean, max, min, the first reading's ``place`` columns; rows without time dropped."""
+def _list(keys: str | list[str]) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
+
+
+def daily(readings: DataFrame, station: str | list[str], ts: str, value: str, place: tuple[str, ...] = ()) -> DataFrame:
+    """Per station (one or several columns, such as latitude and longitude) and day: sum (nothing is 0), mean, max, min, the first reading's ``place`` columns; rows without time dropped."""
     v = F.col(value)
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in place]
-    return readings.where(F.col(ts).isNotNull()).groupBy(station, F.to_date(ts).alias("day")).agg(*first, F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.avg(v).alias("mean"), F.max(v).alias("high"), F.min(v).alias("low"))
+    return readings.where(F.col(ts).isNotNull()).groupBy(*_list(station), F.to_date(ts).alias("day")).agg(*first, F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.avg(v).alias("mean"), F.max(v).alias("high"), F.min(v).alias("low"))
 
 
-def weekly(days: DataFrame, station: str, k: Keys = K, place: tuple[str, ...] = ()) -> DataFrame:
+def weekly(days: DataFrame, station: str | list[str], k: Keys = K, place: tuple[str, ...] = ()) -> DataFrame:
     """Per station and ISO week: sum of sums, means of daily values, and of ``place`` columns (latitude and the like) the first day's."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("day"))).alias(c) for c in place]
-    return with_iso_week(days, "day", k).groupBy(station, k.year, k.week).agg(*first, F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.avg("mean").alias("mean"), F.avg("high").alias("high"), F.avg("low").alias("low"))
+    return with_iso_week(days, "day", k).groupBy(*_list(station), k.year, k.week).agg(*first, F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.avg("mean").alias("mean"), F.avg("high").alias("high"), F.avg("low").alias("low"))
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -144,39 +147,46 @@ def lag_correlations(df: DataFrame, variables: list[str], target: str, lags: lis
     return long.groupBy(group, "variable", "lag").agg(F.count("x").alias("n"), F.when(F.count("x") >= least, r).alias("r"))
 
 
+# Coefficients of Lanczos' series for the gamma function with g = 7.
+_LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function from one half on."""
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:]):
+        series = series + c / (z + i)
+    t = z + 6.5
+    return F.lit(0.9189385332046727) + (z - 0.5) * F.log(t) - t + F.log(series)  # half of log(2 pi)
+
+
 def p_value(r: Column, n: Column) -> Column:
-    """Two-sided p of r under no correlation: the incomplete beta function by continued fraction, over Arrow batches."""
-    @F.pandas_udf("double")
-    def two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
-        import math
-
-        def one(r, n):
-            if r is None or math.isnan(r) or n < 3:
-                return None
-            if abs(r) >= 1 or not r:
-                return float(not r)
-            a, b, x = (n - 2) / 2, 0.5, 1 - r * r
-            front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if x > 0 else 0.0
-            flip = x >= (a + 1) / (a + b + 2)
-            if flip:
-                a, b, x = b, a, 1 - x
-            c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-            h = d
-            for m in range(1, 300):
-                up = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-                d, c = 1 / (1 + up * d), 1 + up / c
-                h *= d * c
-                up = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-                d, c = 1 / (1 + up * d), 1 + up / c
-                h *= d * c
-                if abs(d * c - 1) < 1e-14:
-                    break
-            p = front * h / a
-            return 1 - p if flip else p
-
-        return pd.Series([one(x, k) for x, k in zip(r, n, strict=True)], dtype=float)
-
-    return two_sided(r.cast("double"), n.cast("double"))
+    """Two-sided p of r under no correlation; null under three pairs.
+
+    The incomplete beta function by its continued fraction, folded over as many terms as n asks for; all in the JVM.
+    """
+    a0, x0 = (n.cast("double") - 2) / 2, 1 - r.cast("double") * r.cast("double")
+    flip = x0 >= (a0 + 1) / (a0 + 2.5)
+    half = F.lit(0.5)
+    args = F.struct(F.when(flip, half).otherwise(a0).alias("a"), F.when(flip, a0).otherwise(half).alias("b"), F.when(flip, 1 - x0).otherwise(x0).alias("x"), flip.alias("flip"), (50 + F.ceil(2 * F.sqrt(n.cast("double")))).cast("int").alias("terms"))
+
+    def whole(s: Column) -> Column:
+        a, b, x = s["a"], s["b"], s["x"]
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+        d = 1 / (1 - (a + b) * x / (a + 1))
+
+        def step(at: Column, m: Column) -> Column:
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            d1, c1 = 1 / (1 + even * at["d"]), 1 + even / at["c"]
+            d2, c2 = 1 / (1 + odd * d1), 1 + odd / c1
+            return F.struct(c2.alias("c"), d2.alias("d"), (at["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+        h = F.aggregate(F.sequence(F.lit(1), s["terms"]), F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")), step)["h"]
+        return F.when(s["flip"], 1 - front * h / a).otherwise(front * h / a)
+
+    p = F.transform(F.array(args), whole)[0]
+    return F.when(r.isNull() | F.isnan(r.cast("double")) | n.isNull() | (n < 3), None).when(r == 0, 1.0).when(F.abs(r) >= 1, 0.0).otherwise(p)
 
 
 def best_lags(correlations: DataFrame, group: str) -> DataFrame:
@@ -186,32 +196,72 @@ def best_lags(correlations: DataFrame, group: str) -> DataFrame:
     return top.select(group, "variable", F.when(F.col("r").isNull(), 0).otherwise(F.col("lag")).cast("long").alias("lag"), F.coalesce("r", F.lit(0.0)).alias("r"), "n")
 
 
-def polygons(vertices: DataFrame) -> DataFrame:
-    """(id, area, cx, cy) of rings given as (id, ring, seq, x, y) in plane units: shoelace sums."""
+def rings(vertices: DataFrame) -> DataFrame:
+    """(id, ring, hole, area, cx, cy) of rings given as (id, ring, seq, x, y) in plane units, in either orientation.
+
+    A ring is a hole if an odd number of its polygon's other rings surround it: a horizontal ray from the middle of its first edge is
+    cut by their edges. Only rings whose boxes hold that point are asked. Centroids are null for rings without area.
+    """
     w = Window.partitionBy("id", "ring").orderBy("seq")
     back = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(back)) for c in ("x", "y"))
-    rows = vertices.withColumns({"nx": nx, "ny": ny}).withColumn("cross", F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))
-    sums = rows.groupBy("id").agg(F.sum("cross").alias("a2"), F.sum((F.col("x") + F.col("nx")) * F.col("cross")).alias("sx"), F.sum((F.col("y") + F.col("ny")) * F.col("cross")).alias("sy"))
-    return sums.select("id", F.abs(F.col("a2") / 2).alias("area"), F.try_divide(F.col("sx"), 3 * F.col("a2")).alias("cx"), F.try_divide(F.col("sy"), 3 * F.col("a2")).alias("cy"))
+    edges = vertices.select("id", "ring", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"nx": nx, "ny": ny}).withColumn("cross", F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))
+    first = F.min(F.struct("seq", ((F.col("x") + F.col("nx")) / 2).alias("px"), ((F.col("y") + F.col("ny")) / 2).alias("py"))).alias("p")
+    box = [f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("l", F.min), ("h", F.max))]
+    sums = edges.groupBy("id", "ring").agg(F.sum("cross").alias("a2"), F.sum((F.col("x") + F.col("nx")) * F.col("cross")).alias("sx"), F.sum((F.col("y") + F.col("ny")) * F.col("cross")).alias("sy"), first, *box)
+    asked = sums.select("id", F.col("ring").alias("inner"), "p.px", "p.py")
+    inside = (F.col("inner") != F.col("ring")) & F.col("px").between(F.col("lx"), F.col("hx")) & F.col("py").between(F.col("ly"), F.col("hy"))
+    pairs = asked.join(sums.select("id", "ring", "lx", "hx", "ly", "hy"), "id").where(inside).select("id", "ring", "inner", "px", "py")
+    over = (F.col("y") > F.col("py")) != (F.col("ny") > F.col("py"))
+    right = F.col("px") < (F.col("nx") - F.col("x")) * (F.col("py") - F.col("y")) / F.nullif(F.col("ny") - F.col("y"), F.lit(0.0)) + F.col("x")
+    cut = pairs.join(edges.select("id", "ring", "x", "y", "nx", "ny"), ["id", "ring"]).where(over & right)
+    around = cut.groupBy("id", "inner", "ring").agg((F.count(F.lit(1)) % 2).alias("odd")).groupBy("id", F.col("inner").alias("ring")).agg(F.sum("odd").alias("depth"))
+    out = sums.join(around, ["id", "ring"], "left")
+    return out.select("id", "ring", (F.coalesce("depth", F.lit(0)) % 2 == 1).alias("hole"), F.abs(F.col("a2") / 2).alias("area"), F.try_divide("sx", 3 * F.col("a2")).alias("cx"), F.try_divide("sy", 3 * F.col("a2")).alias("cy"))
 
 
-def quality_report(panel: DataFrame, valid: list[str], principal: str, required: list[str], limits: dict[str, float], k: Keys = K) -> DataFrame:
-    """(rule, value, passed): units, invalid labels, largest rate, total of the principal category, fill rates; one aggregation."""
+def polygons(vertices: DataFrame) -> DataFrame:
+    """(id, area, cx, cy) of polygons of any number of rings: holes take their area and moment away."""
+    signed = F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))
+    sums = rings(vertices).groupBy("id").agg(F.sum(signed).alias("area"), *[F.sum(signed * F.coalesce(c, F.lit(0.0))).alias(c) for c in ("cx", "cy")])
+    return sums.select("id", "area", F.try_divide("cx", "area").alias("cx"), F.try_divide("cy", "area").alias("cy"))
+
+
+def _measures(panel: DataFrame, units: Column, valid: list[str], principal: str, required: list[str], k: Keys) -> list[Column]:
     present = [c for c in required if c in panel.columns]
-    fill = [F.avg(F.col(c).isNotNull().cast("double")).alias(f"fill_{c}") for c in present]
-    row = panel.agg(
-        F.count_distinct(k.unit).cast("double").alias("units"), F.sum((~F.col(k.category).isin(*valid)).cast("double")).alias("invalid_labels"), F.coalesce(F.max("incidence"), F.lit(0.0)).alias("max_incidence"),
-        F.sum(F.when(F.col(k.category) == principal, F.col(k.cases)).otherwise(0)).cast("double").alias("principal_cases"), *fill,
-    )
-    long = row.unpivot([], row.columns, "rule", "value")
+    return [
+        units.cast("double").alias("units"), F.sum((~F.col(k.category).isin(*valid)).cast("double")).alias("invalid_labels"), F.coalesce(F.max("incidence"), F.lit(0.0)).alias("max_incidence"),
+        F.sum(F.when(F.col(k.category) == principal, F.col(k.cases)).otherwise(0)).cast("double").alias("principal_cases"), *[F.avg(F.col(c).isNotNull().cast("double")).alias(f"fill_{c}") for c in present],
+    ]
+
+
+def _judged(long: DataFrame, limits: dict[str, float]) -> DataFrame:
     passed = F.when(F.col("rule") == "units", F.col("value") >= limits["units"]).when(F.col("rule") == "invalid_labels", F.col("value") == 0).when(F.col("rule") == "max_incidence", F.col("value") <= limits["max_incidence"])
     return long.withColumn("passed", passed.when(F.col("rule") == "principal_cases", F.col("value") >= limits["principal_cases"]).otherwise(F.col("value") >= limits["fill"]))
 
 
+def quality_report(panel: DataFrame, valid: list[str], principal: str, required: list[str], limits: dict[str, float], k: Keys = K) -> DataFrame:
+    """(rule, value, passed): units, invalid labels, largest rate, total of the principal category, fill rates; one aggregation."""
+    row = panel.agg(*_measures(panel, F.count_distinct(k.unit), valid, principal, required, k))
+    return _judged(row.unpivot([], row.columns, "rule", "value"), limits)
+
+
+def write_measured(panel: DataFrame, path: str, valid: list[str], principal: str, required: list[str], limits: dict[str, float], k: Keys = K, stop: bool = True) -> DataFrame:
+    """Writes the panel and returns the report of its rules, measured while it was written: no second pass.
+
+    With ``stop`` an error lists the rules that fail; what has been written then isn't to be published, so write to a staging path. Units are counted
+    as a set, as large as the dimension of units.
+    """
+    seen = Observation("quality")
+    panel.observe(seen, *_measures(panel, F.size(F.collect_set(k.unit)), valid, principal, required, k)).write.mode("overwrite").parquet(path)
+    rows = [(name, None if v is None else float(v)) for name, v in seen.get.items()]
+    report = _judged(panel.sparkSession.createDataFrame(rows, "rule string, value double"), limits)
+    return gate(report) if stop else report
+
+
 def gate(report: DataFrame) -> DataFrame:
     """The report, or an error that lists the rules that fail."""
-    failed = [r.rule for r in report.where("not passed").collect()]  # a report has a row per rule
+    failed = [r.rule for r in report.where("not coalesce(passed, false)").collect()]  # a report has a row per rule
     if failed:
         raise ValueError("data quality rules failed: " + ", ".join(sorted(failed)))
     return report

@@ -25,55 +25,20 @@ def fill_gaps(weeks: DataFrame, key: str, date: str, value: str, limit: int = 3)
     return out.withColumn(value, F.coalesce(F.col(value).cast("double"), line, F.lit(0.0))).drop("_a", "_z", "_i", "_p")
 
 
-def stl(series: DataFrame, key: str, date: str, value: str, period: int = 52, robust_rounds: int = 5, least: int | None = None) -> DataFrame:
+def stl(series: DataFrame, key: str, date: str, value: str, period: int = 52, robust_rounds: int = 15, least: int | None = None) -> DataFrame:
     """(key, date, value, trend, seasonal, resid): decomposition by loess, one task per series; short or empty series are left out."""
     least = least or 2 * period
     kinds = {f.name: f.dataType.simpleString() for f in series.select(key, date).schema}
 
     def run(pdf):
-        import numpy as np
-        import pandas as pd
+        from quernstone.operators.smooth import decompose
 
         pdf = pdf.sort_values("date")
         y = pdf["value"].to_numpy(float)
-        n = len(y)
-        if n < least or not np.abs(y).sum():
+        if len(y) < least or not abs(y).sum():
             return pdf.iloc[:0].assign(trend=0.0, seasonal=0.0, resid=0.0)
-
-        def loess(v, q, weight, at=None):
-            """Local lines with tricube weights over the q nearest points."""
-            x = np.arange(len(v), dtype=float)
-            at = x if at is None else at
-            out = np.empty(len(at))
-            for i, t in enumerate(at):
-                d = np.abs(x - t)
-                h = np.partition(d, min(q, len(v)) - 1)[min(q, len(v)) - 1] * max(1.0, q / len(v))
-                w = np.clip(1 - (d / max(h, 1e-9) / 1.0001) ** 3, 0, None) ** 3 * weight
-                s = w.sum()
-                if s <= 0:
-                    out[i] = v[int(np.argmin(d))]
-                    continue
-                mx, my = (w @ x) / s, (w @ v) / s
-                var = (w @ ((x - mx) ** 2)) / s
-                out[i] = my + ((w @ ((x - mx) * (v - my))) / s / var * (t - mx) if var > 1e-9 else 0.0)
-            return out
-
-        q_trend = int(np.ceil(1.5 * period / (1 - 1.5 / 7))) | 1
-        trend, rho = np.zeros(n), np.ones(n)
-        mean = lambda v, k: np.convolve(v, np.ones(k) / k, "valid")
-        for _ in range(robust_rounds):
-            for _ in range(2):
-                cycle = np.empty(n + 2 * period)
-                for k in range(period):
-                    sub, w = (y - trend)[k::period], rho[k::period]
-                    cycle[k :: period][: len(sub) + 2] = loess(sub, 7, w, np.arange(-1.0, len(sub) + 1))
-                low = mean(mean(mean(cycle, period), period), 3)
-                seasonal = cycle[period : period + n] - loess(low[:n], period | 1, np.ones(n))
-                trend = loess(y - seasonal, q_trend, rho)
-            r = np.abs(y - trend - seasonal)
-            h = 6 * np.median(r)
-            rho = np.clip(1 - (r / max(h, 1e-12)) ** 2, 0, None) ** 2 if h > 0 else np.ones(n)
-        return pd.DataFrame({"key": pdf["key"], "date": pdf["date"], "value": y, "trend": trend, "seasonal": seasonal, "resid": y - trend - seasonal})
+        trend, seasonal = decompose(y, period, robust_rounds)
+        return pdf.assign(trend=trend, seasonal=seasonal, resid=y - trend - seasonal)
 
     rows = series.select(F.col(key).alias("key"), F.col(date).alias("date"), F.col(value).cast("double").alias("value"))
     out = rows.groupBy("key").applyInPandas(run, f"key {kinds[key]}, date {kinds[date]}, value double, trend double, seasonal double, resid double")
@@ -86,7 +51,11 @@ def seasonal_strength(parts: DataFrame, key: str) -> DataFrame:
 
 
 def forecast(series: DataFrame, key: str, date: str, value: str, horizon: int = 52, harmonics: int = 6, knots: int = 5) -> DataFrame:
-    """(key, date, yhat, lower, upper) for the weeks after each series' end: ridge regression of log1p on yearly Fourier terms and a piecewise line."""
+    """(key, date, yhat, lower, upper) for the weeks after each series' end: ridge regression of log1p on yearly Fourier terms and a piecewise line.
+
+    The 95 % band adds three variances: of the noise, of the coefficients at the week's terms, and of bends of the trend to come, as often and as
+    large as those in the series, which grows with the cube of the horizon.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in series.select(key, date).schema}
 
     def run(pdf):
@@ -105,13 +74,18 @@ def forecast(series: DataFrame, key: str, date: str, value: str, horizon: int =
             bends = [np.clip(t / span - k, 0, None) for k in np.linspace(0, 0.8, knots + 1)[1:]]
             return np.column_stack([np.ones_like(t), t / span, *bends, *[f(h * year) for h in range(1, harmonics + 1) for f in (np.sin, np.cos)]])
 
-        a = design(days)
+        a, x = design(days), design(ahead)
         ridge = np.diag([0.0, 0.0] + [5.0] * knots + [0.1] * (2 * harmonics))
-        beta = np.linalg.solve(a.T @ a + ridge + 1e-9 * np.eye(a.shape[1]), a.T @ y)
-        sigma = float(np.std(y - a @ beta))
-        mid = design(ahead) @ beta
+        spread = np.linalg.inv(a.T @ a + ridge + 1e-9 * np.eye(a.shape[1]))
+        beta = spread @ (a.T @ y)
+        # as many coefficients as the ridge leaves free
+        noise = float(np.sum((y - a @ beta) ** 2) / max(1.0, len(y) - np.trace(spread @ (a.T @ a))))
+        later = np.arange(1, horizon + 1) * 7 / span
+        bends = (knots / 0.8) * float(np.mean(beta[2 : 2 + knots] ** 2)) * later**3 / 3 if knots else 0.0
+        wide = 1.96 * np.sqrt(noise * (1 + np.einsum("ij,jk,ik->i", x, spread, x)) + bends)
+        mid = x @ beta
         up = lambda v: np.expm1(np.clip(v, 0, 50))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * horizon, "date": ahead.date, "yhat": up(mid), "lower": up(mid - 1.96 * sigma), "upper": up(mid + 1.96 * sigma)})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * horizon, "date": ahead.date, "yhat": up(mid), "lower": up(mid - wide), "upper": up(mid + wide)})
 
     rows = series.select(F.col(key).alias("key"), F.col(date).alias("date"), F.col(value).cast("double").alias("value"))
     return rows.groupBy("key").applyInPandas(run, f"key {kinds[key]}, date {kinds[date]}, yhat double, lower double, upper double").withColumnsRenamed({"key": key, "date": date})
@@ -121,3 +95,9 @@ def errors(df: DataFrame, actual: str, predicted: str, by: list[str] | None = No
     """RMSE, MAE and R2 (null for a constant target)."""
     a, e = F.col(actual).cast("double"), F.col(actual).cast("double") - F.col(predicted)
     return df.groupBy(*(by or [])).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.sum(e * e), F.var_pop(a) * F.count(a))).alias("r2"))
+
+
+def coverage(df: DataFrame, actual: str, lower: str, upper: str, by: list[str] | None = None) -> DataFrame:
+    """Share of the actual values that lie in their band, the mean width, and how many there are."""
+    known = df.where(F.col(actual).isNotNull())
+    return known.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(actual).between(F.col(lower), F.col(upper)).cast("double")).alias("covered"), F.avg(F.col(upper) - F.col(lower)).alias("width"))

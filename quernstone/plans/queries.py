@@ -12,7 +12,7 @@ from quernstone.functions import scalars as S
 from quernstone.operators import graph, models, panel, series
 from quernstone.sources import files
 
-from .bindings import AREA, CASES, CATEGORIES, CLIMATE, COUNTS, FLAGS, INDEX, PANEL, PEOPLE, POINTS, PRINCIPAL, UNITS, Tables
+from .bindings import AREA, CATEGORIES, CLIMATE, COUNTS, FLAGS, INDEX, PANEL, PEOPLE, POINTS, PRINCIPAL, UNITS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -226,11 +226,11 @@ def normalize_name_hard(t):
     return t.documents.select("doc_id", S.name_key(F.col("text")).alias("name"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 5 <> 0 THEN 'AB' END AS code FROM customer")
+@query("SELECT c_custkey, c_name AS name, chr(65 + c_nationkey) || 'B' AS code FROM customer WHERE c_custkey % 5 <> 0 AND c_nationkey < 20")
 def split_name_code(t):
-    raw = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("Total "), "c_name")).otherwise(F.concat("c_name", F.lit(" (AB)")))
-    name, code = S.split_name(raw)
-    return t.customer.select("c_custkey", name.alias("name"), code.alias("code"))
+    """Totals, and codes that aren't on the list, are dropped."""
+    raw = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("Total "), "c_name")).otherwise(F.concat("c_name", F.lit(" ("), F.char(65 + F.col("c_nationkey")), F.lit("B)")))
+    return files.split_names(t.customer.select("c_custkey", raw.alias("raw")), "raw", tuple(f"{chr(65 + i)}B" for i in range(20))).drop("raw")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 7 = 1 OR o_orderkey % 7 = 2 THEN NULL ELSE o_orderkey END AS n FROM orders")
@@ -274,16 +274,13 @@ def build_timestamp(t):
     hour = F.date_format("ts", "HH")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(hour, F.lit(":00"))).when(F.col("event_id") % 3 == 1, F.concat(hour, F.lit("00 UTC"))).otherwise(F.concat(hour, F.lit("00")))
     raw = t.events.select("event_id", "user_id", date.alias("date"), text.alias("hour"))
-    clock = F.lpad(F.substring(F.replace("hour", F.lit(":"), F.lit("")), 1, 4), 4, "0")
-    both = raw.withColumns({k: F.try_to_timestamp(F.concat_ws(" ", "date", clock), F.lit(f"{f} HHmm")) for k, f in (("iso", "yyyy-MM-dd"), ("dmy", "dd/MM/yyyy"))})
-    bad = F.avg(F.col("iso").isNull().cast("double")).over(Window.partitionBy("user_id"))
-    return both.withColumn("bad", bad).select("event_id", "user_id", F.when(F.col("bad") > 0.5, F.col("dmy")).otherwise(F.col("iso")).cast("timestamp_ntz").alias("at"))
+    return files.timestamps(raw, "date", "hour", "user_id").select("event_id", "user_id", "at")
 
 
 @query("SELECT o_orderkey, CASE WHEN isoyear(CAST(o_orderdate AS DATE)) <= 1997 THEN 'estimate' WHEN isoyear(CAST(o_orderdate AS DATE)) = 1998 THEN 'census' ELSE 'projection' END AS source FROM orders")
 def case_by_year(t):
     y = S.iso_year(F.col("o_orderdate").cast("date"))
-    return t.orders.select("o_orderkey", F.when(y <= 1997, "estimate").when(y == 1998, "census").otherwise("projection").alias("source"))
+    return t.orders.select("o_orderkey", S.by_year(y, {1997: "estimate", 1998: "census"}, "projection").alias("source"))
 
 
 @query("SELECT DISTINCT l_orderkey AS unit, CAST(CASE WHEN coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END, 0) + CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END > 0 THEN 1 ELSE 0 END AS BIGINT) AS flag FROM lineitem")
@@ -307,6 +304,23 @@ def polygon_area(t):
 # --- joins
 
 
+#: For each vector a square, a hole in it, an island in the hole and a square beside it; every second ring is turned round.
+_RINGS = [(0, 0, 9), (1, 1, 6), (2, 2, 3), (20, 0, 2)]
+
+
+@query("""WITH e AS (SELECT vec_id AS id, 1 + abs(CAST(embedding[1] AS DOUBLE)) AS s, CAST(embedding[2] AS DOUBLE) * 10 AS dx, CAST(embedding[3] AS DOUBLE) * 10 AS dy FROM embeddings),
+g AS (SELECT id, s, dx, dy, a, b, w, CASE WHEN a = 1 THEN -1 ELSE 1 END AS sign FROM e, (VALUES (0, 0, 9), (1, 1, 6), (2, 2, 3), (20, 0, 2)) r(a, b, w)), x AS (SELECT id, sum(sign * w * w * s * s) AS area, sum(sign * w * w * s * s * (dx + (a + w / 2.0::DOUBLE) * s)) AS mx, sum(sign * w * w * s * s * (dy + (b + w / 2.0::DOUBLE) * s)) AS my FROM g GROUP BY id)
+SELECT id, round(area, 6) AS area, round(mx / area, 6) AS cx, round(my / area, 6) AS cy FROM x""")
+def polygon_holes(t):
+    """Area and centroid of polygons of four rings, one of which is a hole, one an island in it."""
+    e, s = F.col("embedding"), 1 + F.abs(F.col("embedding")[0].cast("double"))
+    corners = [(k, i, a + w * dx, b + w * dy) for k, (a, b, w) in enumerate(_RINGS) for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)][:: 1 - 2 * (k % 2)])]
+    at = lambda x, j: (e[j].cast("double") * 10 + x * s)
+    p = F.explode(F.array(*[F.struct(F.lit(k).alias("ring"), F.lit(i).alias("seq"), at(x, 1).alias("x"), at(y, 2).alias("y")) for k, i, x, y in corners]))
+    out = panel.polygons(t.embeddings.select(F.col("vec_id").alias("id"), p.alias("p")).select("id", "p.*"))
+    return out.select("id", *[r(F.col(c)).alias(c) for c in ("area", "cx", "cy")])
+
+
 @query(f"WITH {COUNTS}, {UNITS} SELECT yr, wk, c.unit, cat, cases, name, grp FROM counts c LEFT JOIN units USING (unit)")
 def join_dimension(t):
     return panel.beside(t.counts(), t.units(), "unit")
@@ -410,6 +424,13 @@ def daily_to_weekly(t):
     return panel.weekly(panel.daily(t.events, "user_id", "ts", "value"), "user_id").withColumns({c: r(F.col(c)) for c in ("total", "mean", "high", "low")})
 
 
+@query(f"WITH {_DAILY.replace('SELECT user_id', 'SELECT user_id, event_type')} SELECT user_id, event_type, CAST(isoyear(day) AS BIGINT) AS yr, CAST(week(day) AS BIGINT) AS wk, round(sum(total), 6) AS total, round(avg(mean), 6) AS mean, round(avg(high), 6) AS high, round(avg(low), 6) AS low FROM days GROUP BY ALL")
+def weekly_by_keys(t):
+    """Weeks of places that two columns name."""
+    keys = ["user_id", "event_type"]
+    return panel.weekly(panel.daily(t.events, keys, "ts", "value"), keys).withColumns({c: r(F.col(c)) for c in ("total", "mean", "high", "low")})
+
+
 @query(f"WITH {COUNTS}, {UNITS} SELECT grp, {', '.join(f'''CAST(coalesce(sum(CASE WHEN cat = '{c}' THEN cases END), 0) AS BIGINT) AS "{c}"''' for c in CATEGORIES)} FROM counts JOIN units USING (unit) WHERE grp IS NOT NULL GROUP BY grp")
 def pivot_region_category(t):
     return panel.pivot_sum(panel.beside(t.counts(), t.units(), "unit"), "grp", "cat", CATEGORIES, "cases")
@@ -635,7 +656,7 @@ def _prepared(t):
     return series.fill_gaps(series.spine(_series(t), "cat", "monday"), "cat", "monday", "cases")
 
 
-@query()
+@query("WITH o AS (SELECT isoyear(CAST(o_orderdate AS DATE)) AS yr FROM orders) SELECT CAST(yr AS BIGINT) AS yr, CASE WHEN (SELECT count(*) FROM o) > 1000 THEN least(count(*), 100) ELSE count(*) END AS n FROM o GROUP BY yr")
 def stratified_cap(t):
     o = t.orders.withColumn("yr", S.iso_year(F.col("o_orderdate").cast("date")))
     return models.stratified_cap(o, "yr", ["o_orderkey"], over=1000, cap=100).groupBy("yr").agg(F.count(F.lit(1)).alias("n"))
@@ -675,7 +696,7 @@ def distinct_points(t):
 
 
 def _components_of_series(t):
-    return series.stl(_prepared(t), "cat", "monday", "cases", robust_rounds=2)
+    return series.stl(_prepared(t), "cat", "monday", "cases")
 
 
 @query()
@@ -702,6 +723,12 @@ def seasonal_forecast(t):
     return f.join(s, ["cat", "monday"], "left")
 
 
+@query()
+def forecast_coverage(t):
+    """How much of the first 52 held-out weeks lies in the band, by category."""
+    return series.coverage(seasonal_forecast(t), "cases", "lower", "upper", ["cat"])
+
+
 @query("SELECT l_returnflag, round(sqrt(avg((l_quantity - l_extendedprice / 1000) * (l_quantity - l_extendedprice / 1000))), 5) AS rmse, round(avg(abs(l_quantity - l_extendedprice / 1000)), 5) AS mae, round(1 - sum((l_quantity - l_extendedprice / 1000) * (l_quantity - l_extendedprice / 1000)) / (var_pop(l_quantity) * count(*)), 5) AS r2 FROM lineitem GROUP BY 1")
 def error_metrics(t):
     return series.errors(t.lineitem.withColumn("p", F.col("l_extendedprice") / 1000), "l_quantity", "p", ["l_returnflag"]).withColumns({c: r(F.col(c), 5) for c in ("rmse", "mae", "r2")})
@@ -827,10 +854,19 @@ def model_roundtrip(t):
 # --- data quality
 
 
-@query(f"WITH {PANEL}, q AS (SELECT count(DISTINCT unit)::DOUBLE AS units, sum(CASE WHEN cat IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 0 ELSE 1 END)::DOUBLE AS invalid_labels, max(incidence) AS max_incidence, sum(CASE WHEN cat = '{PRINCIPAL}' THEN cases ELSE 0 END)::DOUBLE AS principal_cases, avg((rain IS NOT NULL)::INT) AS fill_rain, avg((idx IS NOT NULL)::INT) AS fill_idx FROM panel), u AS (UNPIVOT q ON units, invalid_labels, max_incidence, principal_cases, fill_rain, fill_idx INTO NAME rule VALUE value) SELECT rule, round(value, 6) AS value, CASE rule WHEN 'units' THEN value >= 20 WHEN 'invalid_labels' THEN value = 0 WHEN 'max_incidence' THEN value <= 100000 WHEN 'principal_cases' THEN value >= 1000 ELSE value >= 0.1 END AS passed FROM u")
+_RULES = (CATEGORIES[:3] + CATEGORIES[4:], PRINCIPAL, ["rain", "idx", "absent"], {"units": 20, "max_incidence": 100_000, "principal_cases": 1000, "fill": 0.1})
+_QUALITY = f"WITH {PANEL}, q AS (SELECT count(DISTINCT unit)::DOUBLE AS units, sum(CASE WHEN cat IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 0 ELSE 1 END)::DOUBLE AS invalid_labels, max(incidence) AS max_incidence, sum(CASE WHEN cat = '{PRINCIPAL}' THEN cases ELSE 0 END)::DOUBLE AS principal_cases, avg((rain IS NOT NULL)::INT) AS fill_rain, avg((idx IS NOT NULL)::INT) AS fill_idx FROM panel), u AS (UNPIVOT q ON units, invalid_labels, max_incidence, principal_cases, fill_rain, fill_idx INTO NAME rule VALUE value) SELECT rule, round(value, 6) AS value, CASE rule WHEN 'units' THEN value >= 20 WHEN 'invalid_labels' THEN value = 0 WHEN 'max_incidence' THEN value <= 100000 WHEN 'principal_cases' THEN value >= 1000 ELSE value >= 0.1 END AS passed FROM u"
+
+
+@query(_QUALITY)
 def dq_report(t):
-    out = panel.quality_report(t.panel(), ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"], PRINCIPAL, ["rain", "idx", "absent"], {"units": 20, "max_incidence": 100_000, "principal_cases": 1000, "fill": 0.1})
-    return out.withColumn("value", r(F.col("value")))
+    return panel.quality_report(t.panel(), *_RULES).withColumn("value", r(F.col("value")))
+
+
+@query(_QUALITY)
+def dq_observed(t):
+    """The same rules, measured while the panel is written."""
+    return panel.write_measured(t.panel(), _folder(t, "panel"), *_RULES, stop=False).withColumn("value", r(F.col("value")))
 
 
 @query(f"WITH {UNITS}, p AS (SELECT DISTINCT unit, grp FROM units) SELECT count(*) AS pairs, round(avg(CASE WHEN (unit < 10) = (grp IN ('AFRICA', 'AMERICA', 'ASIA')) THEN 0.0 ELSE 1.0 END)::DOUBLE, 6) AS mismatch FROM p")
@@ -847,9 +883,6 @@ def completeness_report(t):
     return row.unpivot([], cols, "col", "filled").withColumn("filled", r(F.col("filled")))
 
 
-assert CASES  # part of COUNTS
-
-
 @query(f"WITH {COUNTS}, w AS (SELECT unit, yr, wk, cases, CAST(date_trunc('week', make_date(yr, 1, 4)) AS DATE) + CAST((wk - 1) * 7 AS INTEGER) AS monday FROM counts WHERE cat = '{PRINCIPAL}') SELECT a.unit, a.yr, a.wk, a.cases, b.cases AS cases_lag_1, c.cases AS cases_lag_2 FROM w a LEFT JOIN w b ON b.unit = a.unit AND b.monday = a.monday - 7 LEFT JOIN w c ON c.unit = a.unit AND c.monday = a.monday - 14")
 def lag_features_dense(t):
     """Lags in calendar weeks: weeks without cases have no value."""

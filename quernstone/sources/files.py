@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions.scalars import decimal_comma
+from quernstone.functions.scalars import decimal_comma, split_name
 
 from .archives import archive_lines, failures, ledger, lines_of_archives  # noqa: F401
 
@@ -73,6 +73,25 @@ def station_metadata(lines: DataFrame) -> DataFrame:
     return out.withColumns({k: decimal_comma(F.col(k)) for k in ("latitude", "longitude", "altitude")})
 
 
+def timestamps(df: DataFrame, date: str, hour: str, file: str, name: str = "at") -> DataFrame:
+    """Adds the time of a date and an hour as text ("00:00", "0000", "0000 UTC").
+
+    Dates are read year first; in a file of which over half can't be read so, day first. The rate is an aggregate that every row of the file meets, not a window over it.
+    """
+    clock = F.lpad(F.substring(F.replace(hour, F.lit(":"), F.lit("")), 1, 4), 4, "0")
+    read = lambda form: F.try_to_timestamp(F.concat_ws(" ", F.translate(date, "/", "-"), clock), F.lit(f"{form} HHmm"))
+    both = df.withColumns({"_iso": read("yyyy-MM-dd"), "_dmy": read("dd-MM-yyyy")})
+    bad = both.groupBy(F.col(file).alias("_file")).agg(F.avg(F.col("_iso").isNull().cast("double")).alias("_bad"))
+    met = both.join(bad, F.col(file).eqNullSafe(F.col("_file")))
+    return met.withColumn(name, F.when(F.col("_bad") > 0.5, F.col("_dmy")).otherwise(F.col("_iso")).cast("timestamp_ntz")).drop("_iso", "_dmy", "_bad", "_file")
+
+
+def split_names(df: DataFrame, column: str, codes: tuple[str, ...] = (), name: str = "name", code: str = "code") -> DataFrame:
+    """Rows whose text is "Name (XX)" with one of the codes (any two capitals if none are given), split; totals, footers and the rest are dropped."""
+    parts = split_name(F.col(column), codes)
+    return df.withColumns({name: parts[0], code: parts[1]}).where(F.col(code).isNotNull())
+
+
 def missing_periods(expected: DataFrame, seen: DataFrame, key: str, failures: DataFrame | None = None) -> DataFrame:
     """The ledger of failures: expected periods without rows, and what could not be read."""
     out = expected.join(seen.select(key).distinct(), key, "left_anti").select(F.col(key).cast("string").alias("period"), F.lit("absent").alias("reason"))

@@ -42,36 +42,163 @@ def test_forecast_follows_the_year(spark):
     assert np.corrcoef([r.yhat for r in got], y[248:300])[0, 1] > 0.97
 
 
-def test_p_values(spark):
-    # by numeric integration of the t density
-    rows = [(0.5, 30, 0.0048999), (0.1, 100, 0.3222174), (0.9, 10, 0.00038716), (0.0, 40, 1.0)]
-    got = spark.createDataFrame(rows, "r double, n long, want double").withColumn("p", panel.p_value(F.col("r"), F.col("n"))).collect()
-    assert all(math.isclose(x.p, x.want, rel_tol=2e-3) for x in got)
-
-
-def test_nearest_equals_brute_force(spark):
-    rng = np.random.default_rng(7)
-    xy = np.concatenate([rng.normal(0, 0.1, (80, 2)), rng.uniform(-5, 5, (40, 2)), [[100.0, 100.0]]])
-    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
-    got = {}
-    for r in graph.nearest(p, p, 5, itself=False).collect():
-        got.setdefault(r.src, []).append((r.rank, r.dst))
-    d = ((xy[:, None] - xy[None]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: list(np.lexsort((np.arange(len(xy)), d[i]))[:5]) for i in range(len(xy))}
+def p_by_sums(r, n):
+    """Student's distribution by its finite sums for whole degrees of freedom."""
+    c = 1 - r * r
+    if n % 2 == 0:
+        return 1 - abs(r) * sum(math.exp(math.lgamma(k + 0.5) - math.lgamma(k + 1) - 0.5 * math.log(math.pi) + k * math.log(c)) for k in range((n - 2) // 2))
+    return 1 - 2 / math.pi * (math.asin(abs(r)) + abs(r) * sum(math.sqrt(c) * math.exp(math.lgamma(k + 1) + math.log(math.sqrt(math.pi) / 2) - math.lgamma(k + 1.5) + k * math.log(c)) for k in range((n - 3) // 2)))
 
 
-def test_dbscan_blobs_bridge_and_noise(spark):
-    pts = [(i, 0.1 * i, 0.0) for i in range(6)] + [(10 + i, 0.1 * i + 5, 0.0) for i in range(6)] + [(20, 0.3, 0.24), (30, 50.0, 50.0)]
-    got = {r.id: (r.core, r.cluster) for r in graph.dbscan(spark.createDataFrame(pts, "id long, x double, y double"), 0.25, 5).collect()}
-    assert {got[i][1] for i in range(6)} == {0} and {got[10 + i][1] for i in range(6)} == {1} and got[30] == (False, -1) and got[20] == (False, 0)
+def test_p_values(spark):
+    rows = [(r, n, p_by_sums(r, n)) for r in (0.02, -0.1, 0.5, 0.9, -0.999) for n in (3, 4, 10, 31, 100, 1001)] + [(0.01, 40_000, p_by_sums(0.01, 40_000))]
+    df = spark.createDataFrame(rows, "r double, n long, want double").withColumn("p", panel.p_value(F.col("r"), F.col("n")))
+    assert all(math.isclose(x.p, x.want, rel_tol=1e-9, abs_tol=1e-12) for x in df.collect())
+    assert "Python" not in df._jdf.queryExecution().toString()
+    odd = spark.createDataFrame([(None, 9), (0.5, None), (0.5, 2), (float("nan"), 9), (0.0, 9), (1.0, 9), (-1.0, 9)], "r double, n long")
+    assert [x.p for x in odd.select(panel.p_value(F.col("r"), F.col("n")).alias("p")).collect()] == [None, None, None, None, 1.0, 0.0, 0.0]
 
 
-def test_gate(spark):
+def test_gate(spark, tmp_path):
     good = spark.createDataFrame([("a", True)], "rule string, passed boolean")
     assert panel.gate(good).count() == 1
-    with pytest.raises(ValueError, match="b"):
-        panel.gate(good.unionByName(spark.createDataFrame([("b", False)], good.schema)))
+    for bad in (False, None):
+        with pytest.raises(ValueError, match="b"):
+            panel.gate(good.unionByName(spark.createDataFrame([("b", bad)], good.schema)))
+    rows = spark.createDataFrame([(u, "x", 5, 3.0 * u, None if u % 4 else 1.0) for u in range(40)], "unit int, cat string, cases long, incidence double, rain double")
+    limits = {"units": 40, "max_incidence": 117.0, "principal_cases": 200, "fill": 0.25}
+    want = {tuple(r) for r in panel.quality_report(rows, ["x"], "x", ["rain"], limits).collect()}
+    got = panel.write_measured(rows, str(tmp_path / "p"), ["x"], "x", ["rain"], limits)
+    assert {tuple(r) for r in got.collect()} == want and spark.read.parquet(str(tmp_path / "p")).count() == 40
+    with pytest.raises(ValueError, match="fill_rain, units"):
+        panel.write_measured(rows, str(tmp_path / "p"), ["x"], "x", ["rain"], limits | {"units": 41, "fill": 0.5})
+
+
+def direct_loess(v, q, rho, at):
+    """One place at a time, from all points."""
+    n = len(v)
+    out = []
+    for t in at:
+        d = sorted((abs(i - t), i) for i in range(n))
+        h = d[min(q, n) - 1][0] + max(0, (q - n) // 2)
+        w = [0.0 if abs(i - t) > 0.999 * h else 1.0 if abs(i - t) <= 0.001 * h else (1 - (abs(i - t) / h) ** 3) ** 3 for i in range(n)]
+        w = [a * b for a, b in zip(w, rho, strict=True)]
+        if not sum(w):
+            out.append(v[min(max(int(t), 0), n - 1)])
+            continue
+        mean = sum(a * i for i, a in enumerate(w)) / sum(w)
+        spread = sum(a * (i - mean) ** 2 for i, a in enumerate(w)) / sum(w)
+        level = sum(a * b for a, b in zip(w, v, strict=True)) / sum(w)
+        slope = sum(a * (i - mean) * b for i, (a, b) in enumerate(zip(w, v, strict=True))) / sum(w) / spread if math.sqrt(spread) > 0.001 * (n - 1) else 0.0
+        out.append(level + slope * (t - mean))
+    return out
+
+
+def test_loess_equals_direct_fits(monkeypatch):
+    from quernstone.operators import smooth
+
+    rng = np.random.default_rng(8)
+    for n, q in ((1, 7), (2, 7), (6, 7), (11, 7), (60, 13), (60, 101)):
+        v = rng.normal(size=(3, n)) + np.arange(n)
+        rho = np.where(rng.random((3, n)) < 0.3, 0.0, rng.random((3, n)))
+        at = np.arange(-1.0, n + 1)
+        for held in (1 << 21, 50):
+            monkeypatch.setattr(smooth, "HELD", held)
+            got = smooth.loess(v, q, rho, at)
+            assert np.allclose(got, [direct_loess(v[i], q, rho[i], at) for i in range(3)], atol=1e-8)
+
+
+def test_decomposition_equals_its_definition():
+    from quernstone.operators.smooth import decompose
+
+    rng = np.random.default_rng(9)
+    p, n = 6, 45
+    y = rng.normal(size=n) + 3 * np.sin(np.arange(n)) + np.where(np.arange(n) == 20, 30, 0)
+    trend, rho = np.zeros(n), np.ones(n)
+    for k in range(4):
+        for _ in range(2):
+            cycle = np.empty(n + 2 * p)
+            for j in range(p):
+                own = (y - trend)[j::p]
+                cycle[j::p][: len(own) + 2] = direct_loess(own, 7, rho[j::p], np.arange(-1.0, len(own) + 1))
+            low = cycle
+            for m in (p, p, 3):
+                low = np.convolve(low, np.ones(m) / m, "valid")
+            part = cycle[p : p + n] - direct_loess(low, 7, np.ones(n), np.arange(float(n)))
+            trend = np.array(direct_loess(y - part, 13, rho, np.arange(float(n))))
+        if k < 3:
+            r = abs(y - trend - part)
+            u = r / (6 * np.median(r))
+            rho = np.where(u <= 0.001, 1, np.where(u <= 0.999, (1 - u * u) ** 2, 0))
+    got = decompose(y, p, 3)
+    assert np.allclose(got[0], trend, atol=1e-6) and np.allclose(got[1], part, atol=1e-6)
+
+
+def test_many_series_with_all_rounds(spark):
+    weeks = spark.range(60 * 600).select((F.col("id") % 60).alias("k"), F.expr("date_add(date '2010-01-04', cast(7 * floor(id / 60) as int))").alias("d"), (10 + F.sin(F.floor(F.col("id") / 60) * 2 * math.pi / 52) * 5 + F.rand(1)).alias("v"))
+    strength = series.seasonal_strength(series.stl(weeks, "k", "d", "v"), "k").collect()
+    assert len(strength) == 60 and all(r.n == 600 and r.strength > 0.9 for r in strength)
+
+
+def test_band_of_the_forecast(spark):
+    n, m = 300, 52
+    rng = np.random.default_rng(1)
+    days = np.datetime64("2015-01-05") + 7 * np.arange(n)
+    log = 4 + np.sin(2 * np.pi * np.arange(n) / 52.18) + 0.002 * np.arange(n) + rng.normal(0, 0.2, n)
+    rows = [("a", str(d), float(np.expm1(v))) for d, v in zip(days, log, strict=True)]
+    s = spark.createDataFrame(rows, "k string, d string, v double").withColumn("d", F.col("d").cast("date"))
+    got = series.forecast(s.where(f"d < '{days[n - m]}'"), "k", "d", "v").orderBy("d").collect()
+    width = [math.log1p(r.upper) - math.log1p(r.lower) for r in got]
+    assert width == sorted(width) or np.all(np.diff(width) > -0.02 * np.mean(width))
+    assert width[-1] > width[0] and 0.6 < width[0] < 1.5
+    held = s.where(f"d >= '{days[n - m]}'").join(spark.createDataFrame(got), ["k", "d"])
+    share = series.coverage(held, "v", "lower", "upper", ["k"]).first()
+    assert share.n == m and share.covered >= 0.9
+
+    # the same variances, by inverting the normal equations step by step
+    t = np.arange(n - m) * 7.0
+    span = t[-1]
+    terms = lambda z, year: np.column_stack([np.ones_like(z), z / span, *[np.clip(z / span - c, 0, None) for c in np.linspace(0, 0.8, 6)[1:]], *[f(h * year) for h in range(1, 7) for f in (np.sin, np.cos)]])
+    angle = lambda d: 2 * np.pi * np.array([int(str(np.datetime64(x, "D") - np.datetime64(str(x)[:4] + "-01-01", "D")).split()[0]) + 1 for x in d]) / 365.25
+    a, x = terms(t, angle(days[: n - m])), terms(np.arange(n - m, n) * 7.0, angle(days[n - m :]))
+    prior = np.diag([0.0, 0.0] + [5.0] * 5 + [0.1] * 12)
+    beta = np.linalg.solve(a.T @ a + prior, a.T @ log[: n - m])
+    free = n - m - np.trace(np.linalg.solve(a.T @ a + prior, a.T @ a))
+    noise = ((log[: n - m] - a @ beta) ** 2).sum() / free
+    h = np.arange(1, m + 1) * 7 / span
+    want = [2 * 1.96 * math.sqrt(noise * (1 + v @ np.linalg.solve(a.T @ a + prior, v)) + 6.25 * (beta[2:7] ** 2).mean() * k**3 / 3) for v, k in zip(x, h, strict=True)]
+    assert np.allclose(width, want, rtol=1e-4)
+
+
+def test_polygons_with_holes(spark):
+    def square(pid, ring, x, y, w, turned):
+        at = [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+        return [(pid, ring, i, float(a), float(b)) for i, (a, b) in enumerate(at[::-1] if turned else at)]
+
+    rows = []
+    for pid, turns in enumerate([(0, 0, 0), (0, 1, 0), (1, 0, 1), (1, 1, 1)]):
+        rows += square(pid, 0, 0, 0, 10, turns[0]) + square(pid, 1, 1, 1, 4, turns[1]) + square(pid, 2, 2, 2, 1, turns[2]) + square(pid, 3, 20, 0, 2, turns[0])
+    rows += [(9, 0, 0, 1.0, 1.0), (9, 0, 1, 1.0, 1.0)] + [(8, 0, i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (4, 0), (0, 3)])]
+    df = spark.createDataFrame(rows, "id int, ring int, seq int, x double, y double")
+    area = 100 - 16 + 1 + 4
+    got = {r.id: r for r in panel.polygons(df).collect()}
+    for pid in range(4):
+        assert math.isclose(got[pid].area, area) and math.isclose(got[pid].cx, (100 * 5 - 16 * 3 + 2.5 + 4 * 21) / area) and math.isclose(got[pid].cy, (100 * 5 - 16 * 3 + 2.5 + 4 * 1) / area)
+    assert got[9].area == 0 and got[9].cx is None and (got[8].area, got[8].cx, got[8].cy) == (6.0, pytest.approx(4 / 3), 1.0)
+    assert {(r.id, r.ring) for r in panel.rings(df).where("hole").collect()} == {(i, 1) for i in range(4)}
+
+
+def test_library_functions(spark, tmp_path):
+    from quernstone.functions import scalars as S
+    from quernstone.sources import files
+
+    y = spark.createDataFrame([(1999,), (2021,), (2022,), (2030,), (None,)], "y int")
+    assert [r.v for r in y.select(S.by_year(F.col("y"), {2022: "b", 2021: "a"}, "c").alias("v")).collect()] == ["a", "a", "b", "c", None]
+    rows = [("f", "2015/03/01", "0000 UTC"), ("f", "2015-03-02", "13:00"), ("g", "01/03/2015", "900"), ("g", "31/12/2015", "1200"), (None, "x", "y")]
+    got = files.timestamps(spark.createDataFrame(rows, "file string, d string, h string"), "d", "h", "file").collect()
+    assert sorted(str(r["at"]) for r in got) == ["2015-03-01 00:00:00", "2015-03-01 09:00:00", "2015-03-02 13:00:00", "2015-12-31 12:00:00", "None"]
+    names = files.split_names(spark.createDataFrame([("São Paulo (SP)",), ("Total",), ("X (ZZ)",), (None,)], "t string"), "t", ("SP", "RJ"))
+    assert [(r.name, r.code) for r in names.collect()] == [("São Paulo", "SP")]
 
 
 def test_panel_key_is_unique(spark):
