@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.scalars import cyclic, iso_week, iso_year, week_start
@@ -65,24 +68,31 @@ def estimator(kind: str, seed: int = 42, **more):
         return LinearRegression(solver="normal", regParam=0.0, **more)
     if kind == "forest":
         return RandomForestRegressor(**({"numTrees": 150, "maxDepth": 10, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": seed} | more))
-    return GBTRegressor(**({"maxIter": 200, "maxDepth": 6, "stepSize": 0.07, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed} | more))
+    # MLlib's trees follow the gradient of the squared error, twice the residual: its step is half the learning rate of 0.07
+    return GBTRegressor(**({"maxIter": 200, "maxDepth": 6, "stepSize": 0.035, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed} | more))
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df.withColumn("label", F.col("target").cast("double")))
 
 
-def cross_validate(df: DataFrame, kind: str, count: int = 5, **more) -> DataFrame:
-    """(fold, rmse, mae, r2) of an assembled frame with ``fold``; a fresh estimator for each fold."""
-    out = df.sparkSession.createDataFrame([], "rmse double, mae double, r2 double, fold int")
+def side_by_side(spark: SparkSession, tasks: list, at_once: int) -> list:
+    """The results of functions without arguments, run in threads of the driver: their Spark jobs share the executors."""
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
+
+
+def cross_validate(df: DataFrame, kind: str, count: int = 5, at_once: int = 5, **more) -> DataFrame:
+    """(fold, rmse, mae, r2) of an assembled frame with ``fold``; a fresh estimator for each fold, ``at_once`` of them fitted side by side."""
     sizes = {r.fold: r["count"] for r in df.groupBy("fold").count().collect()}  # a row per fold
-    for i in range(1, count + 1):
-        if not sizes.get(i) or not sum(n for f, n in sizes.items() if f < i):
-            continue
+    used = [i for i in range(1, count + 1) if sizes.get(i) and sum(n for f, n in sizes.items() if f < i)]
+
+    def fold(i: int):
         model = estimator(kind, **more).fit(df.where(F.col("fold") < i))
-        e = errors(model.transform(df.where(F.col("fold") == i)), "label", "prediction").withColumn("fold", F.lit(i))
-        out = out.unionByName(e)
-    return out
+        return errors(model.transform(df.where(F.col("fold") == i)), "label", "prediction").withColumn("fold", F.lit(i)).first()
+
+    rows = side_by_side(df.sparkSession, [lambda i=i: fold(i) for i in used], at_once)
+    return df.sparkSession.createDataFrame([(r.rmse, r.mae, r.r2, r.fold) for r in rows], "rmse double, mae double, r2 double, fold int")
 
 
 def summary(cv: DataFrame, model: str) -> DataFrame:
@@ -97,18 +107,17 @@ def importances(model: Model, features: list[str], spark, top: int = 20) -> Data
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def learning_curve(df: DataFrame, kind: str, last: int = 5, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0), **own) -> DataFrame:
+def learning_curve(df: DataFrame, kind: str, last: int = 5, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0), at_once: int = 5, **own) -> DataFrame:
     """(n_train, rmse_train, rmse_test, r2_train, r2_test): the first part of the last fold's training rows, parts under 50 rows skipped."""
     train, test = df.where(F.col("fold") < last), df.where(F.col("fold") == last)
-    n, out = train.count(), None
-    for s in shares:
-        m = int(n * s)
-        if m < 50:
-            continue
-        part = train.where(F.col("ordinal") < m)
-        more = {"minInstancesPerNode": 1} if kind == "forest" else {"stepSize": 0.05} if kind == "boosted" else {}
-        model = estimator(kind, **(more | own)).fit(part)
-        a, b = (errors(model.transform(x), "label", "prediction").select(F.col("rmse").alias(f"rmse_{c}"), F.col("r2").alias(f"r2_{c}")) for x, c in ((part, "train"), (test, "test")))
-        row = a.join(F.broadcast(b), F.lit(True)).withColumn("n_train", F.lit(m).cast("long"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    n = train.count()
+    more = {"minInstancesPerNode": 1} if kind == "forest" else {"stepSize": 0.025, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"} if kind == "boosted" else {}
+
+    def part(m: int) -> tuple:
+        rows = train.where(F.col("ordinal") < m)
+        model = estimator(kind, **(more | own)).fit(rows)
+        a, b = (errors(model.transform(x), "label", "prediction").first() for x in (rows, test))
+        return a.rmse, a.r2, b.rmse, b.r2, m
+
+    found = side_by_side(df.sparkSession, [lambda m=m: part(m) for m in (int(n * s) for s in shares) if m >= 50], at_once)
+    return df.sparkSession.createDataFrame(found, "rmse_train double, r2_train double, rmse_test double, r2_test double, n_train long")

@@ -786,10 +786,6 @@ def linreg_simple(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), r(F.regr_r2(y, x)).alias("r2"))
 
 
-#: Rounds of boosting that the queries run; the estimator's own number is 200 (README has the times).
-BOOSTED = {"maxIter": 20}
-
-
 def _folded(t, order=("yr", "wk", "unit")):
     out, names = _matrix(t)
     out = graph.stored(out)
@@ -809,14 +805,13 @@ def rf_cv(t):
 
 @query()
 def gbt_cv(t):
-    return models.cross_validate(_folded(t)[0], "boosted", **BOOSTED)
+    return models.cross_validate(_folded(t)[0], "boosted")
 
 
 @query()
 def cv_summary(t):
     df = _folded(t)[0]
-    own = {"linear": {}, "forest": {}, "boosted": BOOSTED}
-    return reduce(DataFrame.unionByName, [models.summary(models.cross_validate(df, k, **more), k) for k, more in own.items()])
+    return reduce(DataFrame.unionByName, [models.summary(models.cross_validate(df, k), k) for k in ("linear", "forest", "boosted")])
 
 
 @query()
@@ -838,7 +833,7 @@ def learning_curve(t):
 
 @query()
 def learning_curve_boosted(t):
-    return models.learning_curve(_folded(t)[0], "boosted", **BOOSTED)
+    return models.learning_curve(_folded(t)[0], "boosted")
 
 
 @query()

@@ -239,6 +239,65 @@ def test_models_learn(spark, kind, small):
     assert best.feature == "a"
 
 
+class Stump:
+    """A regression tree by exhaustive search, plain Python."""
+
+    def __init__(self, x, y, depth):
+        self.value, self.cut = sum(y) / len(y), None
+        best = sum((v - self.value) ** 2 for v in y) - 1e-9
+        for j in range(len(x[0])) if depth else ():
+            for c in sorted({r[j] for r in x})[:-1]:
+                parts = [[v for r, v in zip(x, y, strict=True) if (r[j] > c) == side] for side in (False, True)]
+                loss = sum(sum((v - sum(p) / len(p)) ** 2 for v in p) for p in parts)
+                if loss < best:
+                    best, self.cut = loss, (j, c)
+        if self.cut:
+            j, c = self.cut
+            self.below = [Stump(*zip(*[(r, v) for r, v in zip(x, y, strict=True) if (r[j] > c) == side], strict=True), depth - 1) for side in (False, True)]
+
+    def __call__(self, r):
+        return self.below[r[self.cut[0]] > self.cut[1]](r) if self.cut else self.value
+
+
+def test_boosting_equals_a_plain_booster(spark):
+    rng = np.random.default_rng(11)
+    x = [tuple(map(float, r)) for r in rng.integers(0, 6, (400, 3))]
+    y = [float(a * b + (c > 2) * 4 + e) for (a, b, c), e in zip(x, rng.normal(0, 0.3, 400), strict=True)]
+    train, test = slice(0, 300), slice(300, 400)
+    fits, left = [], y[train]
+    for k in range(25):
+        tree = Stump(x[train], left, 2)
+        rate = 1.0 if k == 0 else 0.3
+        fits.append((rate, tree))
+        left = [v - rate * tree(r) for r, v in zip(x[train], left, strict=True)]
+    want = [sum(rate * tree(r) for rate, tree in fits) for r in x[test]]
+    df = models.assembled(spark.createDataFrame([(i, *r, v) for i, (r, v) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, target double"), ["a", "b", "c"])
+    model = models.estimator("boosted", maxIter=25, maxDepth=2, stepSize=0.15, subsamplingRate=1.0, featureSubsetStrategy="all").fit(df.where("id < 300"))
+    got = [r.prediction for r in model.transform(df.where("id >= 300")).orderBy("id").collect()]
+    error = lambda p: float(np.sqrt(np.mean((np.array(p) - np.array(y[test])) ** 2)))
+    assert np.corrcoef(got, want)[0, 1] > 0.995 and abs(error(got) / error(want) - 1) < 0.1
+
+
+def test_long_queries_with_small_models(spark, monkeypatch):
+    """What the queries of forests and boosted trees return, each by another way, with fewer and smaller trees."""
+    whole = models.estimator
+    small = {"linear": {}, "forest": {"numTrees": 4, "maxDepth": 3}, "boosted": {"maxIter": 3, "maxDepth": 2}}
+    monkeypatch.setattr(models, "estimator", lambda kind, seed=42, **more: whole(kind, seed, **(more | small[kind])))
+    cv = {k: {r.fold: r for r in QUERIES[q](spark, TABLES).collect()} for k, q in (("linear", "linreg_cv"), ("forest", "rf_cv"), ("boosted", "gbt_cv"))}
+    assert all(sorted(v) == [1, 2, 3, 4, 5] and all(r.rmse >= r.mae > 0 for r in v.values()) for v in cv.values())
+    for r in QUERIES["cv_summary"](spark, TABLES).collect():
+        values = np.array([x.rmse for x in cv[r.model].values()])
+        assert math.isclose(r.rmse_mean, values.mean(), rel_tol=1e-9) and math.isclose(r.rmse_std, values.std(), rel_tol=1e-6) and r.rmse_text == f"{values.mean():.3f} ± {values.std():.3f}"
+    pairs = QUERIES["predicted_vs_actual"](spark, TABLES).collect()
+    error = np.array([r.label - r.prediction for r in pairs])
+    assert math.isclose(math.sqrt((error**2).mean()), cv["forest"][5].rmse, rel_tol=1e-9)
+    top = QUERIES["rf_importance"](spark, TABLES).collect()
+    assert len(top) == 20 and [r.importance for r in top] == sorted((r.importance for r in top), reverse=True) and 0 < sum(r.importance for r in top) <= 1 + 1e-9
+    for name, kind in (("learning_curve", "forest"), ("learning_curve_boosted", "boosted")):
+        curve = sorted(QUERIES[name](spark, TABLES).collect(), key=lambda r: r.n_train)
+        assert len(curve) == 5 and all(r.rmse_train > 0 and r.rmse_test > 0 for r in curve) and curve[-1].n_train > 5 * curve[0].n_train, kind
+
+
 def test_estimators_have_the_reference_size():
     forest, boosted = models.estimator("forest"), models.estimator("boosted")
     assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter(), boosted.getMaxDepth()) == (150, 10, 200, 6)
