@@ -4,13 +4,14 @@ Pages of a host are aligned with the host's pivot page (its smallest page_id) by
 match, and the children's matches, in order, are those of the greatest sum of matched nodes below (exactly, for child
 lists of any length). Nodes of the pivot that hold the same text on most of the aligned pages are constant: they are the
 host's template and go wherever a page repeats them. The others are slots, and what fills them is content. Votes
-are counted over all pages of the host in one grouped aggregation; a page whose text is mostly the pivot's own is a
+are counted over all pages of the host in one grouped aggregation; a page with the pivot's title, heading and nearly all of its text is a
 copy of the same article and has no vote, so that copies don't turn an article into template.
 
 Menus, adverts or comments that differ on every page fill slots too. For these HTML's structure decides: elements that are
 never the article (navigation, footers, asides, forms, scripts, headers outside the article, hidden ones) go; an element
-whose id or class names it as one of these goes too, unless it holds the page's heading, its article or nearly all
-of its text, or is a paragraph, heading, quotation or caption with a name that only might tell. A page with article or main elements
+whose id or class names it as one of these goes too, unless it holds the page's first heading, its article or nearly all
+of its text, or is a paragraph, heading, quotation or caption with a name that only might tell. Words for adverts and comments tell whatever
+stands beside them in a name. A page with article or main elements
 has its content there; on other pages lists of nothing but links are menus. What remains is cut into blocks in page order.
 
 Two passes read the pages; the pivots and templates (one per host) are broadcast if their measured size is small, else
@@ -38,6 +39,8 @@ from .common import BROADCAST_BYTES, BROADCAST_ROWS, blocks, checkpoint, salted_
 MIN_VOTES = 2
 CONSTANT = 0.6
 SAME_ARTICLE = 0.5
+#: Share of text of its own that a page with the pivot's title and heading needs to be another article.
+OWN_TEXT = 0.2
 #: An element with this share of a page's text is no menu or advert, whatever its name.
 NEARLY_ALL = 0.8
 #: Elements nested deeper become neighbours, as in browsers.
@@ -64,8 +67,13 @@ SKIP_WORDS = SURE_WORDS | frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments respond disqus replies related recommended".split())
 BESIDE_WORDS = frozenset("the site page global top bottom left right main primary secondary box block list wrapper wrap container area section bar link links button buttons slot unit widget module panel content inner outer item items post posts entry article articles form field text body head header title reader user thread".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# Words that tell adverts and comments whatever stands beside them, and those that take a name's meaning back.
+LOOSE_WORDS = frozenset("ad ads adsense adsbygoogle adunit adblock adbanner adcontainer adwrapper advert adverts advertisement advertising adbox adslot sponsored comment comments commentlist commentbox commentarea commentform commentthread disqus".split())
+BACK_WORDS = frozenset("has have no not non with without free hoc count".split())
+#: Quotes only count behind an equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -86,9 +94,8 @@ def parse(html: str) -> Node:
     """A tree of elements and text pieces. Elements are numbered in page order."""
     root = Node("", 0, 0)
     stack, at, n = [root], 0, 1
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
-            continue
+    # what stands in a raw element is never looked at for tags
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             stack[-1].children.append(html[at : m.start()])
         at = m.end()
@@ -142,14 +149,15 @@ def _named(tag: str, attributes: str) -> int:
     out = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in SKIP_ROLES:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in SKIP_ROLES or name == "style" and HIDDEN.search(value):
             return 2
         if name in ("class", "id"):
             telling = SURE_WORDS if tag in TEXTUAL else SKIP_WORDS
             for token in value.split():
                 words = set(WORDS.findall(token))
-                if words & telling and words <= SKIP_WORDS | BESIDE_WORDS:
-                    out = 3 if words & COMMENT_WORDS or out == 3 else 1
+                loose = tag not in TEXTUAL and words & LOOSE_WORDS and not words & BACK_WORDS
+                if loose or words & telling and words <= SKIP_WORDS | BESIDE_WORDS:
+                    out = 3 if loose or words & COMMENT_WORDS or out == 3 else 1
     return out
 
 
@@ -162,14 +170,21 @@ def settle(root: Node) -> None:
             node.named = 2
         order += ((c, inside) for c in node.children if isinstance(c, Node))
     size: dict[int, int] = {}
-    holds: dict[int, int] = {}  # 2: the heading or main element, 1: an article
+    holds: dict[int, int] = {}  # 2: the page's first heading or the main element, 1: an article
+    first: Node | None = None
+    hidden: set[int] = set()
+    for node in walked(root):
+        if node.named == 2 or node.number in hidden:
+            hidden.update(c.number for c in elements(node))
+        elif first is None and node.tag == "h1":
+            first = node
     for node, _ in reversed(order):
         if node.named == 2:
             size[node.number], holds[node.number] = 0, 0
             continue
         below = [c for c in node.children if isinstance(c, Node)]
         size[node.number] = sum(len(c) - c.count(" ") for c in node.children if isinstance(c, str)) + sum(size[c.number] for c in below)
-        own = 2 if node.tag in ("h1", "main") else int(node.tag == "article" and not node.named)
+        own = 2 if node is first or node.tag == "main" else int(node.tag == "article" and not node.named)
         holds[node.number] = max([own, *(holds[c.number] for c in below)])
     total = size[root.number]
     for node, _ in order:
@@ -181,6 +196,15 @@ def settle(root: Node) -> None:
                 c.skip = True
 
 
+def walked(root: Node) -> Iterator[Node]:
+    """A node and what is below it, in page order."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += reversed(elements(node))
+
+
 def own_text(node: Node) -> str:
     """The text of a node that isn't in a block of its own, with inline elements, as it will be printed."""
     out: list[str] = []
@@ -369,13 +393,30 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
+def headings(root: Node) -> dict[str, str]:
+    """The texts of a page's title and first heading."""
+    out: dict[str, str] = {}
+    for node in walked(root):
+        if node.tag in ("title", "h1") and node.tag not in out and (node.tag == "title" or not node.skip):
+            out[node.tag] = tidy(text_of(node))
+    return out
+
+
 def votes(pivot: Node, page: Node) -> list[tuple[int, int]]:
-    """(pivot's node number, 1 if the page has the same text there) for matched nodes with text of their own."""
+    """(pivot's node number, 1 if the page has the same text there) for matched nodes with text of their own.
+
+    A copy of the pivot's article has no vote: a page with the same title and heading, most of whose text is the pivot's and little is
+    its own. How much template the host has doesn't matter, since another article has another heading or enough text of its own.
+    """
     both = [(x.number, s, own_text(y)) for x, y in match(pivot, page) if not x.skip and (s := own_text(x))]
     total = sum(len(s) for _, s, _ in both)
     same = sum(len(s) for _, s, t in both if s == t)
-    if not total or same > SAME_ARTICLE * total:
+    if not total:
         return []
+    if same > SAME_ARTICLE * total and total - same < OWN_TEXT * total:
+        one, two = headings(pivot), headings(page)
+        if all(one[k] == two[k] for k in one.keys() & two.keys()):
+            return []
     return [(n, int(s == t)) for n, s, t in both]
 
 

@@ -141,6 +141,41 @@ def test_names_only_tell_apart_what_is_no_article():
     assert extract(parse("<main></main><div><p>body</p></div>")) == ["body"]
 
 
+def test_raw_elements_hide_what_they_hold():
+    assert extract(parse("<script>if (a<b) {} // don't</script><article><h1>T</h1><p>It's here and more.</p></article>")) == ["T", "It's here and more."]
+    assert extract(parse("<script>var s='<!--';</script><article><p>a</p><style>p:after{content:'<p>'}</style><p>b</p></article>")) == ["a", "b"]
+    assert extract(parse("<p>a</p><textarea><p>no</textarea><p title=\"it's\">b</p><p class=x' data-k='>'>c</p><p title=\"5\" tall\">d</p><script>rest <p>")) == ["a", "b", "c", "d"]
+    assert extract(parse("<p>a <!-- <p>no --> b</p><![CDATA[x]]><?php no ?>c")) == ["a b", "c"]
+
+
+def test_adverts_and_comments_of_unknown_names():
+    for name in ("fb-comments-thread", "commentlist", "comment-section-v2", "google-ads", "dfp-ad", "td-ad-unit", "ad_top_728x90", "related-posts"):
+        html = f'<div><h1>T</h1><p>Body text</p><div class="{name}"><h1>no</h1><article><h2>no</h2><p>no</p></article></div></div>'
+        assert extract(parse(html)) == ["T", "Body text"], name
+        assert extract(parse(html.replace("class=", "id="))) == ["T", "Body text"], name
+    html = '<article><h1>T</h1><div class="no-ads">a</div><div id="ad-hoc">b</div><section class="related-work">c</section><h2 id="comments-on-it">d</h2><div class="with-comments">e</div><div style="color:red">f</div></article>'
+    assert extract(parse(html)) == ["T", "a", "b", "c", "d", "e", "f"]
+    assert extract(parse('<p>a</p><div style="Display : none">no</div><p style="visibility:hidden">no</p><h1>T</h1><div id="comments"><h1>no</h1></div>')) == ["a", "T"]
+
+
+def test_template_over_half_of_the_text(spark):
+    """Unmarked boilerplate of three times the article, without and with a heading that all pages share."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    say = lambda k: " ".join(rng.choices(words, k=k))
+    fixed = [say(60) for _ in range(6)]
+    rows, want = [], {}
+    for i in range(24):
+        title, body = ("Daily words", say(120)) if i % 2 else (say(5), say(120))
+        host = f"http://h{i % 2}.example/"
+        rows.append((i, host + str(i), f"<title>Daily words</title><div>{''.join(f'<div>{f}</div>' for f in fixed[:3])}</div><div><h1>{title}</h1><p>{body}</p></div><div>{''.join(f'<div>{f}</div>' for f in fixed[3:])}</div>"))
+        want[i] = [body] if i % 2 else [title, body]
+    rows += [(100 + k, rows[0][1], rows[0][2]) for k in range(8)]  # copies of the pivot's page don't vote
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in want} == {i: "\n\n".join(w) for i, w in want.items()}
+    assert got[103] == got[0]
+
+
 def test_cases(spark):
     rows = [(1, None, None), (2, "", ""), (3, None, "<article>" + "<p>para" * 50_000), (3, None, "<p>x"), (4, "http://h/", "<p>" * 100), (5, "http://h/", "no tags"), (None, "http://h/", "<div>" * 3000 + "deep")]
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "page_id long, url string, html string, text string, host int, n_chars int")
