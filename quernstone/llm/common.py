@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.operators.storage import shared_folder, work_folder  # noqa: F401
+
 #: Keys with more than this share of all rows are dealt out over SALTS tasks. At most 1/HOT_SHARE keys can
 #: be hot, so the set of hot keys has a fixed size bound and may be broadcast.
 HOT_SHARE = 1 / 20_000
@@ -20,47 +21,24 @@ BROADCAST_BYTES = 16 << 20
 NARROW_ROWS = 300_000
 #: Rank of rows without an id: behind all others.
 LAST = (1 << 63) - 1
-#: A Python task works on so many rows and about so many bytes of text at once.
+#: A Python task works on so many rows and about so many bytes of text at once; Spark hands it batches of up to 64 MB by its own setting.
 BLOCK_ROWS = 256
 BLOCK_BYTES = 4 << 20
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; without one there is nothing safe to write to."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return base.rstrip("/")
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
-
-
 def checkpoint(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cut the lineage by a Parquet table in the session's shared folder.
 
     Unlike Dataset.checkpoint it is compressed, read by column, and of known size: the planner takes a checkpoint's size
     from the plan that made it, a product over its joins that soon has too many digits to compute with in a loop.
-    While it is written, batches for Python tasks have BLOCK_BYTES at most; afterwards the session's setting holds again.
-    So every operator runs its passes over texts within a checkpoint.
     """
-    spark, at = df.sparkSession, work_folder(df.sparkSession)
-    before = spark.conf.get(ARROW_BYTES, None)
-    if before is not None:
-        spark.conf.set(ARROW_BYTES, str(BLOCK_BYTES))
-    try:
-        df.write.option("compression", compression).parquet(at)
-    finally:
-        if before is not None:
-            spark.conf.set(ARROW_BYTES, before)
-    return spark.read.schema(df.schema).parquet(at)
+    at = work_folder(df.sparkSession)
+    df.write.option("compression", compression).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def documents_of(df: DataFrame) -> DataFrame:

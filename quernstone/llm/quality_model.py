@@ -50,15 +50,17 @@ def features(data: bytes) -> set[int]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, quality, toxic, fold): LABELLED rows at most, chosen by hash; fold 2 is held out."""
+    """(doc_id, text, quality, toxic, fold): LABELLED rows at most, chosen by hash; fold 2 is held out. Of copies of a text with labels, which may
+    contradict each other, the row of the smallest doc_id stands for all, however the table is dealt."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = known.count()
     dial = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     chosen = known.where(dial < int((1 << 30) * min(1.0, 0.95 * LABELLED / max(n, 1))))
     # bounded by LABELLED
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # copies of a text would count its words several times
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int"))
+    # copies of a text would count its words several times: the smallest doc_id's labels hold for them
+    first = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", "quality", "toxic")).alias("first"))
+    return first.select("first.doc_id", "text", "first.quality", "first.toxic").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int"))
 
 
 def weights(sample: DataFrame) -> dict[int, tuple[float, float]]:

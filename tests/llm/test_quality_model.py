@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from quernstone.llm.quality_model import calibration, features, labelled_sample, posteriors, weights
 from quernstone.llm.queries import op3_quality_model
 
@@ -113,3 +115,13 @@ def test_equals_brute_force(spark):
     for r in got:
         assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip((r.p_quality, r.p_toxic, r.path_quality, r.path_toxic), want[r.doc_id], strict=True))
         assert r.kept == (r.p_quality >= 0.5 and r.p_toxic < 0.5)
+
+
+def test_contradicting_copies_do_not_depend_on_partitions(spark):
+    from quernstone.llm.quality_model import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(70)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(3, 70)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    got = [sorted(map(tuple, labelled_sample(docs.repartition(n), labels.repartition(n)).collect())) for n in (2, 3, 7)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == {3, 4, 5, 6, 7, 8, 9}
+    assert all((r[2], r[3]) == (r[0] % 2, int(r[0] % 3 == 0)) for r in got[0])
