@@ -5,16 +5,20 @@ spaces, give its digest. Digests are grouped over all documents. The earliest li
 whatever their length; earliest is by doc_id, digest of the whole text, line number.
 
 A passage can repeat inside lines that differ elsewhere. So in the lines that are left, windows of ``min_words`` consecutive
-words are compared that begin where winnowing says: of the runs of half as many words that a window holds, the one with
-the smallest hash is the same wherever the window stands; about every fifth word begins such a run, and each is the
-begin of a compared window. A passage of one and a half times ``min_words`` holds one at least, wherever it stands, and loses all but
-half of ``min_words`` words at either end. A window goes if an earlier place has had it: an earlier line, or the same
+words are compared, an addition to line hashing that the column ``kind`` tells apart. Windows begin where winnowing says: of
+the runs of ``part`` words that a window holds, the one with the smallest hash is the same wherever the window stands;
+about two of seven words begin such a run (16 words, runs of 12), and each is the begin of a compared window. A passage of 2 * ``min_words`` - ``part``
+words holds one at least, wherever it stands, and loses all but ``min_words`` - ``part`` words at either end. With ``part`` equal to
+``min_words`` every window is compared, and exactly the words of repeated windows go.
+A window goes if an earlier place has had it: an earlier line, or the same
 line ``min_words`` words before at least. Digests of windows are counted over all lines left; the second reading lists
 those that may be repeated, by a bitmap of bounded size, whose chance hits cost rows but change nothing.
 
 A span is a line, or the words of windows that overlap or follow each other both here and in one earlier place, so kept_doc_id
 holds all of them; where windows overlap but the earlier place changes, a new span begins behind the last one. Its
-place in the original text is kept in code points; texts are neither shuffled nor joined again.
+place in the original text is kept in code points. Which lines are left is decided by keys; only lines whose digest occurs twice
+(a bitmap of bounded size tells, with chance hits) are shuffled with their text, all others are read where they stand.
+``deduplicated`` joins the spans with whole texts, once.
 
 Digests have 64 bits.
 
@@ -39,9 +43,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FACTOR = 0x9E3779B97F4A7C15
 #: Words of a batch that are worked on at once, about.
 AT_ONCE = 1 << 20
-#: The bitmap of repeated windows has so many bits at most.
+#: A bitmap of repeated digests has so many bits at most.
 MOST_BITS = 1 << 28
 PLACE = ["doc", "th", "no"]
+MIN_WORDS = 16
+#: Words of the runs that winnowing picks by.
+PART = 12
 
 
 class _Digests(dict):
@@ -92,12 +99,11 @@ def _rolling(a, n: int):
     return out ^ (out >> np.uint64(32))
 
 
-def _windows(sizes: list[int], words: list[int], min_words: int):
+def _windows(sizes: list[int], words: list[int], min_words: int, part: int):
     """(begins, digests): the compared windows of texts that stand one after the other."""
     import numpy as np
 
     a = np.array(words, dtype=np.uint64)
-    part = max(1, min_words // 2)
     runs = _rolling(a, part)
     least = _sliding(runs, min_words - part + 1, np.minimum)
     text = np.repeat(np.arange(len(sizes)), sizes)
@@ -140,7 +146,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc long, th long, no int, key long, start long, words long, line string")
 
 
-def _repeated(lines: DataFrame, min_words: int) -> DataFrame:
+def _repeated(lines: DataFrame, min_words: int, part: int) -> DataFrame:
     """(h): every compared window that occurs twice or more."""
 
     def run(batches: Iterator) -> Iterator:
@@ -150,7 +156,7 @@ def _repeated(lines: DataFrame, min_words: int) -> DataFrame:
         for b in blocks(batches, 0):
             for _, sizes, words in _chunks(b.column(0).to_pylist()):
                 if len(words) >= min_words:
-                    yield pa.RecordBatch.from_arrays([pa.array(_windows(sizes, words, min_words)[1].view(np.int64))], ["h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_windows(sizes, words, min_words, part)[1].view(np.int64))], ["h"])
 
     texts = lines.where(F.col("words") >= min_words).select(F.col("line").cast("binary").alias("line"))
     return texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -172,24 +178,43 @@ def _bitmap(h: DataFrame):
     return out
 
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
+def _marked(bitmap, h):
+    """Which digests have their bit set."""
+    import numpy as np
+
+    at = h & np.uint64(len(bitmap) * 32 - 1)
+    return ((bitmap[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
+
+
+def _by_key(lines: DataFrame, sent, marked: bool) -> DataFrame:
+    """The lines whose digest is marked in a broadcast bitmap, or the others."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            key = b.column(b.schema.get_field_index("key")).to_numpy().view(np.uint64)
+            yield b.filter(pa.array(_marked(sent.value, key) == marked))
+
+    return lines.mapInArrow(run, lines.schema)
+
+
+def windows(lines: DataFrame, min_words: int, part: int) -> DataFrame:
     """(h, doc, th, no, i, a, z): every window that may be repeated: its first word's number, its begin and end in the text."""
-    sent = lines.sparkSession.sparkContext.broadcast(_bitmap(_repeated(lines, min_words)))
+    sent = lines.sparkSession.sparkContext.broadcast(_bitmap(_repeated(lines, min_words, part)))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        bitmap = sent.value
-        low = np.uint64(len(bitmap) * 32 - 1)
         for b in blocks(batches, 4):
             lines = b.column(4).to_pylist()
             for first, sizes, words in _chunks([x.encode() for x in lines]):
                 if len(words) < min_words:
                     continue
-                begun, h = _windows(sizes, words, min_words)
-                at = h & low
-                hit = ((bitmap[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
+                begun, h = _windows(sizes, words, min_words, part)
+                hit = _marked(sent.value, h)
                 maybe, h = begun[hit], h[hit]
                 if not len(maybe):
                     continue
@@ -212,9 +237,9 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     return long.mapInArrow(run, "h long, doc long, th long, no int, i int, a long, z long")
 
 
-def passages(lines: DataFrame, min_words: int) -> DataFrame:
+def passages(lines: DataFrame, min_words: int = MIN_WORDS, part: int = PART) -> DataFrame:
     """(doc, th, start, end, n_words, kept): the stretches of words that an earlier place has had, over ``lines``."""
-    listed = checkpoint(windows(lines, min_words))
+    listed = checkpoint(windows(lines, min_words, part))
     first = listed.groupBy("h").agg(F.min(F.struct(*PLACE, "i")).alias("p"), F.count(F.lit(1)).alias("n"))
     first = checkpoint(first.where("n > 1").select("h", "n", F.col("p.doc").alias("_doc"), F.col("p.th").alias("_th"), F.col("p.no").alias("_no"), F.col("p.i").alias("_i")))
     total = int(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
@@ -234,8 +259,10 @@ def passages(lines: DataFrame, min_words: int) -> DataFrame:
     return out.where("n_words > 0")
 
 
-def removals(docs: DataFrame, min_words: int = 16) -> DataFrame:
-    """(doc, th, start, end, n_words, kept): the removed spans of every document, by its identity."""
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, part: int = PART) -> DataFrame:
+    """(doc, th, start, end, n_words, kept, kind): the removed spans of every document, by its identity."""
+    if not 1 <= part <= min_words:
+        raise ValueError("runs have one word at least and min_words at most")
     lines = checkpoint(lines_of(docs))
     first = lines.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("p"), F.count(F.lit(1)).alias("n"))
     first = checkpoint(first.where("n > 1").select("key", "n", F.col("p.doc").alias("_doc"), F.col("p.th").alias("_th"), F.col("p.no").alias("_no")))
@@ -243,24 +270,28 @@ def removals(docs: DataFrame, min_words: int = 16) -> DataFrame:
     spread, again = F.struct(*PLACE), F.expr("doc <> _doc or th <> _th or no <> _no")
     sized = lines.select(*PLACE, "key", "start", "words", F.length("line").alias("size"))
     gone = with_small(sized, first, "key", "n", spread, total).where(again).dropDuplicates(PLACE)
-    gone = gone.select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"), F.col("words").alias("n_words"), F.col("_doc").alias("kept"))
-    # the lines that stay: those of no other place, and the first places of the others
-    left = with_small(lines, first, "key", "n", spread, total, "left").where(F.col("_doc").isNull() | ~again)
-    return gone.unionByName(passages(checkpoint(left.select(*PLACE, "start", "words", "line")), min_words))
-
-
-def removed_spans(docs: DataFrame, min_words: int = 16) -> DataFrame:
-    """One row per removed span: doc_id, start, end (code points), n_words, kept_doc_id (null: a row without doc_id)."""
+    gone = gone.select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"), F.col("words").alias("n_words"), F.col("_doc").alias("kept"), F.lit("line").alias("kind"))
+    # the lines that stay, as far as windows need them: those of no other place, and the first places of the others
+    long = lines.where(F.col("words") >= min_words).select(*PLACE, "key", "start", "words", "line")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(first.select(F.col("key").alias("h"))))
+    stay = with_small(_by_key(long, sent, True), first, "key", "n", spread, total, "left").where(F.col("_doc").isNull() | ~again)
+    columns = [*PLACE, "start", "words", "line"]
+    left = _by_key(long, sent, False).select(*columns).unionByName(checkpoint(stay.select(*columns)))
+    return gone.unionByName(passages(left, min_words, part).withColumn("kind", F.lit("window")))
+
+
+def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, part: int = PART) -> DataFrame:
+    """One row per removed span: doc_id, start, end (code points), n_words, kept_doc_id (null: a row without doc_id), kind (line or window)."""
     known = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return removals(docs, min_words).select(known("doc").alias("doc_id"), "start", "end", "n_words", known("kept").alias("kept_doc_id"))
+    return removals(docs, min_words, part).select(known("doc").alias("doc_id"), "start", "end", "n_words", known("kept").alias("kept_doc_id"), "kind")
 
 
-def deduplicated(docs: DataFrame, min_words: int = 16) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, part: int = PART) -> DataFrame:
     """doc_id, text without its spans, spans (original offsets), for every row of ``docs``."""
     kind = "array<struct<start:long,end:long,n_words:long,kept_doc_id:long>>"
     kept = F.when(F.col("kept") != LAST, F.col("kept")).alias("kept_doc_id")
     # a group is one text's own spans
-    cuts = removals(docs, min_words).groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "n_words", kept))).alias("spans"))
+    cuts = removals(docs, min_words, part).groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "n_words", kept))).alias("spans"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *identity(docs))
     joined = rows.join(checkpoint(cuts), ["doc", "th"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 
