@@ -244,8 +244,9 @@ def passages(lines: DataFrame, min_words: int = MIN_WORDS, part: int = PART) ->
     first = checkpoint(first.where("n > 1").select("h", "n", F.col("p.doc").alias("_doc"), F.col("p.th").alias("_th"), F.col("p.no").alias("_no"), F.col("p.i").alias("_i")))
     total = int(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     same = F.expr("doc = _doc and th = _th and no = _no")
-    later = with_small(listed, first, "h", "n", F.struct(*PLACE, "i"), total).where(~same | (F.col("i") - F.col("_i") >= min_words)).dropDuplicates([*PLACE, "i"])
-    # one partition is one line's own windows
+    later = with_small(listed, first, "h", "n", F.struct(*PLACE, "i"), total).where(~same | (F.col("i") - F.col("_i") >= min_words))
+    # dealt once, by line, for what follows; a line's windows are its own
+    later = later.repartition(*PLACE).dropDuplicates([*PLACE, "i"])
     along = Window.partitionBy(*PLACE).orderBy("i")
     where = F.struct("_doc", "_th", "_no", F.col("_i") - F.col("i"))
     follows = (F.lag(where).over(along) == where) & (F.col("i") - F.lag("i").over(along) <= min_words)
