@@ -35,7 +35,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST, blocks, checkpoint, identity, with_small
+from .common import BROADCAST_ROWS, LAST, blocks, checkpoint, identity, with_small
 
 SPACES = "\x20\t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -244,7 +244,8 @@ def passages(lines: DataFrame, min_words: int = MIN_WORDS, part: int = PART) ->
     first = checkpoint(first.where("n > 1").select("h", "n", F.col("p.doc").alias("_doc"), F.col("p.th").alias("_th"), F.col("p.no").alias("_no"), F.col("p.i").alias("_i")))
     total = int(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     same = F.expr("doc = _doc and th = _th and no = _no")
-    later = with_small(listed, first, "h", "n", F.struct(*PLACE, "i"), total).where(~same | (F.col("i") - F.col("_i") >= min_words))
+    # six numbers a row: some 100 bytes in a hashed relation
+    later = with_small(listed, first, "h", "n", F.struct(*PLACE, "i"), total, most=BROADCAST_ROWS).where(~same | (F.col("i") - F.col("_i") >= min_words))
     # dealt once, by line, for what follows; a line's windows are its own
     later = later.repartition(*PLACE).dropDuplicates([*PLACE, "i"])
     along = Window.partitionBy(*PLACE).orderBy("i")
