@@ -75,15 +75,19 @@ class Transducer:
         self.weight = {p: float(k) for p, k in self.rank.items()}
         # a character without a piece is written as bytes, at more than any piece
         self.fallback = float(len(order))
+        # a node is its arcs, and the piece that ends there with its weight
         self.trie: dict = {}
         for p in self.ids:
-            node = self.trie
+            arcs = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = p
+                node = arcs.setdefault(c, [{}, None, INFINITY])
+                arcs = node[0]
+            node[1:] = p, self.weight[p]
         self.whole = self._inseparable()
         self._spines: dict[tuple[str, bool], list[tuple[str, int, int]]] = {}
-        self._apart: dict[tuple[str, str], bool] = {}
+        #: By the first piece of a pair, then the second; what follows no piece is under "".
+        self._apart: dict[str, dict[str, bool]] = {}
+        self._pairs = 0
         self._runs: dict[str, tuple[int, ...]] = {}
         self._short: dict[str, tuple[int, ...]] = {}
 
@@ -131,47 +135,64 @@ class Transducer:
 
     def apart(self, a: str, b: str) -> bool:
         """Whether merging the joint text of two pieces gives these two."""
-        known = self._apart.get((a, b))
+        known = self._apart.get(a, {}).get(b)
         if known is None:
-            left, right = self.spine(a, True), self.spine(b, False)
-            known = bool(left and right)
-            rank = self.rank.get
-            for x, born_x, end_x in left:
-                for y, born_y, end_y in right:
-                    if max(born_x, born_y) < min(end_x, end_y) and (m := rank(x + y)) is not None and m < end_x and m <= end_y:
-                        known = False
-            if len(self._apart) > 2 * REMEMBERED:
-                self._apart.clear()
-            self._apart[a, b] = known
+            known = self._joint(a, b)
+            self._remember(a, b, known)
         return known
 
+    def _joint(self, a: str, b: str) -> bool:
+        left, right = self.spine(a, True), self.spine(b, False)
+        rank = self.rank.get
+        for x, born_x, end_x in left:
+            for y, born_y, end_y in right:
+                # both stand at some time; each is born before it is consumed
+                if born_x < end_y and born_y < end_x and (m := rank(x + y)) is not None and m < end_x and m <= end_y:
+                    return False
+        return bool(left and right)
+
+    def _remember(self, a: str, b: str, known: bool) -> None:
+        if self._pairs > 2 * REMEMBERED:
+            self._apart.clear()
+            self._pairs = 0
+        self._apart.setdefault(a, {})[b] = known
+        self._pairs += 1
+
     def path(self, text: str) -> list[str]:
         """The shortest path's pieces; a character without a piece is a step of its own."""
         n = len(text)
         last: list[str] = [""] * (n + 1)
         least = [INFINITY] * (n + 1)
         least[0] = 0.0
-        apart, memo, weight = self.apart, self._apart.get, self.weight
+        root, rows, ids = self.trie.get, self._apart.get, self.ids
         for i in range(n):
-            so_far, before = least[i], last[i]
+            so_far = least[i]
             if so_far == INFINITY:
                 continue
-            node = self.trie.get(text[i])
+            node = root(text[i])
             if node is None:
                 if so_far + self.fallback < least[i + 1]:
                     least[i + 1], last[i + 1] = so_far + self.fallback, text[i]
                 continue
-            free = not before or before not in self.ids
+            before = last[i]
+            if before not in ids:
+                before = ""
+            known = rows(before) or {}
             j = i + 1
             while True:
-                piece = node.get("")
-                if piece is not None and so_far + weight[piece] < least[j]:
-                    ok = bool(self.spine(piece, False)) if free else memo((before, piece))
+                arcs, piece, weight = node
+                # a position that a path of finite weight has reached has no other one, so its sum is the least
+                if piece is not None and least[j] == INFINITY:
+                    ok = known.get(piece)
                     if ok is None:
-                        ok = apart(before, piece)
+                        if before:
+                            ok = self.apart(before, piece)
+                        else:
+                            ok = bool(self.spine(piece, False))
+                            self._remember(before, piece, ok)
                     if ok:  # else the joint weighs infinity
-                        least[j], last[j] = so_far + weight[piece], piece
-                if j == n or (node := node.get(text[j])) is None:
+                        least[j], last[j] = so_far + weight, piece
+                if j == n or (node := arcs.get(text[j])) is None:
                     break
                 j += 1
         out, j = [], n
