@@ -120,8 +120,17 @@ def share_of_total(df: DataFrame, category: str, measure: str) -> DataFrame:
 
 
 def regional(panel: DataFrame, means: list[str], k: Keys = K) -> DataFrame:
-    """Sum of cases and plain means of covariates per (group, year, week)."""
-    return panel.where(F.col(k.group).isNotNull()).groupBy(k.group, k.year, k.week).agg(F.sum(k.cases).alias(k.cases), *[F.avg(m).alias(m) for m in means])
+    """Sum of cases and plain means of covariates per (group, year, week).
+
+    Values are added up in order, a list of a group's units in one week, so that equal values have equal means wherever their
+    rows come from: a covariate that is the same every week stays without variance.
+    """
+
+    def mean(m: str) -> Column:
+        values = F.array_sort(F.collect_list(F.col(m).cast("double")))
+        return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.count(m)).alias(m)
+
+    return panel.where(F.col(k.group).isNotNull()).groupBy(k.group, k.year, k.week).agg(F.sum(k.cases).alias(k.cases), *map(mean, means))
 
 
 def upper_quartile(df: DataFrame, measure: str, p: float = 0.75) -> DataFrame:
@@ -135,14 +144,14 @@ def upper_quartile(df: DataFrame, measure: str, p: float = 0.75) -> DataFrame:
 def lag_correlations(df: DataFrame, variables: list[str], target: str, lags: list[int], group: str, order: list[str], least: int = 30) -> DataFrame:
     """(group, variable, lag, n, r): Pearson r of each variable, lagged by rows, with the target; null under ``least`` pairs.
 
-    One window for all variables and lags, one aggregation; only pairs without nulls count.
+    One window for all variables and lags, one aggregation; only pairs without nulls count. Without any pair there is no row.
     """
     w = Window.partitionBy(group).orderBy(*order)
     y = F.col(target).cast("double")
     pairs = [(v, n) for v in variables for n in lags]
     lagged = df.select(group, y.alias("y"), *[(F.lag(F.col(v).cast("double"), n).over(w) if n else F.col(v).cast("double")).alias(f"{v}__{n}") for v, n in pairs])
     long = lagged.select(group, "y", F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(n).alias("lag"), F.col(f"{v}__{n}").alias("x")) for v, n in pairs])).alias("p"))
-    long = long.select(group, "p.variable", "p.lag", F.when(F.col("y").isNotNull(), F.col("p.x")).alias("x"), F.when(F.col("p.x").isNotNull(), F.col("y")).alias("y"))
+    long = long.select(group, "p.variable", "p.lag", F.col("p.x").alias("x"), "y").where("x is not null and y is not null")
     r = F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y")))
     return long.groupBy(group, "variable", "lag").agg(F.count("x").alias("n"), F.when(F.count("x") >= least, r).alias("r"))
 

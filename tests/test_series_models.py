@@ -329,3 +329,23 @@ def test_weekly_keeps_the_first_place(spark):
     readings = spark.createDataFrame(rows, "s string, t string, v double, lat double").withColumn("t", F.to_timestamp("t"))
     out = panel.weekly(panel.daily(readings, "s", "t", "v", ("lat",)), "s", place=("lat",)).collect()
     assert len(out) == 1 and out[0].lat == 12.0 and out[0].total == 6.0
+
+
+def test_constant_covariates_have_no_correlation(spark):
+    """The same units every week, in any order: their mean has no variance, so r is null, not one of rounding errors."""
+    rng = np.random.default_rng(5)
+    value = {u: float(v) for u, v in enumerate(rng.uniform(4000, 5000, 5))}
+    rows = [("a", 2020 + w // 50, w % 50 + 1, u, int(rng.integers(1, 50)), value[u]) for w in range(100) for u in range(5)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "grp string, yr long, wk long, unit long, cases long, idx double").repartition(7)
+    reg = panel.regional(df, ["idx"]).cache()
+    assert reg.select("idx").distinct().count() == 1
+    got = panel.lag_correlations(reg, ["idx"], "cases", [0], "grp", ["yr", "wk"]).collect()
+    assert [(r.n, r.r) for r in got] == [(100, None)]
+
+
+def test_lags_without_pairs_have_no_row(spark):
+    """As in the SQL: three weeks have no pair at a lag of three or four."""
+    reg = spark.createDataFrame([("a", 2020, w, 5 + w, 1.0 * w) for w in range(1, 4)], "grp string, yr long, wk long, cases long, rain double")
+    got = panel.lag_correlations(reg, ["rain"], "cases", [1, 2, 3, 4], "grp", ["yr", "wk"]).collect()
+    assert sorted((r.lag, r.n, r.r) for r in got) == [(1, 2, None), (2, 1, None)]
